@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extract import op4_html
+from .pieces import op8_sentencepiece
+from .pii import op10_pii
 from .quality_model import op7_quality
 from .quality_rules import op9_quality_rules
+from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_html": op4_html,
         "op7_quality": op7_quality,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_quality_rules": op9_quality_rules,
+        "op10_pii": op10_pii,
     }
 
 
