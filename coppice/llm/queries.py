@@ -12,10 +12,12 @@ from .pii import op10_pii
 from .quality_model import op7_quality
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash
+from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_simhash": op3_simhash,
         "op4_html": op4_html,
         "op7_quality": op7_quality,
