@@ -6,20 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, topk
 from .html_extract import op4_html
+from .licenses import op2_licenses
+from .mixing import op6_mixing
 from .pieces import op8_sentencepiece
 from .pii import op10_pii
 from .quality_model import op7_quality
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
+from .topk import op5_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_licenses": op2_licenses,
         "op3_simhash": op3_simhash,
         "op4_html": op4_html,
+        "op5_topk": op5_topk,
+        "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality_rules": op9_quality_rules,
@@ -28,4 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_licenses": licenses.oracle_sql(),
+        "op5_topk": topk.ORACLE_SQL,
+    }
