@@ -165,16 +165,21 @@ def document_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFram
 def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term) of the pairs whose mutual information is at least DISCLOSURE of the entity's information."""
     inside = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = materialise(inside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term")
+    pairs = inside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    near = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near"))
     entities = found.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    known = pairs.join(document_counts(docs, terms, n_terms), "term").join(entities, "entity")
     information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
-    mutual = F.log2(F.col("both") * F.lit(float(n_docs)) / (F.col("df") * F.col("of_entity")))
-    return known.where((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term")
+    # The mutual information is log2(both / df) more than the entity's information. A term stands in at least as many
+    # documents as it stands near entities in, so pairs that fail with that count need no count over the corpus.
+    least = (DISCLOSURE - 1) * information
+    rated = pairs.join(entities, "entity").join(near, "term").where((information > 0) & (F.log2(F.col("both") / F.col("near")) >= least))
+    known = materialise(rated.select("entity", "term", "both", "of_entity"))
+    terms = known.select("term").distinct()
+    n_terms = terms.count()
+    if not n_terms:
+        return known.select("entity", "term")
+    counted = known.join(document_counts(docs, terms, n_terms), "term")
+    return counted.where(F.log2(F.col("both") / F.col("df")) >= least).select("entity", "term")
 
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
