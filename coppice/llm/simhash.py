@@ -31,7 +31,7 @@ SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 #: Partitions that may be chosen, and nanoseconds that a probe row and a compared pair cost, for the choice.
 PARTITION_COUNTS, ROW_COST, PAIR_COST = (2, 3, 4, 5), 3000.0, 10.0
 #: Bits of a partition's histogram.
-HIST_BITS = 16
+HIST_BITS = 14
 #: Largest bucket that is compared member by member; larger ones meet at fingerprints in between.
 COMPARED = 4096
 
