@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,10 +27,12 @@ from .common import slices, table
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries a cache may hold before it is emptied.
-CACHED_UNITS, CACHED_PAIRS = 400_000, 1_000_000
+CACHED_UNITS, CACHED_PAIRS = 800_000, 1_000_000
 #: Units this long are not cached.
 LONG_UNIT = 64
-ROWS = 500
+ROWS = 2000
+#: Key of a piece's id in the vocabulary's trie, and the mark of a character outside the vocabulary.
+END, NONE = "", -1
 
 
 class Vocabulary:
@@ -55,8 +58,17 @@ class Vocabulary:
         joined = "".join(sorted(inside - {MARK}))
         tail = f"[{re.escape(joined)}]*" if joined else ""
         self.unit = re.compile(f"{MARK}+{tail}|[{re.escape(joined)}]+|." if self.splits_at_marks else f"[{re.escape(joined + MARK)}]+|.", re.S)
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._units: dict[str, tuple[int, ...]] = {}
+        #: Whether units may be split off at spaces and line ends: no piece spans those.
+        self.plain = self.splits_at_marks and "\n" not in inside
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[END] = i
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in range(self.size)]
+        self._pairs: dict[int, bool] = {}
+        self._units: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merges of the highest score, leftmost first."""
@@ -84,85 +96,107 @@ class Vocabulary:
             offer(i)
         return [x for x in part if x is not None]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether merges leave piece b after piece a."""
-        found = self._pairs.get((a, b))
+    def follows(self, a: int, b: int) -> bool:
+        """Whether merges leave piece b after piece a; always so where one of them is outside the vocabulary."""
+        key = a * self.size + b
+        found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= CACHED_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.pieces[a], self.pieces[b]
+            found = self._pairs[key] = self.merged(x + y) == [x, y]
         return found
 
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
-    def walk(self, units: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(unit, ids) of sorted distinct units, with the states of shared prefixes reused."""
+    def walk(self, units: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(unit, ids as 32-bit integers) of sorted distinct units, with the states of shared prefixes reused.
+
+        The state of a prefix is its best score, the last piece of its best path with that piece's first place, and the
+        pieces begun that may go on (places in the vocabulary's own trie, the longest first).
+        """
         before = ""
-        state: list[tuple[float, str]] = [(0.0, "")]  # of each prefix: score of its best path, last piece
-        ids, scores, longest = self.ids, self.scores, self.longest
+        score, last, begins, active = [0.0], [NONE], [0], [()]
+        root, merges, pairs, size = self.trie, self.merges, self._pairs, self.size
+        scores = [self.scores.get(p, 0.0) for p in self.pieces]
         for unit in units:
             at, most = 0, min(len(before), len(unit))
             while at < most and before[at] == unit[at]:
                 at += 1
-            del state[at + 1 :]
+            del score[at + 1 :], last[at + 1 :], begins[at + 1 :], active[at + 1 :]
             for end in range(at + 1, len(unit) + 1):
-                best = None
-                for start in range(max(0, end - longest), end):
-                    piece = unit[start:end]
-                    s = scores.get(piece)
-                    if s is None:
-                        if end - start > 1:
-                            continue
-                        s = -1e4
-                    last = state[start]
-                    if self.merges:
-                        if not start or self.follows(last[1], piece):
-                            best = (0.0, piece)
-                            break
-                    elif best is None or last[0] + s > best[0]:
-                        best = (last[0] + s, piece)
-                state.append(best)
+                c = unit[end - 1]
+                going, best, piece, begin = [], None, NONE, end - 1
+                for start, node in (*active[end - 1], (end - 1, root)):
+                    node = node.get(c)
+                    if node is None:
+                        continue
+                    going.append((start, node))
+                    i = node.get(END)
+                    if i is None:
+                        continue
+                    if merges:
+                        if best is None:
+                            a = last[start]
+                            ok = a < 0 or pairs.get(a * size + i)
+                            if ok is None:
+                                ok = self.follows(a, i)
+                            if ok:
+                                best, piece, begin = 0.0, i, start
+                    elif best is None or score[start] + scores[i] > best:
+                        best, piece, begin = score[start] + scores[i], i, start
+                score.append(score[end - 1] - 1e4 if best is None else best)
+                last.append(piece)
+                begins.append(begin)
+                active.append(tuple(going))
             out: list[int] = []
             end = len(unit)
             while end:
-                piece = state[end][1]
-                found = ids.get(piece)
-                out.extend((found,) if found is not None else reversed(self.fallback(piece)))
-                end -= len(piece)
-            yield unit, tuple(reversed(out))
+                if last[end] >= 0:
+                    out.append(last[end])
+                else:
+                    out.extend(reversed(self.fallback(unit[end - 1])))
+                end = begins[end]
+            out.reverse()
+            yield unit, array("i", out).tobytes()
             before = unit
 
-    def units(self, text: str) -> list[str]:
-        """The marked words of a text, in order."""
-        return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        of = [self.units(t) for t in texts]
+    def keys(self, text: str) -> list[str]:
+        """Names of a text's units, in order. A plain text is split at single spaces and before line ends: a key is then the
+        word without its mark, or a line end and the word after it. Other texts go through the pattern; NUL marks their keys."""
+        if not text:
+            return []
+        if self.plain and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or MARK in text or "\0" in text):
+            return text.replace("\n", " \n").split(" ") if text[0] != "\n" else ["\0" + MARK, *text.replace("\n", " \n").split(" ")[1:]]
+        return ["\0" + u for u in self.unit.findall(MARK + text.replace(" ", MARK))]
+
+    def unit_of(self, key: str) -> str:
+        return key[1:] if key[0] == "\0" else key if key[0] == "\n" else MARK + key
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit integers."""
+        of = [self.keys(t) for t in texts]
         known = self._units
         if len(known) > CACHED_UNITS:
             known.clear()
-        new = sorted({u for units in of for u in units if u not in known})
-        local = dict(self.walk(new))
-        known.update((u, x) for u, x in local.items() if len(u) <= LONG_UNIT)
-        out = []
-        for units in of:
-            ids: list[int] = []
-            for u in units:
-                ids.extend(known[u] if u in known else local[u])
-            out.append(ids)
+        new: dict[str, list[str]] = {}
+        for k in set().union(*of).difference(known):
+            new.setdefault(self.unit_of(k), []).append(k)
+        for unit, ids in self.walk(sorted(new)):
+            for k in new[unit]:
+                known[k] = ids
+        out = [b"".join(map(known.__getitem__, keys)) for keys in of]
+        for unit, keys in new.items():
+            if len(unit) > LONG_UNIT:
+                for k in keys:
+                    del known[k]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes | list[int]) -> str:
         """The text; byte pieces are joined before they are decoded."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                out.append(b)
-            else:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in (memoryview(ids).cast("i") if isinstance(ids, bytes) else ids)]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -212,8 +246,8 @@ def encode_documents(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("do
         for b in slices(batches, ROWS):
             texts = [x.as_py() or "" for x in b.column("text")]
             ids = v.encode_batch(texts)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             same = pa.array([v.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
