@@ -24,6 +24,8 @@ DEPTH = 50
 CHUNK, IN_MEMORY = 1 << 20, 1 << 23
 FAR = 255
 SYMBOLS = 257
+#: Positions; a shard has less than 2^31 bytes.
+POS = np.int32
 
 
 class BucketQueue:
@@ -56,7 +58,7 @@ class BucketQueue:
                 for n, m in zip(names, moved, strict=True):
                     os.replace(n, m)
                 with open(moved[0], "rb") as p, open(moved[1], "rb") as q:
-                    while len(pos := np.fromfile(p, np.int64, CHUNK)):
+                    while len(pos := np.fromfile(p, POS, CHUNK)):
                         yield pos, np.fromfile(q, np.uint8, CHUNK)
                 for m in moved:
                     os.remove(m)
@@ -148,7 +150,7 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.
 
 def regrouped(rank: np.ndarray, rest: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Ranks of rest refined by key; returns those still tied. A rank is the number of seeds before its group."""
-    order = np.lexsort((key, rank[rest])) if rank[rest[0]] != rank[rest].max() or rank[rest].min() != rank[rest[0]] else np.argsort(key)
+    order = np.lexsort((key, rank[rest])) if key.dtype == np.uint64 and rank[rest].any() else np.argsort(key if key.dtype == np.uint64 else rank[rest] * (len(rank) + 2) + key)
     old, key = rank[rest][order], key[order]
     starts_old = np.append(True, old[1:] != old[:-1])
     starts_new = starts_old | np.append(True, key[1:] != key[:-1])
@@ -169,7 +171,7 @@ def seed_order(text: np.ndarray, n: int, seeds: np.ndarray, s_type: np.ndarray)
     while len(rest):  # seven places at a time, each as byte and type, so that no name is a prefix of another
         key, size = np.zeros(len(rest), np.uint64), length[rest]
         for k in range(at, at + 7):
-            q = np.minimum(seeds[rest] + k, n)
+            q = np.minimum(seeds[rest] + POS(k), POS(n))
             code = text[q].astype(np.uint64) * np.uint64(2) + s_type[q] + np.uint64(1)
             code[q == n] = 1
             code[k >= size] = 0
@@ -187,23 +189,43 @@ def seed_order(text: np.ndarray, n: int, seeds: np.ndarray, s_type: np.ndarray)
     return np.argsort(rank, kind="stable")
 
 
+def rising(data: np.ndarray) -> np.ndarray:
+    """True for S-type places (the suffix is less than the next one), by chunks from the end; the end itself is S-type."""
+    n = len(data)
+    out = np.empty(n + 1, bool)
+    out[n] = True
+    after = False  # the last place is L-type: the end is less than every byte
+    for z in range(n, 0, -CHUNK):
+        a = max(0, z - CHUNK)
+        here, nxt = data[a:z], data[a + 1 : z + 1]
+        up = np.empty(z - a, bool)
+        same = np.zeros(z - a, bool)
+        up[: len(nxt)] = here[: len(nxt)] < nxt
+        same[: len(nxt)] = here[: len(nxt)] == nxt
+        up[len(nxt) :] = False
+        known = np.where(same, z - a, np.arange(z - a, dtype=np.int32))
+        known = np.minimum.accumulate(known[::-1])[::-1]
+        out[a:z] = np.append(up, after)[known]
+        after = bool(out[a])
+    return out
+
+
 def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in descending order, in chunks: positions, and the common prefix (up to DEPTH) with the one before."""
     n = len(data)
     if not n:
         return
+    if n >= 1 << 31:
+        raise ValueError("a shard must have less than 2^31 bytes")
     text = np.concatenate([data, np.zeros(64, np.uint8)])
-    step = np.sign(data[1:].astype(np.int16) - data[:-1].astype(np.int16))
-    turn = np.append(step, -1).astype(np.int8)  # the end is less than every byte: the last suffix is L-type
-    known = np.where(turn != 0, np.arange(n), n)
-    turn = turn[np.minimum.accumulate(known[::-1])[::-1]]
-    s_type = np.append(turn > 0, True)
-    seeds = np.flatnonzero(s_type[1:n] & ~s_type[: n - 1]) + 1
+    s_type = rising(data)
+    seeds = np.concatenate([np.flatnonzero(s_type[k + 1 : k + 1 + CHUNK] & ~s_type[k : min(k + CHUNK, n)][: len(s_type[k + 1 : k + 1 + CHUNK])]).astype(POS) + POS(k + 1) for k in range(0, n, CHUNK)])
+    seeds = seeds[seeds < n]
     with tempfile.TemporaryDirectory(dir=folder) as tmp:
         os.mkdir(f"{tmp}/l"), os.mkdir(f"{tmp}/s"), os.mkdir(f"{tmp}/kept")
         if len(seeds):
             seeds = seeds[seed_order(text, n, seeds, s_type)]
-        del s_type, turn, known, step
+        del s_type
         heads = data[seeds].astype(np.int64)
         seed_lcp = np.append(np.zeros(1, np.uint8), common_prefix(text, seeds[1:], seeds[:-1], n))[: len(seeds)]
         cuts = np.searchsorted(heads, np.arange(SYMBOLS))
@@ -214,7 +236,7 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
             return text[np.maximum(pos - 1, 0)].astype(np.int16)
 
         # The end of the text comes first and induces the last suffix.
-        inducer.feed(np.array([n]), np.zeros(1, np.uint8), np.array([True]), np.array([int(data[-1])], np.int16))
+        inducer.feed(np.array([n], POS), np.zeros(1, np.uint8), np.array([True]), np.array([int(data[-1])], np.int16))
         for c in range(256):
             last = -1
             for pos, lcp in queue.pop(c):
@@ -226,7 +248,7 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
             for k in range(0, len(pos), CHUNK):
                 part, lcp = pos[k : k + CHUNK], seed_lcp[cuts[c] + k : cuts[c] + k + CHUNK].copy()
                 if not k:
-                    lcp[0] = common_prefix(text, np.array([last]), part[:1], n)[0] if last >= 0 else 0
+                    lcp[0] = common_prefix(text, np.array([last], POS), part[:1], n)[0] if last >= 0 else 0
                 inducer.feed(part, lcp, np.ones(len(part), bool), previous(part))
         del seeds, seed_lcp, heads
         queue = BucketQueue(f"{tmp}/s", in_memory)
@@ -242,7 +264,7 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
                 if last < 0:
                     lcp[0] = 0
                 elif lcp[0] == FAR:
-                    lcp[0] = common_prefix(text, np.array([last]), pos[:1], n)[0]
+                    lcp[0] = common_prefix(text, np.array([last], POS), pos[:1], n)[0]
                 to = previous(pos)
                 inducer.feed(pos, lcp, (pos > 0) & (to < c), to)
                 yield pos, lcp
@@ -258,7 +280,7 @@ def backwards(kept: BucketQueue, bucket: int) -> Iterator[tuple[np.ndarray, np.n
                 pos.tofile(p)
                 lcp.tofile(q)
         names = [f"{kept.folder}/{bucket}.{x}" for x in ("pos", "lcp")]
-        every, values = np.memmap(names[0], np.int64, "r"), np.memmap(names[1], np.uint8, "r")
+        every, values = np.memmap(names[0], POS, "r"), np.memmap(names[1], np.uint8, "r")
     elif bucket in kept.parts:
         parts = kept.parts.pop(bucket)
         every, values = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])

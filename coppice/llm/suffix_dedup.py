@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes the bytes of 50-byte strings that also start in a document with a smaller doc_id.
 
-How equal strings of different documents meet: in every 50-byte string the smallest hash among its 24-byte strings is
+How equal strings of different documents meet: in every 50-byte string the smallest hash among its GRAM-byte strings is
 its anchor, so equal strings have equal anchors at equal places. (1) Anchor hashes of all documents are dealt out by
 hash and those that stand in two documents or more go back to the blocks of documents that have them. (2) The
 surroundings of these anchors (all 50-byte strings around them) are dealt out by the same hash; each shard sorts the
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import blocks_for, slices, table, text_bytes
 from .induced import DEPTH, suffixes
 
-GRAM = 24
-#: 24-byte strings in a string of DEPTH bytes, and bytes of a surrounding.
+GRAM = 20
+#: GRAM-byte strings in a string of DEPTH bytes, and bytes of a surrounding.
 STARTS = DEPTH - GRAM + 1
 BEFORE = DEPTH - GRAM
 AROUND = BEFORE + DEPTH
 ROW = AROUND + 2
 PAD = 255
 #: Text bytes of a block of documents, and of the documents whose anchors make a shard.
-BLOCK_BYTES, SHARD_BYTES = 24 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 24 << 20, 6 << 20
 MOST_SHARDS = 1 << 14
 #: Bytes looked at together.
 SEGMENT = 4 << 20
@@ -102,7 +102,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         h += words[8 : 8 + m]
         h *= K2
         h ^= h >> np.uint64(29)
-        h += words[16 : 16 + m]
+        h += words[GRAM - 8 : GRAM - 8 + m]
         h *= K3
         h ^= h >> np.uint64(32)
         cut = ends[(ends > low) & (ends < high)] - low
