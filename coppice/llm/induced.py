@@ -139,8 +139,10 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.
         x = (words[a[rest] + k] ^ words[b[rest] + k]).astype(np.uint64)
         differ = x != 0
         at = rest[differ]
-        bits = 63 - np.frexp(x[differ].astype(np.float64))[1] + 1  # leading zeros; rounding up can hide at most one byte's edge
-        guess = k + bits // 8
+        y = x[differ]
+        guess = np.full(len(y), k)
+        for byte in range(1, 8):  # bytes at the front that agree
+            guess += y < np.uint64(1 << (64 - 8 * byte))
         out[at] = np.minimum(guess, DEPTH)
         rest = rest[~differ]
         if not len(rest):
