@@ -75,5 +75,13 @@ def sorted_labels(labels: DataFrame, value: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).alias(value))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)

@@ -34,7 +34,7 @@ BAD = re.compile(
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|text|story|blog|hentry)(?:$|[\s_\d-])", re.I)
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
-CONTAINERS = frozenset("article main body div section td blockquote center".split())
+CONTAINERS = frozenset("html article main body div section td blockquote center".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -169,7 +169,7 @@ def extract(page: str | None) -> str:
         if n.dropped or not n.chars:
             continue
         own = n.tag in PARAGRAPHS or n.tag in CONTAINERS and any(isinstance(x, str) and x.strip() for x in n.children)
-        if own and n.parent is not None or own and n.tag == "html":
+        if own:
             points = (1 + n.commas + min(n.chars / 100, 3)) * (1 - n.linked / n.chars)
             up, share, level = (n if n.tag in CONTAINERS else n.parent), 1.0, 0
             while up is not None and level < 4:

@@ -75,11 +75,12 @@ def tempered(share: np.ndarray, power: float = TEMPER) -> np.ndarray:
 
 def with_axes(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit(MISSING)), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(MISSING)), "_topic": topic_of(text), "_tokens": F.regexp_count(text, F.lit(WORD)).cast("bigint")})
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")
+    return rows.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit(MISSING)), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(MISSING)), "_topic": topic_of(text), "_tokens": F.regexp_count(text, F.lit(WORD)).cast("bigint")})
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = 1.0) -> DataFrame:
-    """docs with _topic, _tokens, _weight, _probability and _sampled. targets: shares by axis and level (others damped)."""
+    """_row (all columns of docs, whatever their names), _topic, _tokens, _weight, _probability and _sampled. targets: shares by axis and level (others damped)."""
     marked = with_axes(docs)
     cells = marked.groupBy(*(F.col(f"_{a}").alias(a) for a in AXES)).agg(F.sum("_tokens").alias("tokens")).persist()
     named = {a: levels(cells, a) for a in AXES}
@@ -105,9 +106,9 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     weight = F.coalesce("_weight", F.lit(1.0))
     chance = F.least(F.lit(1.0), weight * F.lit(rate / top))
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return joined.withColumns({"_weight": weight, "_probability": chance}).withColumn("_sampled", draw < F.col("_probability")).select(*docs.columns, "_topic", "_tokens", "_weight", "_probability", "_sampled")
+    return joined.withColumns({"_weight": weight, "_probability": chance}).withColumn("_sampled", draw < F.col("_probability")).select("_row", "_topic", "_tokens", "_weight", "_probability", "_sampled")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+    return found.select("_row.doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))

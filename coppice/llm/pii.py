@@ -15,8 +15,6 @@ columns are not read (the sanitised table keeps them).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,29 +217,12 @@ def redacted(body: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text of every row redacted; other columns as they were. Null texts stay null."""
-    cols = docs.columns
-    found = find_pii(docs, tuple(dict.fromkeys([*cols, "text"])))
-    return found.select(*(F.when(F.col("text").isNull(), None).otherwise(redacted(F.col("text"), F.col("_spans"))).alias("text") if c == "text" else F.col(c) for c in cols))
+    found = find_pii(docs.select(F.struct("*").alias("_all"), "text"), ("_all", "text"))
+    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_spans")))
+    return found.select(*(text.alias(c) if c == "text" else F.col("_all").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("_base", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(span_string(F.col("_base")), 256).alias("base_sha256"), span_string(F.col("_spans")).alias("spans"))
-
-
-def brute_spans(text: str) -> list[tuple[str, int, int]]:
-    """The base spans by Python's re, for tests."""
-    import re
-
-    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-    def good(kind: str, value: str) -> bool:
-        d = [int(c) for c in value if c in "0123456789"]
-        if kind == "ip":
-            return all(int(x) <= 255 for x in value.split("."))
-        if kind == "card":
-            return 16 <= len(d) <= 19 and reduce(lambda a, x: a + x, [c if k % 2 == 0 else 2 * c - 9 * (c > 4) for k, c in enumerate(reversed(d))]) % 10 == 0
-        return kind != "phone" or 8 <= len(d) <= 15
-
-    return [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, text) if good(k, m[0])]

@@ -25,6 +25,8 @@ CHUNK = 512
 #: Bounds of the training sample: documents, and evenly spaced chunks of one.
 TRAIN_DOCS, TRAIN_CHUNKS = 2400, 6
 EPOCHS, BATCH, RATE, DECAY = 7, 32, 0.01, 1e-4
+#: Steps at least, however small the sample.
+LEAST_STEPS = 300
 THRESHOLD = 0.3
 #: Chunks scored at once, which bounds memory however long a text is.
 AT_ONCE = 256
@@ -124,6 +126,7 @@ def train(docs: list[np.ndarray], truth: np.ndarray, epochs: int = EPOCHS, seed:
         net.out[:] = 0
         return net
     net = ByteConvNet(rng, float(truth.mean()))
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(docs)))
     one, two, t = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -163,17 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ByteConvNet:
     return train(chunks, (sample["quality"].to_numpy() > 0).astype(np.float32))
 
 
-def score_quality(docs: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score for every row."""
+def score_quality(docs: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """keep and the score for every row."""
 
     def run(batches):
         tables = net.pair_tables()
         for b in slices(batches):
             scores = pa.array([net.score(x, tables) for x in texts(b)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, name])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"]))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

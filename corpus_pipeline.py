@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.common import table
+from coppice.llm.common import fresh, table
 from coppice.llm.mixing import mixed
 from coppice.llm.pieces import encode_documents, read_model
 from coppice.llm.pii import sanitise
@@ -18,7 +18,8 @@ from coppice.llm.simhash import near_duplicates
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     net = fit(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, net, tuple(docs.columns)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "score")
+    return score_quality(docs, net, tuple(docs.columns), name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that tokens come by source, language and topic in the target shares."""
-    return mixed(docs).where("_sampled").select(*docs.columns)
+    return mixed(docs).where("_sampled").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
