@@ -3,8 +3,9 @@
 Token counts are summed by source, language and topic in one aggregate. The table of cells is bounded: the
 NAMED_LEVELS largest sources and languages have levels of their own and the rest share one, topics are few. On that
 table the driver rakes weights until the token shares of every source, language and topic are the targets. A document's
-probability of staying is the weight of its cell over the largest weight, times the wanted rate, and it is sampled by a
-hash of its doc_id, the same at every run.
+probability of staying is the weight of its cell over a top weight, times the wanted rate, at most 1; cells above the top
+weight hold CAPPED of the tokens at most, so that a few rare documents do not set the size of the whole sample. Documents
+are sampled by a hash of doc_id, the same ones at every run.
 
 Target shares may be given; by default a share is its corpus share to the power TEMPER, so large sources are damped.
 The synthetic tables have no topic column: the form of a text stands for it (topic_of).
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-NAMED_LEVELS, TEMPER, ROUNDS, TOLERANCE = 64, 0.7, 200, 1e-10
+NAMED_LEVELS, TEMPER, ROUNDS, TOLERANCE = 64, 0.9, 200, 1e-10
+#: Part of the tokens in cells that may want more than all of their documents; these stay whole, the others are sampled.
+CAPPED = 0.02
 OTHER, MISSING = "(other)", "(null)"
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 11
@@ -73,6 +76,16 @@ def tempered(share: np.ndarray, power: float = TEMPER) -> np.ndarray:
     return out / max(out.sum(), 1e-300)
 
 
+def top_weight(mass: np.ndarray, weights: np.ndarray, capped: float = CAPPED) -> float:
+    """The weight of the cell at which the mass, from the largest weights down, goes beyond that part."""
+    there = mass > 0
+    if not there.any():
+        return 1.0
+    order = np.argsort(-weights[there], kind="stable")
+    w, above = weights[there][order], np.cumsum(mass[there][order]) / mass.sum()
+    return float(w[min(int(np.searchsorted(above, capped, "right")), len(w) - 1)])
+
+
 def with_axes(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")
@@ -97,7 +110,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         given = (targets or {}).get(a)
         wanted.append(np.array([given.get(x, 0.0) for x in index[a]]) if given else tempered(share))
     weights = rake(mass, wanted)
-    top = weights[mass > 0].max() if (mass > 0).any() else 1.0
+    top = top_weight(mass, weights)
     spark = docs.sparkSession
     found = [(*(list(index[a])[i] for a, i in zip(AXES, at, strict=True)), float(weights[at])) for at in zip(*np.nonzero(mass > 0), strict=True)]
     known = spark.createDataFrame(found or [("", "", "", 1.0)], "_s string, _l string, _t string, _weight double")
