@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: range bounds are sampled anew at each run, so counts and rows must come from the same one."""
+    context = df.sparkSession.sparkContext
+    return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """df with a row number from 1 in the given total order: ranges are sorted each in its task, their counts give the offsets."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()  # a row a partition
     offsets, total = {}, 0
     for r in counts:
