@@ -217,8 +217,9 @@ def redacted(body: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text of every row redacted; other columns as they were. Null texts stay null."""
-    found = find_pii(docs.select(F.struct("*").alias("_all"), "text"), ("_all", "text"))
-    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_spans")))
+    found = find_pii(docs.select(F.struct("*").alias("_all"), "text"), ("_all",))
+    body = F.col("_all").getField("text")
+    text = F.when(body.isNotNull(), redacted(body, F.col("_spans")))
     return found.select(*(text.alias(c) if c == "text" else F.col("_all").getField(c).alias(c) for c in docs.columns))
 
 
