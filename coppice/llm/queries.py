@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, topk
+from . import licenses, suffix_dedup, topk
 from .html_extract import op4_html
 from .licenses import op2_licenses
 from .mixing import op6_mixing
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op2_licenses": licenses.oracle_sql(),
         "op5_topk": topk.ORACLE_SQL,
     }
