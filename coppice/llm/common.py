@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +80,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
