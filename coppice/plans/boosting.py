@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import subsample
 from ..operators.splits import Search
-from . import grow, registry
+from . import grow, local_boost, registry
 from .model import Ensemble, score_trees
 
 #: Rounds between cuts of the lineage of the prediction column.
@@ -38,7 +38,7 @@ class BoostingConfig:
     #: none, mild, original or experimental; uniform or weighted drop.
     normalise: str = "none"
     adaptive_drop: bool = False
-    skip_drop_for_prediction: bool = False
+    skip_drop_for_prediction: bool = True
 
 
 def mean_loss(rows: DataFrame, loss: registry.exprs.Loss, label: str, prediction: str) -> float:
@@ -103,7 +103,11 @@ def reweight(model: Ensemble, out: list[int], how: str, rate: float) -> None:
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: BoostingConfig = BoostingConfig(), validation: DataFrame | None = None) -> Ensemble:
     """Stops early on the validation loss, or on the training loss where there is none."""
     loss, rng = registry.loss(config.loss), random.Random(config.seed)
-    base = rows.agg(F.avg(label)).first()[0] or 0.0
+    n, base = rows.agg(F.count(F.lit(1)), F.avg(label)).first()
+    base = base or 0.0
+    plain = config.finder in ("exhaustive", "exact") and config.criterion == "mse" and config.subsample >= 1 and not (config.dart or config.line_search) and validation is None
+    if plain and n <= local_boost.LOCAL_TRAIN_ROWS:
+        return local_boost.train(rows, features, label, row_id, config.rounds, config.rate, grow.Growth(config.max_depth, config.min_leaf), local_boost.first_order(config.loss), base, lambda losses: should_stop(losses, config.patience, config.tolerance))
     model = Ensemble(features, base=base)
     search = Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed)
     growth = grow.Growth(config.max_depth, config.min_leaf)
@@ -140,10 +144,11 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     return model
 
 
-def predict(model: Ensemble, rows: DataFrame, config: BoostingConfig, seed: int = 0) -> DataFrame:
-    """Nothing is dropped, unless a DART model is asked to keep dropping."""
-    if config.dart and config.skip_drop_for_prediction is False:
-        return model.score(rows)
+def predict(model: Ensemble, rows: DataFrame, config: BoostingConfig) -> DataFrame:
+    """All trees, unless a DART model is asked not to skip dropping: then a seeded draw is left out, as in training."""
+    if config.dart and not config.skip_drop_for_prediction:
+        out = set(dropped(model, config, random.Random(config.seed)))
+        return model.score(rows, trees=[k for k in range(len(model.trees)) if k not in out])
     return model.score(rows)
 
 

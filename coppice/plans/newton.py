@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import columns_of, subsample
 from ..operators.splits import Search
-from . import grow, registry
+from . import grow, local_boost, registry
 from .boosting import CUT_EVERY, PREDICTION, mean_loss, should_stop
 from .model import Ensemble, score_trees
 
@@ -42,7 +42,11 @@ class NewtonConfig:
 
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: NewtonConfig = NewtonConfig(), validation: DataFrame | None = None) -> Ensemble:
     loss = registry.objective(config.objective)
-    base = rows.agg(F.avg(label)).first()[0] or 0.0
+    n, base = rows.agg(F.count(F.lit(1)), F.avg(label)).first()
+    base = base or 0.0
+    plain = not config.approximate and config.subsample >= 1 and config.colsample >= 1 and not config.alpha and validation is None
+    if plain and n <= local_boost.LOCAL_TRAIN_ROWS:
+        return local_boost.train(rows, features, label, row_id, config.rounds, config.eta, grow.Growth(config.max_depth, 1), local_boost.second_order(config.objective), base, lambda losses: should_stop(losses, config.patience, config.tolerance), (config.lam, config.gamma, config.min_child_weight))
     model = Ensemble(features, base=base)
     source = rows.select(row_id, label, *features).persist()
     now = source.withColumn(PREDICTION, F.lit(base))

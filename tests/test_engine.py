@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from coppice.functions import criteria, exprs
 from coppice.operators import binning, bundling, prune, sampling, splits
 from coppice.operators.splits import Search
-from coppice.plans import bagging, boosting, grow, leafwise, model, newton, registry
+from coppice.plans import bagging, boosting, grow, leafwise, local_boost, model, newton, registry
 
 FEATURES = ["f0", "f1"]
 
@@ -270,3 +270,31 @@ def test_registry():
 
 def test_log_cosh_does_not_overflow(spark):
     assert spark.range(1).select(exprs.log_cosh(F.lit(5000.0))).first()[0] == pytest.approx(5000 - math.log(2))
+
+
+@pytest.mark.parametrize("loss", ["squared", "huber:2", "absolute", "quantile:0.3"])
+def test_small_tables_boost_alike(rows, monkeypatch, loss):
+    config = boosting.BoostingConfig(loss=loss, rounds=2, max_depth=2)
+    a = boosting.train(rows, FEATURES, "label", "row_id", config)
+    monkeypatch.setattr(local_boost, "LOCAL_TRAIN_ROWS", 0)
+    b = boosting.train(rows, FEATURES, "label", "row_id", config)
+    assert all(same_tree(x, y) for x, y in zip(a.trees, b.trees, strict=True))
+    assert [h["train_loss"] for h in a.history] == pytest.approx([h["train_loss"] for h in b.history])
+
+
+@pytest.mark.parametrize("objective", ["reg:squarederror", "binary:logistic"])
+def test_small_tables_boost_alike_in_second_order(rows, monkeypatch, objective):
+    binary = rows.withColumn("label", (F.col("label") > 5).cast("double"))
+    config = newton.NewtonConfig(objective=objective, rounds=2, max_depth=2)
+    a = newton.train(binary, FEATURES, "label", "row_id", config)
+    monkeypatch.setattr(local_boost, "LOCAL_TRAIN_ROWS", 0)
+    b = newton.train(binary, FEATURES, "label", "row_id", config)
+    assert all(same_tree(x, y) for x, y in zip(a.trees, b.trees, strict=True))
+    assert a.factors() == pytest.approx(b.factors())
+
+
+def test_dropping_at_inference(rows):
+    made = boosting.train(rows, FEATURES, "label", "row_id", boosting.BoostingConfig(rounds=3, max_depth=1))
+    config = boosting.BoostingConfig(dart=True, drop_rate=0.9, skip_drop_for_prediction=False)
+    total = lambda df: df.agg(F.sum(F.col("prediction") * F.col("prediction"))).first()[0]
+    assert total(boosting.predict(made, rows, config)) != pytest.approx(total(boosting.predict(made, rows, boosting.dart(config, skip_drop_for_prediction=True))))
