@@ -32,6 +32,10 @@ BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|adsense|adbox|adslot|banner|breadcrumbs?|byline-ads|comments?|commentlist|respond|disqus|cookies?|consent|gdpr|footer|footnav|masthead|menu|menus|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|overlay|promo|promos|promoted|promotion|related|recommended|reader-comments|replies|reply|share|sharing|shoutbox|sidebar|sidebars|side-?bar|skyscraper|social|sponsor|sponsors|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets|login|signup|sign-up|search|alert|disclaimer|copyright|legal)(?:$|[\s_\d-])",
     re.I,
 )
+#: Names of what is no part of an article even where it is marked as one.
+NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-\w+|reply|replies|respond|disqus|related|promos?|sponsored|sponsor|adverts?|advertisements?|ads?|teasers?)(?:$|[\s_\d-])", re.I)
+#: Why a node is left out: by its name only, which an article inside it can outweigh, or for good.
+BY_NAME, FOR_GOOD = 1, 2
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|text|story|blog|hentry)(?:$|[\s_\d-])", re.I)
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 CONTAINERS = frozenset("html article main body div section td blockquote center".split())
@@ -54,26 +58,27 @@ class Node:
     def __init__(self, tag: str, parent: "Node | None", order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.children: list[Node | str] = []
-        self.score, self.weight, self.dropped = 0.0, 0.0, False
+        self.score, self.weight, self.dropped = 0.0, 0.0, 0
         self.chars = self.linked = self.commas = 0
 
 
 def _weigh(node: Node, attrs: str) -> None:
     """Sets what tag, class, id and role say of a node."""
     tag = node.tag
-    node.dropped = tag in DROPPED or tag == "header" and not _inside(node.parent, ("article", "main"))
+    node.dropped = FOR_GOOD if tag in DROPPED or tag == "header" and not _inside(node.parent, ("article", "main")) else 0
     if tag in ("article", "main"):
         node.weight = 25.0
     if attrs:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if found.get("role", "").lower() in DROPPED_ROLES or HIDDEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTR.sub(" ", attrs)):
-            node.dropped = True
-        if tag not in ("html", "body", "article", "main", "a"):
-            good = GOOD.search(names) is not None
-            if BAD.search(names) and not (good and tag not in PARAGRAPHS and not re.search(r"comment|\bads?\b|sidebar|footer|nav", names, re.I)):
-                node.dropped = True
-            node.weight += 25.0 if good else 0.0
+            node.dropped = FOR_GOOD
+        if tag not in ("html", "body", "main", "a"):
+            if NEVER.search(names):
+                node.dropped = node.dropped or FOR_GOOD
+            elif tag != "article" and BAD.search(names):
+                node.dropped = node.dropped or BY_NAME
+            node.weight += 25.0 if GOOD.search(names) else 0.0
         if found.get("role", "").lower() in ("main", "article"):
             node.weight += 25.0
 
@@ -150,8 +155,13 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = parse(page)
+    for n in nodes:
+        if n.tag in ("article", "main") and not n.dropped:
+            up = n.parent
+            while up is not None and up.dropped != FOR_GOOD:  # a page's frame may be named after its sidebar
+                up.dropped, up = 0, up.parent
     for n in nodes:  # parents come first
-        n.dropped = n.dropped or n.parent is not None and n.parent.dropped
+        n.dropped = n.dropped or (n.parent.dropped if n.parent is not None else 0)
     for n in reversed(nodes):
         if n.dropped:
             continue

@@ -25,6 +25,14 @@ def test_odd_pages(page, want):
     assert html_extract.extract(page) == want
 
 
+def test_names():
+    frame = '<body><div class="page has-sidebar"><div id="main-menu">Home, News, Sport</div>{}<div class="sidebar-left">Other, things, here</div></div></body>'
+    article = '<article class="post"><header><h1>Head</h1></header><p>Text, of the article.</p></article>'
+    comments = '<section id="comments"><article class="comment"><p>I, too, think, that, this, is, so, very, true, and, long</p></article></section>'
+    assert html_extract.extract(frame.format(article + comments)) == "Head Text, of the article."
+    assert html_extract.extract('<body><div class="content"><p>Some, text.</p><p>More, text.</p></div><div class="promo">Buy, this, now</div></body>') == "Some, text. More, text."
+
+
 def test_deep_nesting_does_not_recurse():
     assert html_extract.extract("<div>" * 20_000 + "<p>deep text, here</p>") == "deep text, here"
 
