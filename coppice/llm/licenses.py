@@ -10,26 +10,30 @@ count each time. Ties cannot be: a canonical form has one licence. Extra columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-# Steps to the canonical form, in order, on lower-case text. The same patterns serve Spark and DuckDB.
+# Steps to the canonical form, in order, on lower-case text: what a text must hold for the step to change
+# anything, pattern, and what takes its place. The same patterns serve Spark and DuckDB.
 STEPS = (
-    (r"(?m)^[^a-z0-9\n]*(copyright|©|\(c\))[^\n]*$", " "),
-    (r"all rights reserved", " "),
-    (r"licence|licens(?:e|ing)?\b", "license"),
-    (r"https?://(?:www\.)?", "http "),
-    (r"sub-?license", "sublicense"),
-    (r"non-?commercial", "noncommercial"),
-    (r"organis", "organiz"),
-    (r"\bversion\b", " "),
-    (r"\bv(?:er)?\.? ?([0-9])", "{1}"),
-    (r"&", " and "),
-    (r"[^a-z0-9]+", " "),
-    (r"^ +| +$", ""),
+    (("copyright", "©", "(c)"), r"(?m)^[^a-z0-9\n]*(copyright|©|\(c\))[^\n]*$", " "),
+    (("all rights reserved",), r"all rights reserved", " "),
+    (("licen",), r"licence|licens(?:e|ing)?\b", "license"),
+    (("http",), r"https?://(?:www\.)?", "http "),
+    (("sub-license",), r"sub-license", "sublicense"),
+    (("non-commercial",), r"non-commercial", "noncommercial"),
+    (("organis",), r"organis", "organiz"),
+    (("&",), r"&", " and "),
+    ((), r"[^a-z0-9]+", " "),
+    (("version",), r"\bversion\b ?", ""),
+    ((), r"( |^)v(?:er)? ?([0-9])", "{1}{2}"),
 )
+#: Every known text holds one of these, and no step takes them away; other lines need not be brought to canonical form.
+MARKS = ("licen", "permission", "redistribution", "cc0")
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -99,23 +103,23 @@ LICENSES = (
 )
 
 
-def canonical(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, by in STEPS:
-        out = F.regexp_replace(out, pattern, by.replace("{1}", "$1"))
-    return out
-
-
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null where that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the SHA-256 of the canonical form of a column; null where that is empty. A column a step: each is computed once."""
+    out = df.withColumn(name, F.lower(text))
+    for needs, pattern, by in STEPS:
+        changed = F.regexp_replace(name, pattern, by.replace("{1}", "$1").replace("{2}", "$2"))
+        held = reduce(lambda a, b: a | b, (F.contains(name, F.lit(x)) for x in needs)) if needs else None
+        out = out.withColumn(name, changed if held is None else F.when(held, changed).otherwise(F.col(name)))
+    out = out.withColumn(name, F.trim(name))
+    return out.withColumn(name, F.when(F.col(name) != "", F.sha2(name, 256)))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(known_digest, license), a row for each canonical form."""
+    if not all(any(m in text.lower() for m in MARKS) for _, text in LICENSES):
+        raise ValueError("a known text holds none of MARKS")
     every = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in LICENSES))
-    rows = spark.range(1).select(F.explode(every).alias("x")).select(digest(F.col("x.text")).alias("known_digest"), "x.license")
+    rows = with_digest(spark.range(1).select(F.explode(every).alias("x")).select("x.text", "x.license"), "text", "known_digest")
     return rows.groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
@@ -124,10 +128,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = F.broadcast(known_digests(spark))  # at most LICENSES rows
     rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    lines = rows.select("_row", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    hits = lines.select("_row", digest(F.col("line")).alias("known_digest")).join(known, "known_digest")
+    marked = reduce(lambda a, b: a | b, (F.contains(F.lower("line"), F.lit(m)) for m in MARKS))
+    lines = rows.select("_row", F.explode(F.split("text", "\n")).alias("line")).where(marked)
+    hits = with_digest(lines, "line", "known_digest").select("_row", "known_digest").join(known, "known_digest")
     notices = hits.groupBy("_row").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("_row", "doc_id", digest(F.col("text")).alias("digest")).join(known, F.col("digest") == F.col("known_digest"), "left")
+    whole = with_digest(rows, "text", "digest").select("_row", "doc_id", "digest").join(known, F.col("digest") == F.col("known_digest"), "left")
     return whole.join(notices, "_row", "left").select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -137,10 +142,9 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(text: str) -> str:
     out = f"lower({text})"
-    for pattern, by in STEPS:
-        p = pattern.replace("'", "''")
-        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, p, by.replace("{1}", "\\1"))
-    return out
+    for _, pattern, by in STEPS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), by.replace("{1}", "\\1").replace("{2}", "\\2"))
+    return f"trim({out})"
 
 
 def oracle_sql() -> str:
