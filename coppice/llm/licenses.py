@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -103,15 +103,23 @@ LICENSES = (
 )
 
 
-def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the SHA-256 of the canonical form of a column; null where that is empty. A column a step: each is computed once."""
-    out = df.withColumn(name, F.lower(text))
-    for needs, pattern, by in STEPS:
-        changed = F.regexp_replace(name, pattern, by.replace("{1}", "$1").replace("{2}", "$2"))
-        held = reduce(lambda a, b: a | b, (F.contains(name, F.lit(x)) for x in needs)) if needs else None
-        out = out.withColumn(name, changed if held is None else F.when(held, changed).otherwise(F.col(name)))
-    out = out.withColumn(name, F.trim(name))
-    return out.withColumn(name, F.when(F.col(name) != "", F.sha2(name, 256)))
+def digest(text: Column) -> Column:
+    """SHA-256 of the canonical form; null where that is empty. Lambdas name what each step has made, so that it is made once."""
+
+    def once(x: Column, f) -> Column:
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def step(needs: tuple[str, ...], pattern: str, by: str):
+        def change(x: Column) -> Column:
+            changed = F.regexp_replace(x, pattern, by.replace("{1}", "$1").replace("{2}", "$2"))
+            return F.when(reduce(lambda a, b: a | b, (F.contains(x, F.lit(n)) for n in needs)), changed).otherwise(x) if needs else changed
+
+        return change
+
+    out = F.lower(text)
+    for s in STEPS:
+        out = once(out, step(*s))
+    return once(F.trim(out), lambda x: F.when(x != "", F.sha2(x, 256)))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -119,7 +127,7 @@ def known_digests(spark: SparkSession) -> DataFrame:
     if not all(any(m in text.lower() for m in MARKS) for _, text in LICENSES):
         raise ValueError("a known text holds none of MARKS")
     every = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in LICENSES))
-    rows = with_digest(spark.range(1).select(F.explode(every).alias("x")).select("x.text", "x.license"), "text", "known_digest")
+    rows = spark.range(1).select(F.explode(every).alias("x")).select(digest(F.col("x.text")).alias("known_digest"), "x.license")
     return rows.groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
@@ -130,9 +138,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     marked = reduce(lambda a, b: a | b, (F.contains(F.lower("line"), F.lit(m)) for m in MARKS))
     lines = rows.select("_row", F.explode(F.split("text", "\n")).alias("line")).where(marked)
-    hits = with_digest(lines, "line", "known_digest").select("_row", "known_digest").join(known, "known_digest")
+    hits = lines.select("_row", digest(F.col("line")).alias("known_digest")).join(known, "known_digest")
     notices = hits.groupBy("_row").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = with_digest(rows, "text", "digest").select("_row", "doc_id", "digest").join(known, F.col("digest") == F.col("known_digest"), "left")
+    whole = rows.select("_row", "doc_id", digest(F.col("text")).alias("digest")).join(known, F.col("digest") == F.col("known_digest"), "left")
     return whole.join(notices, "_row", "left").select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
