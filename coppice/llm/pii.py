@@ -2,7 +2,9 @@
 
 Base patterns find the protected entities of every whole text. The words near them are candidate terms; how strongly a
 term reveals an entity is its pointwise mutual information with it, estimated from document counts over the whole
-corpus. A term that carries at least DISCLOSURE of the information of the entity beside it is removed as well.
+corpus. A term that carries at least DISCLOSURE of the information of the entity beside it is removed as well. No pair is
+too rare to count: a term in df of n documents is expected in (df + 1) / (n + 1) of others (rule of succession), so one
+document is evidence that grows with the corpus.
 
 Plan: one scan makes a small table of spans and contexts (written to the shared folder, it holds no texts); pairs of
 term and entity are counted from it; a second scan counts in how many documents each term that is left stands, with the
@@ -37,9 +39,8 @@ NOT_TERM = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 #: Words on either side of an entity, and characters in which they are looked for.
 NEAR_WORDS, NEAR_CHARS = 5, 96
-#: Documents in which term and entity must stand together, least length of a term, and the part of an entity's
-#: information that a term may not give away.
-SUPPORT, TERM_CHARS, DISCLOSURE = 3, 4, 0.9
+#: Least length of a term, and the part of an entity's information that a term may not give away.
+TERM_CHARS, DISCLOSURE = 4, 0.9
 BROADCAST_TERMS = 200_000
 #: Sums run over blocks of so many, so that long lists cost no square of their length.
 BLOCK = 256
@@ -163,21 +164,25 @@ def document_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFram
 def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term) of the pairs whose mutual information is at least DISCLOSURE of the entity's information."""
     inside = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = inside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = inside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     near = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near"))
     entities = found.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
-    # The mutual information is log2(both / df) more than the entity's information. A term stands in at least as many
-    # documents as it stands near entities in, so pairs that fail with that count need no count over the corpus.
-    least = (DISCLOSURE - 1) * information
-    rated = pairs.join(entities, "entity").join(near, "term").where((information > 0) & (F.log2(F.col("both") / F.col("near")) >= least))
+
+    def reveals(df: str) -> Column:
+        shared = F.log2(F.col("both") / F.col("of_entity") * (n_docs + 1) / (F.col(df) + 1))
+        return (information > 0) & (shared >= DISCLOSURE * information)
+
+    # A term stands in at least as many documents as it stands near entities in, so pairs that fail with that count need
+    # no count over the corpus.
+    rated = pairs.join(entities, "entity").join(near, "term").where(reveals("near"))
     known = materialise(rated.select("entity", "term", "both", "of_entity"))
     terms = known.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return known.select("entity", "term")
     counted = known.join(document_counts(docs, terms, n_terms), "term")
-    return counted.where(F.log2(F.col("both") / F.col("df")) >= least).select("entity", "term")
+    return counted.where(reveals("df")).select("entity", "term")
 
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

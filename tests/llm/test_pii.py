@@ -43,6 +43,14 @@ def test_terms_that_reveal(spark):
     assert all(found[i] == "" for i, _ in rows[4:])
 
 
+def test_owner_of_an_address_in_one_document(spark):
+    """One document is enough for the owner's name to go with the address; a common word beside it stays."""
+    rows = [(0, "please ask Zebulon at zeb@mail.example.org about things")] + [(i, "please ask us at home about things") for i in range(1, 2000)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert clean.pop(0) == "please ask [TERM] at [EMAIL] about things"
+    assert clean == dict(rows[1:])
+
+
 @pytest.mark.parametrize("spans_,want", [([], "abcdef"), ([("email", 0, 2)], "[EMAIL]cdef"), ([("card", 1, 4), ("phone", 3, 6)], "a[CARD]"), ([("ip", 4, 6), ("email", 0, 1)], "[EMAIL]bcd[IP]")])
 def test_redaction(spark, spans_, want):
     df = spark.createDataFrame([("abcdef", [(k, a, z, "") for k, a, z in spans_])], "t string, s " + pii.SPAN)
