@@ -3,9 +3,10 @@
 Token counts are summed by source, language and topic in one aggregate. The table of cells is bounded: the
 NAMED_LEVELS largest sources and languages have levels of their own and the rest share one, topics are few. On that
 table the driver rakes weights until the token shares of every source, language and topic are the targets. A document's
-probability of staying is the weight of its cell over a top weight, times the wanted rate, at most 1; cells above the top
-weight hold CAPPED of the tokens at most, so that a few rare documents do not set the size of the whole sample. Documents
-are sampled by a hash of doc_id, the same ones at every run.
+expected copies are the weight of its cell over a top weight, times the wanted rate, so expected shares are the targets
+whatever they are. Cells above the top weight hold CAPPED of the tokens at most, so that a few rare documents do not set
+the size of the whole sample; their documents are drawn more than once, as far as no more documents are expected than
+there are. Documents are sampled by a hash of doc_id, the same ones at every run.
 
 Target shares may be given; by default a share is its corpus share to the power TEMPER, so large sources are damped.
 The synthetic tables have no topic column: the form of a text stands for it (topic_of).
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 NAMED_LEVELS, TEMPER, ROUNDS, TOLERANCE = 64, 0.9, 200, 1e-10
-#: Part of the tokens in cells that may want more than all of their documents; these stay whole, the others are sampled.
+#: Part of the tokens in cells that may want more than all of their documents; these are repeated, the others are sampled.
 CAPPED = 0.02
 OTHER, MISSING = "(other)", "(null)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,35 +94,42 @@ def with_axes(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = 1.0) -> DataFrame:
-    """_row (all columns of docs, whatever their names), _topic, _tokens, _weight, _probability and _sampled. targets: shares by axis and level (others damped)."""
+    """_row (all columns of docs, whatever their names), _topic, _tokens, _weight, _probability (of at least one copy), _sampled and _copies. targets: shares by axis and level (others damped)."""
     marked = with_axes(docs)
-    cells = marked.groupBy(*(F.col(f"_{a}").alias(a) for a in AXES)).agg(F.sum("_tokens").alias("tokens")).persist()
+    cells = marked.groupBy(*(F.col(f"_{a}").alias(a) for a in AXES)).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).persist()
     named = {a: levels(cells, a) for a in AXES}
     level = {a: F.when(F.col(a).isin(named[a]), F.col(a)).otherwise(OTHER) for a in AXES}
-    small = cells.groupBy(*(level[a].alias(a) for a in AXES)).agg(F.sum("tokens").alias("tokens")).toPandas()  # (NAMED_LEVELS + 1)^2 * topics at most
+    small = cells.groupBy(*(level[a].alias(a) for a in AXES)).agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).toPandas()  # (NAMED_LEVELS + 1)^2 * topics at most
     cells.unpersist()
     index = {a: {x: k for k, x in enumerate([*named[a], OTHER])} for a in AXES}
     mass = np.zeros([len(index[a]) for a in AXES])
+    n = np.zeros_like(mass)
     for r in small.itertuples():
-        mass[tuple(index[a][getattr(r, a)] for a in AXES)] += r.tokens
+        at = tuple(index[a][getattr(r, a)] for a in AXES)
+        mass[at] += r.tokens
+        n[at] += r.n
     wanted = []
     for k, a in enumerate(AXES):
         share = mass.sum(tuple(i for i in range(3) if i != k)) / max(mass.sum(), 1)
         given = (targets or {}).get(a)
         wanted.append(np.array([given.get(x, 0.0) for x in index[a]]) if given else tempered(share))
     weights = rake(mass, wanted)
-    top = top_weight(mass, weights)
+    # No more documents are expected than there are, however often some come.
+    top = max(top_weight(mass, weights), float((n * np.where(mass > 0, weights, 1.0)).sum() / max(n.sum(), 1)))
     spark = docs.sparkSession
     found = [(*(list(index[a])[i] for a, i in zip(AXES, at, strict=True)), float(weights[at])) for at in zip(*np.nonzero(mass > 0), strict=True)]
     known = spark.createDataFrame(found or [("", "", "", 1.0)], "_s string, _l string, _t string, _weight double")
     on = [F.when(F.col(f"_{a}").isin(named[a]), F.col(f"_{a}")).otherwise(OTHER) == F.col(c) for a, c in zip(AXES, ("_s", "_l", "_t"), strict=True)]
     joined = marked.join(F.broadcast(known), on, "left")
     weight = F.coalesce("_weight", F.lit(1.0))
-    chance = F.least(F.lit(1.0), weight * F.lit(rate / top))
+    expected = weight * F.lit(rate / top)
+    whole = F.floor(expected)
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return joined.withColumns({"_weight": weight, "_probability": chance}).withColumn("_sampled", draw < F.col("_probability")).select("_row", "_topic", "_tokens", "_weight", "_probability", "_sampled")
+    copies = (whole + F.coalesce(draw < expected - whole, F.lit(False)).cast("int")).cast("int")
+    drawn = joined.withColumns({"_weight": weight, "_probability": F.least(F.lit(1.0), expected), "_copies": copies})
+    return drawn.withColumn("_sampled", F.col("_copies") > 0).select("_row", "_topic", "_tokens", "_weight", "_probability", "_sampled", "_copies")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("_row.doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+    return found.select("_row.doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"), F.col("_copies").alias("copies"))

@@ -34,8 +34,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens come by source, language and topic in the target shares."""
-    return mixed(docs).where("_sampled").select("_row.*")
+    """Documents sampled so that tokens come by source, language and topic in the target shares; some come more than once."""
+    drawn = mixed(docs).where("_sampled")
+    return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,17 @@ def test_mixing(spark, odd_docs, no_docs):
     assert abs(got["big"] - got["small"]) < 120 and got["small"] == 800
 
 
+def test_mixing_raises_a_rare_level(spark):
+    """A level under 2 % of the tokens is raised to its target, and the other axes keep theirs."""
+    rare = F.col("id") % 200 == 0
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.when(rare, "rare").otherwise("big").alias("source"))
+    rows = mixing.mixed(many, {"source": {"rare": 0.3, "big": 0.7}, "lang": {"de": 0.2, "en": 0.8}})
+    total = rows.agg(F.sum(F.col("_tokens") * F.col("_copies"))).first()[0]
+    for axis, level, want in (("source", "rare", 0.3), ("lang", "de", 0.2)):
+        part = rows.where(F.col(f"_row.{axis}") == level)
+        assert abs(part.agg(F.sum(F.col("_tokens") * F.col("_copies"))).first()[0] / total - want) < 0.01
+
+
 def test_licenses(spark, odd_docs, no_docs):
     mit = dict((n, t) for n, t in licenses.LICENSES if len(t) > 500)
     texts = ["Copyright (c) 2020 Someone\nAll rights reserved.\n" + mit["MIT"].upper().replace(",", " ,"), "text\nReleased under the MIT licence\nLicensed under CC BY-NC 4.0.", mit["MIT"] + " and more", None, "", "© me"]
