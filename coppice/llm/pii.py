@@ -1,14 +1,15 @@
 """PII by information-theoretic sanitisation, in DataFrame functions only.
 
-Base patterns find the protected entities of every whole text. The words near them are candidate terms; how strongly a
-term reveals an entity is its pointwise mutual information with it, estimated from document counts over the whole
-corpus. A term that carries at least DISCLOSURE of the information of the entity beside it is removed as well. No pair is
-too rare to count: a term in df of n documents is expected in (df + 1) / (n + 1) of others (rule of succession), so one
+Base patterns find the protected entities of every whole text. All words of a text with entities are candidate terms; how
+strongly a term reveals an entity is its pointwise mutual information with it, estimated from document counts over the
+whole corpus. A term that carries at least DISCLOSURE of the information of an entity is removed as well, at every place
+in the documents that hold both. No pair is too rare to count: a term in df of n documents is expected in (df + 1) / (n + 1) of others (rule of succession), so one
 document is evidence that grows with the corpus.
 
-Plan: one scan makes a small table of spans and contexts (written to the shared folder, it holds no texts); pairs of
-term and entity are counted from it; a second scan counts in how many documents each term that is left stands, with the
-terms broadcast while their number is below BROADCAST_TERMS and joined by a shuffle beyond it.
+Plan: one scan makes a table of spans (written to the shared folder, with the texts and words of documents that have
+entities); a second scan counts in how many documents each of their words stands; words in too many documents to disclose
+any entity are dropped, and the rest paired with entities. Small tables are broadcast while they have at most
+BROADCAST_TERMS rows and joined by a shuffle beyond it.
 
 Null texts are empty and have no spans. Positions are code points, ends are exclusive; spans of different kinds may
 overlap, and one replacement then covers both. Repeated rows are rows of their own; rows without doc_id are kept. Extra
@@ -17,7 +18,7 @@ columns are not read (the sanitised table keeps them).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -37,11 +38,9 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[\p{L}\p{N}]+"
 NOT_TERM = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-#: Words on either side of an entity, and characters in which they are looked for.
-NEAR_WORDS, NEAR_CHARS = 5, 96
-#: Least length of a term, and the part of an entity's information that a term may not give away.
-TERM_CHARS, DISCLOSURE = 4, 0.9
-BROADCAST_TERMS = 200_000
+#: The part of an entity's information that a term may not give away.
+DISCLOSURE = 0.9
+BROADCAST_TERMS = 20_000
 #: Sums run over blocks of so many, so that long lists cost no square of their length.
 BLOCK = 256
 
@@ -134,71 +133,74 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def near_terms(spans: Column) -> Column:
-    """Terms within NEAR_WORDS of each span: entity, term, start, end. Words cut by the window's edge are left out."""
+def words_of(text: Column) -> Column:
+    """The distinct terms of a text, in small letters."""
+    words = F.array_distinct(F.split(text, NOT_TERM))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w != ""))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - NEAR_CHARS, F.lit(0))
-        before = F.substring(F.col("_body"), low + 1, s["start"] - low)
-        after = F.substring(F.col("_body"), s["end"] + 1, F.lit(NEAR_CHARS))
 
-        def words(part: Column, at: Column, first: bool) -> Column:
-            every = located(part, F.regexp_extract_all(part, F.lit(TERM), F.lit(0)), F.split(part, TERM, -1), "term")
-            size = F.length(part)
-            whole = F.filter(every, (lambda w: (w["start"] > 0) | (low == 0)) if first else (lambda w: (w["end"] < size) | (size < NEAR_CHARS)))
-            some = F.slice(whole, F.greatest(F.size(whole) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS) if first else F.slice(whole, 1, NEAR_WORDS)
-            return F.transform(some, lambda w: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
+def entity_of(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.lower(s["value"]))
 
-        return F.filter(F.concat(words(before, low, True), words(after, s["end"], False)), lambda t: F.length(t["term"]) >= TERM_CHARS)
 
-    return F.flatten(F.transform(spans, around))
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, df): documents whose whole text holds each of the terms."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term")).where(F.length("term") >= TERM_CHARS)
-    wanted = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    return words.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def most_documents(of_entity: Column, both: Column, n_docs: int) -> Column:
+    """Documents in which a term may stand at most and disclose an entity beside which it stands in both of of_entity."""
+    shared = F.lit(DISCLOSURE) * F.log2(F.lit(float(n_docs)) / of_entity)
+    return both / of_entity * (n_docs + 1) / F.pow(F.lit(2.0), shared) - 1 + 1e-9
 
 
 def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term) of the pairs whose mutual information is at least DISCLOSURE of the entity's information."""
-    inside = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = inside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    near = found.where("size(_terms) > 0").select(F.explode(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near"))
-    entities = found.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
-
-    def reveals(df: str) -> Column:
-        shared = F.log2(F.col("both") / F.col("of_entity") * (n_docs + 1) / (F.col(df) + 1))
-        return (information > 0) & (shared >= DISCLOSURE * information)
-
-    # A term stands in at least as many documents as it stands near entities in, so pairs that fail with that count need
-    # no count over the corpus.
-    rated = pairs.join(entities, "entity").join(near, "term").where(reveals("near"))
-    known = materialise(rated.select("entity", "term", "both", "of_entity"))
-    terms = known.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return known.select("entity", "term")
-    counted = known.join(document_counts(docs, terms, n_terms), "term")
-    return counted.where(reveals("df")).select("entity", "term")
+    """(_row, term): terms of each document whose mutual information with one of its entities is at least DISCLOSURE of the entity's information."""
+    entities = found.select("_row", F.explode(F.array_distinct(F.transform("_base", entity_of))).alias("entity"))
+    # Entities of the same documents have the same counts with any term and are one class, so that a long list of
+    # entities costs no pairs of its own.
+    at = F.xxhash64("_row")
+    by_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor(at).alias("xor"), F.sum(at.cast("decimal(20,0)")).alias("sum"))
+    known = materialise(by_entity.where(F.col("of_entity") < n_docs).select("entity", "of_entity", F.struct("of_entity", "xor", "sum").alias("class")))
+    most = known.agg(F.max("of_entity")).first()[0]
+    if most is None:
+        return found.select("_row", F.lit("").alias("term")).limit(0)
+    classes = entities.join(small(known), "entity").select("_row", "class").distinct()
+    near = found.select(F.explode("_words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near"))
+    # No term in more documents than this discloses any entity; the limit grows with of_entity.
+    rare = near.where(F.col("near") <= most_documents(F.lit(most), F.lit(most), n_docs)).select("term")
+    # Counted where they stand before they are dealt out.
+    counts = docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = materialise(counts.where(F.col("df") <= most_documents(F.lit(most), F.lit(most), n_docs)).join(rare, "term"))
+    held = materialise(found.select("_row", F.explode("_words").alias("term")).join(small(terms), "term").select("_row", "term", "df"))
+    # Pairs of a class and a term in more documents than the class allows are left out where they stand.
+    limit = F.col("df") <= most_documents(F.col("class.of_entity"), F.col("class.of_entity"), n_docs)
+    pairs = materialise(held.join(classes, "_row").where(limit).select("_row", "class", "term", "df"))
+    rated = pairs.groupBy("class", "term", "df").agg(F.count(F.lit(1)).alias("both"))
+    kept = materialise(rated.where(F.col("df") <= most_documents(F.col("class.of_entity"), F.col("both"), n_docs)).select("class", "term"))
+    return pairs.join(small(kept), ["class", "term"]).select("_row", "term").distinct()
 
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, _base (base spans) and _spans (all spans, base ones first) of every row."""
     scanned = with_base_spans(docs.select(*dict.fromkeys([*keep, "text"])))
     kept = scanned.select(*keep, "_body", base_spans().alias("_base"))
-    kept = kept.select(*keep, "_base", F.when(F.size("_base") > 0, near_terms(F.col("_base"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")).alias("_terms"))
-    found = materialise(kept.withColumn("_row", F.monotonically_increasing_id()))
-    with_terms = found.where("size(_terms) > 0")
-    pairs = disclosing(docs, found.where("size(_base) > 0"), found.count())
-    at = with_terms.select("_row", "_base", F.explode("_terms").alias("t")).where(~F.exists("_base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"])))
-    added = at.select("_row", F.col("t.entity").alias("entity"), F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(pairs, ["entity", "term"])
-    # At most twice NEAR_WORDS for each span of the document's own.
+    some = F.size("_base") > 0
+    found = materialise(kept.select(*keep, "_base", F.when(some, F.col("_body")).alias("_body"), F.when(some, words_of(F.col("_body"))).alias("_words"), F.monotonically_increasing_id().alias("_row")))
+    holding = found.where(some)
+    terms = materialise(disclosing(docs, holding.select("_row", "_base", "_words"), found.count()))
+    texts = holding.join(terms.select("_row").distinct(), "_row")
+    split = texts.select("_row", F.regexp_extract_all("_body", F.lit(TERM), F.lit(0)).alias("_m"), F.split("_body", TERM, -1).alias("_g"))
+    steps = split.select("_row", F.posexplode(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), m.alias("value")))).alias("at", "word"))
+    # A window over the words of one document.
+    end = F.sum("word.step").over(Window.partitionBy("_row").orderBy("at")).cast("int")
+    words = steps.select("_row", F.lower("word.value").alias("term"), (end - F.length("word.value")).alias("start"), end.alias("end"))
+    at = words.join(terms, ["_row", "term"]).join(holding.select("_row", "_base"), "_row")
+    added = at.where(~F.exists("_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    # At most the words of the document.
     by_row = added.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("end")))).alias("_added"))
     extra = F.transform(F.coalesce("_added", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("value")))
-    return found.join(by_row, "_row", "left").select(*keep, "_base", F.concat("_base", extra.cast(SPAN)).alias("_spans"))
+    return found.select(*keep, "_base", "_row").join(by_row, "_row", "left").select(*keep, "_base", F.concat("_base", extra.cast(SPAN)).alias("_spans"))
 
 
 def redacted(body: Column, spans: Column) -> Column:

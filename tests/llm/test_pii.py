@@ -51,6 +51,16 @@ def test_owner_of_an_address_in_one_document(spark):
     assert clean == dict(rows[1:])
 
 
+def test_terms_anywhere_in_the_document(spark):
+    """A short name far from the address goes at each of its places in documents with the address, and only there."""
+    far = "we ask about things at home " * 40
+    rows = [(i, f"Ann Lee\n{far}a@mail.example.org {far}So Lee, said Ann") for i in range(3)] + [(i, far) for i in range(3, 3000)] + [(3000, "home of Kim")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(3):
+        assert clean[i].startswith("[TERM] [TERM]\nwe ask") and clean[i].endswith("[TERM] [TERM], [TERM] [TERM]") and clean[i].count("[TERM]") == 6
+    assert all(clean[i] == t for i, t in rows[3:])
+
+
 @pytest.mark.parametrize("spans_,want", [([], "abcdef"), ([("email", 0, 2)], "[EMAIL]cdef"), ([("card", 1, 4), ("phone", 3, 6)], "a[CARD]"), ([("ip", 4, 6), ("email", 0, 1)], "[EMAIL]bcd[IP]")])
 def test_redaction(spark, spans_, want):
     df = spark.createDataFrame([("abcdef", [(k, a, z, "") for k, a, z in spans_])], "t string, s " + pii.SPAN)
