@@ -22,6 +22,18 @@ def test_statistics(text):
     assert quality_rules.statistics(text.encode())[:5] == quality_base(text)[:5]
 
 
+def test_distinct_words_of_the_whole_text():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((0, 1), (1, 1), (199, 50), (200, 50), (201, 50), (700, 90)):
+        words = [b"%d" % x for x in rng.integers(0, kinds, n)]
+        spans = [words[i : i + 200] for i in range(max(1, n - 199))]
+        want = np.mean([len(set(w)) / max(1, len(w)) for w in spans])
+        assert abs(quality_rules.statistics(b" ".join(words))[-1] - want) < 1e-12
+    head = [b"w%d" % i for i in range(200)]
+    spam = [b"s%d" % x for x in rng.integers(0, 9, 4000)]
+    assert quality_rules.statistics(b" ".join(head + spam))[-1] < 0.2 and quality_rules.statistics(b" ".join(spam + head))[-1] < 0.2
+
+
 def test_rules_empty_tables(no_docs, odd_docs, odd_labels):
     assert quality_rules.quality_rules(no_docs, odd_labels).collect() == []
     rows = quality_rules.quality_rules(odd_docs, odd_labels.limit(0)).collect()
