@@ -1,5 +1,7 @@
 """HTML extraction, top-k, mixing, licences."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,18 +47,19 @@ def test_pages_table(spark):
 
 
 def brute_topk(rows, k=10):
-    good = [(i, [int(np.floor(np.float64(x) * 1024)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [math.floor(float(x) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in {i: v for i, v in good if i % 100 == 0}.items():
         found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+        out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e5])
+@pytest.mark.parametrize("scale", [1.0, 7e5, 1e9])
 def test_topk(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "VECTORS_A_TILE", 16)
     monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 2)
+    monkeypatch.setattr(topk, "WAVE", 2)
     rng = np.random.default_rng(2)
     same = (rng.normal(size=6) * scale).astype(np.float32).tolist()
     rows = [(i, (rng.normal(size=6) * scale).astype(np.float32).tolist() if i % 3 else same) for i in range(0, 410, 2)]
