@@ -127,6 +127,12 @@ for _tau in ("0.25", "0.5", "0.75"):
 # --- split search --------------------------------------------------------------------------------------------------
 
 
+def uniform_sql(*parts: str) -> str:
+    """The SQL of splits.uniform."""
+    text = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
 def split_sql(m: Matrix, finder: str, root: bool) -> str:
     """The SQL of best_splits: the same sums by value or bin, running sums and ties."""
     name, param = registry.finder(finder)
@@ -159,12 +165,7 @@ k AS (SELECT *, {count} AS bins FROM s), e AS (SELECT feature, CASE WHEN x + 1 =
         head += ", v AS (SELECT *, sum(n * (value - sv / tn) * (value - sv / tn)) OVER (PARTITION BY node_id, feature) / tn AS var FROM w), z AS (SELECT *, sqrt(var) / (abs(sv / tn) + 1e-12) AS cv FROM v), y AS (SELECT *, greatest(2, least(CASE WHEN cv < 0.1 THEN least(greatest(floor(sqrt(tn) / 2), 4), 16) ELSE least(greatest(floor(sqrt(tn)), 8), 64) END, floor(tn / 5.0))) AS bins FROM z), x AS (SELECT *, greatest(5, floor(tn / bins)) AS size FROM y)"
         source, where = "x", "nxt > value + 1e-12 AND tn >= 10 AND ln % size = 0 AND ln >= 5 AND tn - ln >= 5"
     elif name == "random":
-        h = "7"
-        for part in ("node_id", "feature", "j", "42"):
-            h = f"(({h}) * 48271 + CAST({part} AS BIGINT) * 69621 + 12345) % 2147483647"
-        for _ in range(3):
-            h = f"(({h}) * 48271 + 11) % 2147483647"
-        head += f", q AS (SELECT *, lo + ({h}) / 2147483647.0::DOUBLE * (hi - lo) AS thr FROM w, LATERAL (SELECT unnest(range(1, {int(param) + 1})) AS j))"
+        head += f", q AS (SELECT *, lo + {uniform_sql('node_id', 'feature', 'j', '42')} * (hi - lo) AS thr FROM w, LATERAL (SELECT unnest(range(1, {int(param) + 1})) AS j))"
         source, middle, where = "q", "thr", "hi - lo >= 1e-12 AND value <= thr AND nxt > thr"
     return f"""{head}, f AS (SELECT node_id, feature, {middle} AS threshold, (ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln)) / tn - (ts / tn) * (ts / tn) AS gain, ln, tn FROM {source} WHERE {where}),
 o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY gain DESC, feature, threshold) AS rn FROM f WHERE gain > 0)
@@ -470,15 +471,6 @@ def leafwise_train(spark, sf):
 _GRAD = f"WITH b AS ({E.oracle}), g AS (SELECT row_id, label - 20 AS g FROM b), r AS (SELECT *, row_number() OVER (ORDER BY abs(g) DESC, row_id) AS rn, count(*) OVER () AS n FROM g)"
 
 
-def uniform_sql(*parts: str) -> str:
-    h = "7"
-    for part in parts:
-        h = f"(({h}) * 48271 + CAST({part} AS BIGINT) * 69621 + 12345) % 2147483647"
-    for _ in range(3):
-        h = f"(({h}) * 48271 + 11) % 2147483647"
-    return f"({h}) / 2147483647.0::DOUBLE"
-
-
 def _gradients(spark: SparkSession, sf: str) -> DataFrame:
     return E.read(spark, sf).select("row_id", (F.col("label") - 20).alias("g"))
 

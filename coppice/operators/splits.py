@@ -40,19 +40,18 @@ class Search:
 
 
 def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
-    """node, feature, value, a, b: a counts (or sums H), b sums labels (or G); n counts rows."""
+    """node, feature, value, a, b, n: a counts (or sums H), b sums labels (or G), n counts rows (or sums weights). Rows without a value are one more group, at the right of every threshold."""
     keys = [s.node]
-    if s.newton:
-        one, two = F.col(s.newton[1]), F.col(s.newton[0])
-    else:
-        w = F.col(s.weight).cast("double") if s.weight else F.lit(1.0)
-        one, two = w, w * F.col(s.label)
-    value = (lambda k, c: binning.bin_of(F.col(c).cast("double"), s.edges[k]).cast("double")) if by_bin else (lambda k, c: F.col(c).cast("double"))
+    w = F.col(s.weight).cast("double") if s.weight else F.lit(1.0)
+    one, two = (F.col(s.newton[1]), F.col(s.newton[0])) if s.newton else (w, w * F.col(s.label))
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    value = (lambda k, c: binning.bin_of(known(c), s.edges[k]).cast("double")) if by_bin else (lambda k, c: known(c))
     pairs = F.array(*(F.struct(F.lit(k).cast("int").alias("feature"), value(k, c).alias("value")) for k, c in enumerate(s.features)))
-    flat = rows.select(*keys, one.alias("_a"), two.alias("_b"), F.inline(pairs))
+    flat = rows.select(*keys, one.alias("_a"), two.alias("_b"), w.alias("_w"), F.inline(pairs))
     if s.allowed is not None:
         flat = flat.where(s.allowed)
-    made = flat.where("value is not null").groupBy(*keys, "feature", "value").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.count(F.lit(1)).alias("n"))
+    count = F.sum("_w") if s.weight and not s.newton else F.count(F.lit(1))
+    made = flat.groupBy(*keys, "feature", "value").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), count.alias("n"))
     if not by_bin:
         return made.withColumn("upper", F.col("value"))
     edge = F.lit(None).cast("double")
@@ -63,10 +62,12 @@ def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
 
 
 def cumulative(made: DataFrame, s: Search) -> DataFrame:
-    """With la, lb, ln (left of or at value), ta, tb, tn (all) and nxt (the next value that occurs)."""
+    """With la, lb, ln (left of or at value), ta, tb, tn (all), vn (those with a value) and nxt (the next value that occurs)."""
     w = Window.partitionBy(s.node, "feature")
-    run = w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return made.withColumns({"la": F.sum("a").over(run), "lb": F.sum("b").over(run), "ln": F.sum("n").over(run), "ta": F.sum("a").over(w), "tb": F.sum("b").over(w), "tn": F.sum("n").over(w), "nxt": F.lead("upper").over(w.orderBy("value"))})
+    order = w.orderBy(F.asc_nulls_last("value"))
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    return made.withColumns({"la": F.sum("a").over(run), "lb": F.sum("b").over(run), "ln": F.sum("n").over(run), "ta": F.sum("a").over(w), "tb": F.sum("b").over(w), "tn": F.sum("n").over(w), "vn": F.sum(known).over(w), "nxt": F.lead("upper").over(order)})
 
 
 def gain(s: Search) -> Column:
@@ -88,22 +89,22 @@ def candidates(rows: DataFrame, s: Search) -> DataFrame:
     if name == "quartile":
         hit = F.lit(False)
         for q in (0.25, 0.5, 0.75):
-            rank = F.floor(q * (F.col("tn") - 1))
+            rank = F.floor(q * (F.col("vn") - 1))
             hit = hit | ((F.col("ln") > rank) & (F.col("ln") - F.col("n") <= rank))
-        return cum.where(hit & (F.col("tn") >= 4) & F.col("nxt").isNotNull()).withColumn("threshold", F.col("value"))
+        return cum.where(hit & (F.col("vn") >= 4) & F.col("nxt").isNotNull()).withColumn("threshold", F.col("value"))
     if name == "adaptive_eq":
         least = 5
         w = Window.partitionBy(s.node, "feature")
-        mean = F.sum(F.col("value") * F.col("n")).over(w) / F.col("tn")
+        mean = F.sum(F.col("value") * F.col("n")).over(w) / F.col("vn")
         spread = cum.withColumn("_mean", mean)
-        var = F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))).over(w) / F.col("tn")
+        var = F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))).over(w) / F.col("vn")
         spread = spread.withColumn("_cv", F.sqrt(var) / (F.abs("_mean") + GAP))
-        root = F.sqrt(F.col("tn").cast("double"))
+        root = F.sqrt(F.col("vn").cast("double"))
         most = int(param) if param else 64
         bins = F.when(F.col("_cv") < 0.1, F.least(F.greatest(F.floor(root / 2), F.lit(4)), F.lit(16))).otherwise(F.least(F.greatest(F.floor(root), F.lit(8)), F.lit(most)))
-        bins = F.greatest(F.lit(2), F.least(bins, F.floor(F.col("tn") / least)))
-        size = F.greatest(F.lit(least), F.floor(F.col("tn") / bins))
-        return spread.withColumn("_size", size).where(apart & (F.col("tn") >= 2 * least) & (F.col("ln") % F.col("_size") == 0) & (F.col("ln") >= least) & (F.col("tn") - F.col("ln") >= least)).withColumn("threshold", middle)
+        bins = F.greatest(F.lit(2), F.least(bins, F.floor(F.col("vn") / least)))
+        size = F.greatest(F.lit(least), F.floor(F.col("vn") / bins))
+        return spread.withColumn("_size", size).where(apart & (F.col("vn") >= 2 * least) & (F.col("ln") % F.col("_size") == 0) & (F.col("ln") >= least) & (F.col("vn") - F.col("ln") >= least)).withColumn("threshold", middle)
     if name == "random":
         # The last value at or below a draw gives the sums at its left.
         w = Window.partitionBy(s.node, "feature")
@@ -114,18 +115,13 @@ def candidates(rows: DataFrame, s: Search) -> DataFrame:
 
 
 def uniform(*parts: Column | int) -> Column:
-    """A number in [0, 1) from integers, by arithmetic that any SQL engine repeats."""
-    x = F.lit(7).cast("bigint")
-    for p in parts:
-        p = F.lit(p) if isinstance(p, int) else p
-        x = (x * 48271 + p.cast("bigint") * 69621 + 12345) % 2147483647
-    for _ in range(3):
-        x = (x * 48271 + 11) % 2147483647
-    return x.cast("double") / 2147483647.0
+    """A number in [0, 1) from integers of any size: 52 bits of the MD5 of their decimal forms, which any SQL engine repeats."""
+    text = F.concat_ws(":", *((F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def best_splits(rows: DataFrame, s: Search) -> DataFrame:
-    """node, feature, threshold, gain, n_left, n_right: at most a row a node. Gains of zero or less are no split."""
+    """node, feature, threshold, gain, n_left, n_right (rows or weights): at most a row a node. Gains of zero or less are no split."""
     found = candidates(rows, s)
     if s.criterion.partition(":")[0] not in ("", "mse") and registry.finder(s.finder)[0] in ("quartile", "adaptive_eq") and not s.newton:
         scored = by_criterion(rows, found.select(s.node, "feature", "threshold", "ln", "tn"), s)
@@ -138,7 +134,7 @@ def best_splits(rows: DataFrame, s: Search) -> DataFrame:
     # The best of each feature first: a node's window then sees a row a feature.
     per_feature = Window.partitionBy(s.node, "feature").orderBy(F.desc("gain"), "threshold")
     first = kept.withColumn("_rn", F.row_number().over(per_feature)).where("_rn = 1")
-    return first.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(s.node, "feature", "threshold", "gain", F.col("ln").cast("bigint").alias("n_left"), (F.col("tn") - F.col("ln")).cast("bigint").alias("n_right"))
+    return first.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))))
 
 
 def by_criterion(rows: DataFrame, found: DataFrame, s: Search) -> DataFrame:
@@ -154,6 +150,8 @@ def by_criterion(rows: DataFrame, found: DataFrame, s: Search) -> DataFrame:
 def with_edges(rows: DataFrame, s: Search) -> Search:
     """The search with bin edges from all rows, if its finder bins; done once a fit."""
     name, param = registry.finder(s.finder)
+    if s.edges:
+        return s
     if name == "histogram_ew":
         edges = binning.equal_width(rows, s.features, int(param))
     elif name == "histogram_eq":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.criteria import evaluate
 from ..operators.sampling import with_bootstrap
-from ..operators.splits import Search
+from ..operators.splits import Search, with_edges
 from . import grow
 from .model import NODES, Ensemble, Node, arrays, walk
 
@@ -38,17 +38,18 @@ def assignment(trees: int, workers: int) -> list[tuple[int, int]]:
 
 
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: BaggingConfig = BaggingConfig()) -> tuple[Ensemble, DataFrame]:
-    """(ensemble, numbered rows with rn). Trees whose bags fit in a task grow side by side, others level by level over the cluster."""
+    """(ensemble, numbered rows with rn). Trees whose bags fit in a task grow side by side, others together, level by level over the cluster."""
     bag, ranked = with_bootstrap(rows.select(row_id, label, *features), row_id, config.trees, config.ratio, config.seed)
     growth = grow.Growth(config.max_depth, config.min_leaf)
     n = int(rows.count() * config.ratio)
     if n <= TREE_ROWS and config.finder in ("exhaustive", "exact") and config.criterion == "mse":
         trees = side_by_side(bag, features, label, growth)
     else:
-        trees = {}
-        for k in range(config.trees):
-            s = Search(features=features, label=label, weight="w", finder=config.finder, criterion=config.criterion, seed=config.seed + k)
-            trees[k] = grow.level_wise(bag.where(F.col("tree_id") == k), s, growth)
+        weight = "w"
+        if config.criterion != "mse":  # other criteria look at single rows: a row drawn twice is there twice
+            bag, weight = bag.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("_again"), None
+        s = with_edges(ranked, Search(features=features, label=label, weight=weight, finder=config.finder, criterion=config.criterion, seed=config.seed))
+        trees = dict(enumerate(grow.forest(bag.withColumnRenamed("tree_id", s.node), s, growth, config.trees)))
     out = Ensemble(features, average=True)
     for k in range(config.trees):
         out.add(trees.get(k, {0: Node(0, 0)}))

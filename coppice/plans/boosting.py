@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import subsample
-from ..operators.splits import Search
+from ..operators.splits import Search, with_edges
 from . import grow, local_boost, registry
 from .model import Ensemble, score_trees
 
@@ -109,10 +109,10 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     if plain and n <= local_boost.LOCAL_TRAIN_ROWS:
         return local_boost.train(rows, features, label, row_id, config.rounds, config.rate, grow.Growth(config.max_depth, config.min_leaf), local_boost.first_order(config.loss), base, lambda losses: should_stop(losses, config.patience, config.tolerance))
     model = Ensemble(features, base=base)
-    search = Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed)
     growth = grow.Growth(config.max_depth, config.min_leaf)
     source = rows.select(row_id, label, *features).persist()
-    now = source.withColumn(PREDICTION, F.lit(base))
+    search = with_edges(source, Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed))
+    now, held = source.withColumn(PREDICTION, F.lit(base)), None
     losses: list[float] = []
     for i in range(config.rounds):
         out = dropped(model, config, rng) if config.dart else []
@@ -135,12 +135,14 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
         step = score_trees([tree, *(model.trees[k] for k in changed)], [float(after[-1]), *(float(after[k] - before[k]) for k in changed)], features)
         now = now.withColumn(PREDICTION, F.col(PREDICTION) + step)
         if (i + 1) % CUT_EVERY == 0:
-            now = now.checkpoint() if grow.has_checkpoint(rows.sparkSession) else now.persist()
+            now, held = grow.cut(now, held)
         model.history.append({"iter": i, "train_loss": train_loss, "lr": rate, "n_dropped": len(out)})
         losses.append(mean_loss(model.score(validation, PREDICTION), loss, label, PREDICTION) if validation is not None else train_loss)
         if should_stop(losses, config.patience, config.tolerance):
             break
-    source.unpersist()
+    for x in (source, held):
+        if x is not None:
+            x.unpersist()
     return model
 
 

@@ -16,6 +16,10 @@ from .model import NODES, Node, Tree
 
 #: Rows up to which a node's whole subtree is grown in one task, and levels between checkpoints.
 LOCAL_ROWS, CHECKPOINT_EVERY = 20_000, 8
+#: Nodes up to which a table of them is sent to every executor.
+BROADCAST_NODES = 100_000
+#: Nodes up to which they are written into the plan instead; the rows are the same.
+FEW_NODES = 64
 
 
 @dataclass(frozen=True)
@@ -50,30 +54,51 @@ def route(tree: dict[int, Node], split: list[int], features: list[str], node: st
     return out if cond is None else cond.otherwise(out).cast("int")
 
 
+def of_nodes(rows: DataFrame, node: str, ids: list[int]) -> DataFrame:
+    """The rows of these nodes, by a join with their ids where they are many."""
+    if len(ids) <= FEW_NODES:
+        return rows.where(F.col(node).isin(ids))
+    table = rows.sparkSession.createDataFrame([(k,) for k in ids], f"`{node}` int")
+    return rows.join(F.broadcast(table) if len(ids) <= BROADCAST_NODES else table, node, "left_semi")
+
+
+def routed(rows: DataFrame, tree: Tree, split: list[int], features: list[str], node: str) -> DataFrame:
+    """The rows of the nodes just split, each at its child, by a join with the table of splits where they are many. Rows without a value go right."""
+    if len(split) <= FEW_NODES:
+        return rows.where(F.col(node).isin(split)).withColumn(node, route(tree, split, features, node))
+    made = [(k, tree[k].feature, tree[k].threshold, tree[k].left, tree[k].right) for k in split]
+    table = rows.sparkSession.createDataFrame(made, f"`{node}` int, _f int, _t double, _l int, _r int")
+    value = F.get(F.array(*(F.col(c).cast("double") for c in features)), F.col("_f"))
+    joined = rows.join(F.broadcast(table) if len(split) <= BROADCAST_NODES else table, node)
+    return joined.withColumn(node, F.when(value <= F.col("_t"), F.col("_l")).otherwise(F.col("_r"))).select(*rows.columns)
+
+
 def level_wise(rows: DataFrame, s: Search, growth: Growth) -> Tree:
     """One tree. Stops at depth, at fewer than 2 * min_leaf rows, without gain, or where the best split has a small side."""
+    return forest(rows.withColumn(s.node, F.lit(0)), s, growth, 1)[0]
+
+
+def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]:
+    """Trees grown together, a plan a level for all: a row stands in the tree that its node column (0 to roots - 1) names."""
     s = with_edges(rows, s)
     keep = [*dict.fromkeys([*s.features, s.label, *([s.weight] if s.weight else []), *(s.newton or ())])]
-    now = rows.select(*keep, F.lit(0).cast("int").alias(s.node)).persist()
-    tree: Tree = {}
-    found = totals(now, s)
-    if 0 not in found:
-        now.unpersist()
-        return {0: Node(0, 0)}
-    n, mean, metric = found[0]
-    tree[0] = Node(0, 0, n, metric, mean, mean)
-    open_nodes, depth, next_id, held = [0], 0, 1, now
+    now = rows.select(*keep, F.col(s.node).cast("int").alias(s.node)).persist()
+    tree: Tree = {k: Node(k, 0) for k in range(roots)}
+    for k, (n, mean, metric) in totals(now, s).items():
+        tree[k] = Node(k, 0, n, metric, mean, mean)
+    open_nodes, depth, next_id, held = list(range(roots)), 0, roots, now
     while open_nodes and depth < growth.max_depth:
         grow = [k for k in open_nodes if tree[k].samples >= max(2, 2 * growth.min_leaf)]
         if s.newton:
             grow = [k for k in grow if tree[k].metric >= s.min_child_weight]
-        small = [k for k in grow if tree[k].samples <= LOCAL_ROWS] if growth.finish_locally and local_finder(s) and depth + 1 < growth.max_depth else []
+        small = [k for k in grow if tree[k].samples <= LOCAL_ROWS] if growth.finish_locally and local_finder(s) else []
         if small:
-            next_id = finish(now.where(F.col(s.node).isin(small)), s, growth, tree, next_id)
-            grow = [k for k in grow if k not in set(small)]
+            next_id = finish(of_nodes(now, s.node, small), s, growth, tree, next_id)
+            done = set(small)
+            grow = [k for k in grow if k not in done]
         if not grow:
             break
-        splits = best_splits(now.where(F.col(s.node).isin(grow)), s).collect()  # a row an open node at most
+        splits = best_splits(of_nodes(now, s.node, grow), s).collect()  # a row an open node at most
         split = []
         for r in sorted(splits, key=lambda r: r[s.node]):
             k = r[s.node]
@@ -87,7 +112,7 @@ def level_wise(rows: DataFrame, s: Search, growth: Growth) -> Tree:
             break
         depth += 1
         open_nodes = [c for k in split for c in (tree[k].left, tree[k].right)]
-        moved = now.where(F.col(s.node).isin(split)).withColumn(s.node, route(tree, split, s.features, s.node))
+        moved = routed(now, tree, split, s.features, s.node)
         moved = moved.checkpoint(False) if depth % CHECKPOINT_EVERY == 0 and has_checkpoint(rows.sparkSession) else moved
         moved = moved.persist()
         for k, (n, mean, metric) in totals(moved, s).items():
@@ -95,13 +120,43 @@ def level_wise(rows: DataFrame, s: Search, growth: Growth) -> Tree:
         held.unpersist()
         now = held = moved
     held.unpersist()
-    return tree
+    return [below(tree, k) for k in range(roots)]
+
+
+def below(nodes: Tree, root: int) -> Tree:
+    """The tree under a root, its nodes numbered anew in their order, the root 0."""
+    ids, stack = [], [root]
+    while stack:
+        n = nodes[stack.pop()]
+        ids.append(n.node_id)
+        if not n.is_leaf:
+            stack += [n.left, n.right]
+    order = {k: i for i, k in enumerate(sorted(ids))}
+    out: Tree = {}
+    for k in sorted(ids):
+        n = nodes[k]
+        n.node_id = order[k]
+        if not n.is_leaf:
+            n.left, n.right = order[n.left], order[n.right]
+        out[n.node_id] = n
+    return out
 
 
 def has_checkpoint(spark: SparkSession) -> bool:
     return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
+def cut(now: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows computed once, and what to free later: a checkpoint where there is a folder, else a copy in memory that replaces the one before."""
+    if has_checkpoint(now.sparkSession):
+        return now.checkpoint(), held
+    kept = now.persist()
+    kept.count()
+    if held is not None:
+        held.unpersist()
+    return kept, kept
+
+
 def local_finder(s: Search) -> bool:
     return s.finder in ("exhaustive", "exact") and s.criterion == "mse" and s.allowed is None
 
@@ -149,15 +204,16 @@ def local_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, growth: Growth, dept
     while stack:
         k, d, at = stack.pop()
         wt, yt = w[at], y[at]
-        n = wt.sum()
+        n = int(round(wt.sum()))
         if second:
             h = second[0][at]
             mean = -yt.sum() / (h.sum() + second[1]) if h.sum() + second[1] > 0 else 0.0
             metric = float(h.sum())
         else:
-            mean = float((wt * yt).sum() / n) if n else 0.0
-            metric = float(max(0.0, (wt * (yt - mean) ** 2).sum() / n)) if n else 0.0
-        tree[k] = Node(k, d, int(round(n)), metric, float(mean), float(mean))
+            total = float(wt.sum())
+            mean = float((wt * yt).sum() / total) if total else 0.0
+            metric = float(max(0.0, (wt * (yt - mean) ** 2).sum() / total)) if total else 0.0
+        tree[k] = Node(k, d, n, metric, float(mean), float(mean))
         if d >= growth.max_depth or n < max(2, 2 * growth.min_leaf) or second and metric < second[3]:
             continue
         best = local_split(x[at], yt, wt, None if not second else (second[0][at], *second[1:]), mean)

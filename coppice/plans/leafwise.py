@@ -103,22 +103,24 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     base = rows.agg(F.avg(label)).first()[0] or 0.0
     model = Ensemble(features, base=base)
     source = rows.select(row_id, label, *features).persist()
-    now = source.withColumn(PREDICTION, F.lit(base))
+    now, held = source.withColumn(PREDICTION, F.lit(base)), None
     finder = config.finder or f"histogram_ew:{config.max_bin}"
+    search = with_edges(source, Search(features=features, label=RESIDUAL, weight="w", finder=finder, seed=config.seed))
     losses: list[float] = []
     for i in range(config.rounds):
         resid = now.withColumn(RESIDUAL, F.col(label) - F.col(PREDICTION))
         train_loss = resid.agg(F.avg(0.5 * F.col(RESIDUAL) * F.col(RESIDUAL))).first()[0] or 0.0
         sampled = goss(resid, RESIDUAL, row_id, config.top_rate, config.other_rate, config.seed + i, True) if config.use_goss else resid.withColumn("w", F.lit(1.0))
-        s = Search(features=features, label=RESIDUAL, weight="w", finder=finder, seed=config.seed)
-        tree = leaf_wise(sampled, s, config)
+        tree = leaf_wise(sampled, search, config)
         model.add(tree, 1.0, config.rate)
         now = now.withColumn(PREDICTION, F.col(PREDICTION) + score_trees([tree], [config.rate], features))
         if (i + 1) % CUT_EVERY == 0:
-            now = now.checkpoint() if grow.has_checkpoint(rows.sparkSession) else now.persist()
+            now, held = grow.cut(now, held)
         model.history.append({"iter": i, "train_loss": train_loss, "lr": config.rate, "n_dropped": 0})
         losses.append(train_loss)
         if should_stop(losses, config.patience, config.tolerance):
             break
-    source.unpersist()
+    for x in (source, held):
+        if x is not None:
+            x.unpersist()
     return model

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import columns_of, subsample
-from ..operators.splits import Search
+from ..operators.splits import Search, with_edges
 from . import grow, local_boost, registry
 from .boosting import CUT_EVERY, PREDICTION, mean_loss, should_stop
 from .model import Ensemble, score_trees
@@ -49,14 +49,16 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
         return local_boost.train(rows, features, label, row_id, config.rounds, config.eta, grow.Growth(config.max_depth, 1), local_boost.second_order(config.objective), base, lambda losses: should_stop(losses, config.patience, config.tolerance), (config.lam, config.gamma, config.min_child_weight))
     model = Ensemble(features, base=base)
     source = rows.select(row_id, label, *features).persist()
-    now = source.withColumn(PREDICTION, F.lit(base))
+    now, held = source.withColumn(PREDICTION, F.lit(base)), None
+    finder = f"histogram_ew:{config.max_bins}" if config.approximate else "exhaustive"
+    edges = with_edges(source, Search(features=features, finder=finder)).edges
     losses: list[float] = []
     for i in range(config.rounds):
         train_loss = mean_loss(now, loss, label, PREDICTION)
         y, p = F.col(label), F.col(PREDICTION)
         with_g = subsample(now.withColumns({"_g": loss.gradient(y, p), "_h": loss.hessian(y, p)}), row_id, config.subsample, config.seed + i)
         chosen = columns_of(features, config.colsample, config.seed + i)
-        s = Search(features=[features[k] for k in chosen], label=label, newton=("_g", "_h"), lam=config.lam, gamma=config.gamma, min_child_weight=config.min_child_weight, finder=f"histogram_ew:{config.max_bins}" if config.approximate else "exhaustive")
+        s = Search(features=[features[k] for k in chosen], label=label, newton=("_g", "_h"), lam=config.lam, gamma=config.gamma, min_child_weight=config.min_child_weight, finder=finder, edges={i: edges[k] for i, k in enumerate(chosen)} if edges else {})
         tree = grow.level_wise(with_g, s, grow.Growth(config.max_depth, 1))
         for n in tree.values():
             n.feature = chosen[n.feature] if not n.is_leaf else -1
@@ -67,12 +69,14 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
         model.add(tree, config.eta)
         now = now.withColumn(PREDICTION, F.col(PREDICTION) + score_trees([tree], [config.eta], features))
         if (i + 1) % CUT_EVERY == 0:
-            now = now.checkpoint() if grow.has_checkpoint(rows.sparkSession) else now.persist()
+            now, held = grow.cut(now, held)
         model.history.append({"iter": i, "train_loss": train_loss, "lr": config.eta, "n_dropped": 0})
         losses.append(mean_loss(model.score(validation, PREDICTION), loss, label, PREDICTION) if validation is not None else train_loss)
         if should_stop(losses, config.patience, config.tolerance):
             break
-    source.unpersist()
+    for x in (source, held):
+        if x is not None:
+            x.unpersist()
     return model
 
 

@@ -85,6 +85,62 @@ def same_tree(a, b):
     return {(n.depth, n.is_leaf, n.feature, round(n.threshold, 9), n.samples, round(n.prediction, 9)) for n in a.values()} == {(n.depth, n.is_leaf, n.feature, round(n.threshold, 9), n.samples, round(n.prediction, 9)) for n in b.values()}
 
 
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """Rows with nulls and NaN in both features."""
+    made = [(i, None if i % 7 == 0 else a, float("nan") if i % 11 == 0 else b, y) for i, a, b, y in data(400, 3)]
+    return spark.createDataFrame(made, "row_id bigint, f0 double, f1 double, label double").withColumn("node_id", F.lit(0)).cache()
+
+
+@pytest.mark.parametrize("min_leaf", [1, 6])
+def test_rows_without_values_go_right_wherever_trees_grow(gaps, monkeypatch, min_leaf):
+    s, growth = Search(features=FEATURES), grow.Growth(5, min_leaf)
+    a = grow.level_wise(gaps, s, growth)
+    b = grow.level_wise(gaps, s, grow.Growth(5, min_leaf, finish_locally=False))
+    monkeypatch.setattr(grow, "FEW_NODES", 0)
+    c = grow.level_wise(gaps, s, grow.Growth(5, min_leaf, finish_locally=False))
+    assert same_tree(a, b) and same_tree(a, c) and len(a) > 5
+    root, scored = b[0], tree_rows(gaps.sparkSession, b, gaps)
+    assert b[root.left].samples == gaps.where(F.col(FEATURES[root.feature]) <= root.threshold).count()
+    assert scored.where("prediction is null").count() == 0
+
+
+@pytest.mark.parametrize("min_leaf", [1, 6])
+def test_weights_count_in_min_leaf_wherever_trees_grow(gaps, monkeypatch, min_leaf):
+    config = bagging.BaggingConfig(trees=3, max_depth=4, min_leaf=min_leaf)
+    a, _ = bagging.train(gaps, FEATURES, "label", "row_id", config)
+    monkeypatch.setattr(bagging, "TREE_ROWS", 0)
+    b, _ = bagging.train(gaps, FEATURES, "label", "row_id", config)
+    monkeypatch.setattr(grow, "LOCAL_ROWS", 0)
+    c, _ = bagging.train(gaps, FEATURES, "label", "row_id", config)
+    for x, y, z in zip(a.trees, b.trees, c.trees, strict=True):
+        assert same_tree(x, y) and same_tree(x, z)
+        assert all(n.samples >= min_leaf for n in x.values())
+
+
+@pytest.mark.parametrize("objective", ["reg:squarederror", "binary:logistic"])
+def test_gaps_boost_alike(gaps, monkeypatch, objective):
+    binary = gaps.withColumn("label", (F.col("label") > 5).cast("double"))
+    config = newton.NewtonConfig(objective=objective, rounds=2, max_depth=3)
+    a = newton.train(binary, FEATURES, "label", "row_id", config)
+    monkeypatch.setattr(local_boost, "LOCAL_TRAIN_ROWS", 0)
+    monkeypatch.setattr(grow, "LOCAL_ROWS", 0)
+    b = newton.train(binary, FEATURES, "label", "row_id", config)
+    assert all(same_tree(x, y) for x, y in zip(a.trees, b.trees, strict=True))
+
+
+def test_draws_are_a_bootstrap(spark):
+    n = 15_000
+    drawn = sampling.bootstrap(spark.range(n).withColumnRenamed("id", "row_id"), "row_id", 3).groupBy("tree_id").agg(F.count(F.lit(1)).alias("different"), F.max("w").alias("most"), F.sum("w").alias("all"), F.count_if(F.col("w") == 1).alias("once")).collect()
+    for r in drawn:
+        assert r["all"] == n and abs(r["different"] / n - (1 - math.exp(-1))) < 0.01 and 5 <= r["most"] <= 12 and abs(r["once"] / n - math.exp(-1)) < 0.015
+    far = spark.createDataFrame([(2**62 + k,) for k in range(2000)], "row_id bigint")
+    us = sorted(r[0] for r in far.select(splits.uniform(F.lit(1), F.col("row_id"))).collect())
+    assert len(set(us)) == 2000 and max(abs(u - k / 2000) for k, u in enumerate(us)) < 0.045
+    steps = [b - a for a, b in zip(us, us[1:])]
+    assert len({round(x, 9) for x in steps}) > 1900
+
+
 def test_level_wise_equals_local_growth(rows):
     s = Search(features=FEATURES)
     a = grow.level_wise(rows, s, grow.Growth(4, 5, finish_locally=False))
