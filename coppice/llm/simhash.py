@@ -12,11 +12,17 @@ stars on tables in the shared folder. Copies with one fingerprint are one node.
 Null and empty texts have fingerprint zero and are linked like any others. Fewer than four words are one shingle. Equal
 rows share a component; rows without doc_id keep a null component_id unless others share theirs. Extra columns are not
 read. Counts over all fingerprints are bounded tables (64 x 64 bit pairs, 65,536 cells a partition).
+
+near_copies judges similarity instead: the same search, wide enough for edited copies, runs over FINDERS fingerprints of
+FIND-word shingles; what it finds is joined to minimal spanning forests by fingerprints of 64 * WIDE bits over five-word
+shingles, and each link of these is checked on the texts: a Jaccard similarity of five-word shingles of 0.8. Null and empty texts are copies of each other; rows without doc_id count
+last, and of rows with one doc_id and text one stays.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +40,12 @@ PARTITION_COUNTS, ROW_COST, PAIR_COST = (2, 3, 4, 5), 3000.0, 10.0
 HIST_BITS = 14
 #: Largest bucket that is compared member by member; larger ones meet at fingerprints in between.
 COMPARED = 4096
+#: near_copies finds by FINDERS fingerprints over shingles of FIND words, in one of which FIND_DISTANCE bits differ at most.
+FIND, FINDERS, FIND_DISTANCE = 2, 2, 7
+#: It judges by the angle between fingerprints of WIDE words over shingles of JUDGE words, with so much room for the angle's error, and then by the shingles.
+JUDGE, WIDE, SIMILARITY, ROOM = 5, 8, 0.8, 0.04
+#: Pairs compared together, and pairs of a bucket up to which they are laid out flat.
+PAIRS, FLAT = 1 << 21, 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -318,6 +330,250 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all shingles of so many words; fewer words are one shingle."""
+    n = max(1, len(words) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(min(size, len(words))):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    return out
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of so many 64-bit words: each bit is that of most hashes, which every word draws anew."""
+    count = np.zeros(BITS * words, np.int64)
+    step = 255 * 64  # bytes hold sums of 255
+    for k in range(0, len(hashes), step):
+        part = hashes[k : k + step]
+        drawn = np.zeros((-(-len(part) // 255) * 255, words), "<u8")
+        for w in range(words):
+            drawn[: len(part), w] = mixed(part + np.uint64((w * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
+        bits = np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little")
+        count += bits.reshape(-1, 255, BITS * words).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes) -> np.ndarray:
+    """FINDERS words to find a text by, and WIDE words to judge it by; zeros without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(FINDERS + WIDE, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.concatenate([majority(shingle_hashes(h, FIND), FINDERS), majority(shingle_hashes(h, JUDGE), WIDE)])
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of WIDE words that differ where five-word shingles have that Jaccard similarity."""
+    return int(BITS * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def bucket_rows(nodes: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
+    """bucket, own, fp, node: each fingerprint in its own bucket of every partition, and as a visitor in those within its threshold."""
+
+    def run(batches):
+        for b in slices(batches, 2048):
+            fps, node = b.column("fp").to_numpy().view(np.uint64), b.column("node")
+            for k, (bits, t) in enumerate(layout):
+                m = masks(len(bits), t)
+                keys = (take_bits(fps, bits)[:, None] ^ m[None, :] | np.uint64(k << 56)).ravel().view(np.int64)
+                at = pa.array(np.repeat(np.arange(len(fps)), len(m)))
+                own = pa.array(np.tile(m == 0, len(fps)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), own, b.column("fp").take(at), node.take(at)], ["bucket", "own", "fp", "node"])
+
+    return nodes.select("fp", "node").mapInArrow(run, "bucket bigint, own boolean, fp bigint, node bigint")
+
+
+def found_groups(own: np.ndarray, fps: np.ndarray, cuts: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Members (indices) that hang together by pairs of an owner and another within the distance, of each bucket cuts[k]..cuts[k + 1]. Owners come first."""
+    sizes = np.diff(cuts)
+    owners = np.add.reduceat(own, cuts[:-1], dtype=np.int64)
+    out: list[np.ndarray] = []
+    for k in np.flatnonzero(owners * sizes > FLAT).tolist():
+        out += dense_groups(own[cuts[k] : cuts[k + 1]], fps[cuts[k] : cuts[k + 1]], distance, int(cuts[k]))
+    flat = owners * sizes <= FLAT
+    first = np.flatnonzero(own & np.repeat(flat, sizes))
+    rest = np.repeat(cuts[1:], sizes)[first] - first - 1  # members after it
+    label: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while label.setdefault(x, x) != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    upto = np.cumsum(rest)
+    a = 0
+    while a < len(first):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        i, n = first[a:z], rest[a:z]
+        left = np.repeat(i, n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.flatnonzero(np.bitwise_count(fps[left] ^ fps[right]) <= distance)
+        for x, y in zip(left[near].tolist(), right[near].tolist(), strict=True):
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                label[max(rx, ry)] = min(rx, ry)
+        a = z
+    groups: dict[int, list[int]] = {}
+    for x in label:
+        groups.setdefault(root(x), []).append(x)
+    return out + [np.array(sorted(g)) for g in groups.values()]
+
+
+def dense_groups(own: np.ndarray, fps: np.ndarray, distance: int, offset: int) -> list[np.ndarray]:
+    """The same for one large bucket, member by member among those not reached yet."""
+    out, alone = [], np.arange(len(fps))
+    while len(alone):
+        queue, group, alone = [alone[0]], [], alone[1:]
+        while queue and len(alone):
+            x = queue.pop()
+            group.append(x)
+            hit = np.bitwise_count(fps[alone] ^ fps[x]) <= distance
+            hit &= own[alone] | own[x]
+            queue.extend(alone[hit].tolist())
+            alone = alone[~hit]
+        group += queue
+        if len(group) > 1:
+            out.append(np.sort(np.array(group, np.int64)) + offset)
+    return out
+
+
+def groups_of(nodes: DataFrame, layout: list[tuple[list[int], int]], distance: int) -> DataFrame:
+    """(group, node): nodes that hang together in a bucket; equal groups of several buckets have one name."""
+
+    def run(batches):
+        parts = [(b.column("bucket").to_numpy(), b.column("own").to_numpy(zero_copy_only=False), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()) for b in batches]
+        found: dict[int, np.ndarray] = {}
+        if parts:
+            bucket, own, fps, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((node, ~own, bucket))
+            bucket, own, fps, node = bucket[order], own[order], fps[order], node[order]
+            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+            for g in found_groups(own, fps, cuts, distance):
+                members = np.unique(node[g])
+                if len(members) > 1:
+                    found[xxhash.xxh64_intdigest(members.tobytes()) >> 1] = members
+        names = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x in found.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["group", "node"])
+
+    return bucket_rows(nodes, layout).repartition("bucket").mapInArrow(run, "group bigint, node bigint")
+
+
+def judged(members: DataFrame, most: int) -> DataFrame:
+    """(u, v): minimal spanning forests of the links of each group whose wide fingerprints differ in so many bits at most."""
+
+    def forest_of(node: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+        out, rest, at = [], np.arange(1, len(node)), 0
+        best, near = np.full(len(node), BITS * WIDE + 1), np.zeros(len(node), np.int64)
+        while len(rest):
+            d = np.bitwise_count(wide[rest] ^ wide[at]).sum(1, dtype=np.int64)
+            closer = d < best[rest]
+            best[rest[closer]], near[rest[closer]] = d[closer], at
+            k = int(np.argmin(best[rest]))
+            at = int(rest[k])
+            rest = np.delete(rest, k)
+            if best[at] <= most:
+                out.append((int(node[near[at]]), int(node[at])))
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            name, node = b.column("group").to_numpy(), b.column("node").to_numpy()
+            wide = np.column_stack([b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)])
+            cuts = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(name)]]) if len(name) else np.zeros(1, int)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if name[a] != now:
+                    yield edges(held)
+                    now, held = name[a], []
+                held.append((node[a:z], wide[a:z]))
+        yield edges(held)
+
+    def edges(held):
+        found = forest_of(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else []
+        e = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+    return members.repartition("group").sortWithinPartitions("group").mapInArrow(run, "u bigint, v bigint")
+
+
+def text_nodes(rows: DataFrame) -> DataFrame:
+    """node, key, least (doc_id), n (rows of that doc_id), f0.. and w0..: a row for each different text. rows: _id, _key, text."""
+    names = [*(f"f{k}" for k in range(FINDERS)), *(f"w{k}" for k in range(WIDE))]
+
+    def run(batches):
+        for b in slices(batches):
+            made = np.array([wide_fingerprint(x) for x in texts(b)], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(names)))], ["_id", "_key", *names])
+
+    fps = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, _key string, " + ", ".join(f"{c} bigint" for c in names))
+    of_id = fps.groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in names))
+    least = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("least"), F.col("n"))).alias("m")
+    nodes = of_id.groupBy(F.col("_key").alias("key")).agg(least, *(F.max(c).alias(c) for c in names))
+    return materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "m.least", "m.n", *names))
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of the sets of five-word shingles; two texts without words are alike."""
+    x, y = ({b" ".join(w[k : k + JUDGE]) for k in range(max(1, len(w) - JUDGE + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def confirmed(edges: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose texts have that similarity. Only texts of nodes with edges are dealt out."""
+
+    def run(batches):
+        before, text = None, b""
+        for b in batches:
+            out = []
+            for u, v, t in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), texts(b), strict=True):
+                if (u, v) == before and jaccard(text, t) >= similarity:
+                    out.append((u, v))
+                before, text = (u, v), t
+            e = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+    pairs = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+    some = ends.select("node").distinct().join(nodes.select("node", "key", "least"), "node")
+    bodies = rows.join(some, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
+    return ends.join(bodies, "node").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(run, "u bigint, v bigint")
+
+
+def near_copies(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes of text_nodes(rows) that have links."""
+    found = []
+    for k in range(FINDERS):
+        mine = nodes.select("node", F.col(f"f{k}").alias("fp"))
+        found.append(groups_of(mine, plan(mine, FIND_DISTANCE), FIND_DISTANCE))
+    members = materialise(reduce(DataFrame.unionByName, found).distinct())
+    wide = nodes.select("node", *(f"w{k}" for k in range(WIDE)))
+    likely = judged(members.join(wide, "node"), most_bits(similarity - ROOM))
+    return components(confirmed(likely, nodes, rows, similarity))
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near copies: that of the smallest doc_id (rows without one last), of those with its text one."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"), "text")
+    mine = rows.select("_id", "_key", "text")
+    nodes = text_nodes(mine)
+    classes = nodes.join(near_copies(nodes, mine, similarity), "node", "left")
+    best = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "key", "n")).alias("m")
+    stays = materialise(classes.groupBy(F.coalesce("component", "node").alias("c")).agg(best).select("m.least", "m.key", "m.n"))
+    joined = rows.select("_row", "_id", "_key").join(stays, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least")))
+    kept = joined.where("n = 1").select("_row.*")
+    if stays.where("n > 1").limit(1).count():  # repeated rows: only these are grouped
+        kept = kept.unionByName(joined.where("n > 1").groupBy("_key", "_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*"))
+    return kept
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

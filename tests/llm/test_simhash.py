@@ -83,3 +83,50 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(300, 301)], "u bigint, v bigint")
     got = dict(simhash.components(edges).collect())
     assert all(got[k] == 1 for k in range(2, 201)) and got[301] == 300
+
+
+def edited(words, share, r):
+    out = list(words)
+    for k in r.sample(range(len(out)), round(share * len(out))):
+        out[k] = f"{out[k]}x{r.randrange(99)}"
+    return " ".join(out)
+
+
+def test_edited_copies_go_and_others_stay(spark):
+    """Against exact similarities of all pairs: links of 0.8 and more are found, none below."""
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    docs = []
+    for k in range(60):
+        words = r.choices(vocabulary, k=r.randint(60, 700))
+        docs.append(" ".join(words))
+        docs += [edited(words, share, r) for share in r.choices((0.0, 0.004, 0.008, 0.015, 0.02, 0.04, 0.08), k=r.randint(0, 5))]
+    r.shuffle(docs)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (d.split() for d in docs)]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if 0.7 < len(sets[i]) / len(sets[j]) < 1.4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = list(range(len(docs)))
+    for _ in range(8):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {i for i in range(len(docs)) if label[i] == i}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {x["doc_id"] for x in simhash.without_near_copies(df).collect()}
+    assert want <= got and len(got - want) <= 0.05 * (len(docs) - len(want)) and len(docs) - len(want) > 50
+
+
+def test_one_row_of_each_class_stays(spark, no_docs):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (2, "a b c", "z"), (None, "a b c", "u"), (None, "d e f", "v"), (None, "d e f", "w"), (5, None, "n"), (6, "", "e"), (7, "g h i", "s"), (7, "k l m", "t")]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string, _key string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"]) == [("1", "a b c"), ("7", "g h i"), ("7", "k l m"), ("None", "d e f")]
+    assert [r["doc_id"] for r in kept if not r["text"]] == [5]
+    assert simhash.without_near_copies(no_docs).collect() == []
+
+
+def test_dense_and_flat_groups_agree():
+    r = random.Random(7)
+    base = r.getrandbits(64)
+    fps = np.array([base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(200)], np.uint64)
+    own = np.arange(200) < 40
+    flat = simhash.found_groups(own, fps, np.array([0, 200]), 4)
+    dense = simhash.dense_groups(own, fps, 4, 0)
+    assert sorted(map(list, flat)) == sorted(map(list, dense)) and flat
