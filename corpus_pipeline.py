@@ -12,7 +12,7 @@ from coppice.llm.mixing import mixed
 from coppice.llm.pieces import encode_documents, read_model
 from coppice.llm.pii import sanitise
 from coppice.llm.quality_model import THRESHOLD, fit, score_quality
-from coppice.llm.simhash import near_duplicates
+from coppice.llm.simhash import without_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows without doc_id stay."""
-    later = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id, rows
+    without one last; of repeated rows one. Null and empty texts are copies of each other."""
+    return without_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
