@@ -7,6 +7,7 @@ are invariants and training curves, tested against an in-memory tree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +134,7 @@ def uniform_sql(*parts: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
-def split_sql(m: Matrix, finder: str, root: bool) -> str:
+def split_sql(m: "Matrix | Given", finder: str, root: bool) -> str:
     """The SQL of best_splits: the same sums by value or bin, running sums and ties."""
     name, param = registry.finder(finder)
     node = "0" if root else "node_id"
@@ -226,7 +227,15 @@ query("split_newton", newton_sql(0.0, 1.0))(_newton(0.0, 1.0))
 query("split_newton_gamma_mcw", newton_sql(5.0, 200.0))(_newton(5.0, 200.0))
 
 
-@query("split_criterion_quartile")
+_QUARTILES = f"""WITH b AS ({E.oracle}), l AS ({" UNION ALL ".join(f"SELECT node_id, {k} AS feature, {c} AS value, label FROM b" for k, c in enumerate(E.features))}), r AS (SELECT *, row_number() OVER (PARTITION BY node_id, feature ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY node_id, feature) AS n, max(value) OVER (PARTITION BY node_id, feature) AS hi FROM l),
+t AS (SELECT DISTINCT node_id, feature, value AS threshold FROM r WHERE n >= 4 AND value < hi AND (k = floor(0.25::DOUBLE * (n - 1)) OR k = floor(0.5::DOUBLE * (n - 1)) OR k = floor(0.75::DOUBLE * (n - 1)))),
+s AS (SELECT l.node_id, l.feature, t.threshold, l.value <= t.threshold AS goes, l.label, median(l.label) OVER (PARTITION BY l.node_id, l.feature, t.threshold, l.value <= t.threshold) AS med FROM l JOIN t USING (node_id, feature)),
+c AS (SELECT node_id, feature, threshold, sum(abs(label - med)) / count(*) AS children, count(*) FILTER (WHERE goes) AS n_left, count(*) FILTER (WHERE NOT goes) AS n_right FROM s GROUP BY 1, 2, 3), p AS (SELECT node_id, avg(abs(label - med)) AS parent FROM (SELECT node_id, label, median(label) OVER (PARTITION BY node_id) AS med FROM b) GROUP BY 1),
+o AS (SELECT *, parent - children AS gain, row_number() OVER (PARTITION BY node_id ORDER BY parent - children DESC, feature, threshold) AS rn FROM c JOIN p USING (node_id) WHERE parent > children)
+SELECT node_id, CAST(feature AS INTEGER) AS feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, n_left, n_right FROM o WHERE rn = 1"""
+
+
+@query("split_criterion_quartile", _QUARTILES)
 def split_criterion_quartile(spark, sf):
     """Quartile thresholds judged by mean absolute error."""
     return rounded(splits.best_splits(E.read(spark, sf), Search(features=list(E.features), finder="quartile", criterion="mae")), gain=4)
@@ -341,13 +350,37 @@ def top10_importance(spark, sf):
     return model.top_importance(model.importance(model.node_table(spark, list(tree.values())), 2))
 
 
-@query("tree_stats", "SELECT 0 AS tree_id, 1 AS depth, CAST(2 AS BIGINT) AS n_leaves, CAST(3 AS BIGINT) AS n_nodes")
+@dataclass(frozen=True)
+class Given:
+    """Rows of a query instead of a table: what split_sql needs of a Matrix."""
+
+    oracle: str
+    features: tuple[str, ...]
+
+
+def side(m: Given | Matrix, split: str, left: str, right: str) -> str:
+    """SQL of the side of a row under the split of that name."""
+    value = "CASE " + " ".join(f"WHEN {split}.feature = {k} THEN {c}" for k, c in enumerate(m.features)) + " END"
+    return f"CASE WHEN {value} <= {split}.threshold THEN {left} ELSE {right} END"
+
+
+def two_levels(m: Given | Matrix) -> str:
+    """CTEs of a tree of depth two: n1 (rows with node_id 1 or 2) and n2 (rows with leaf 1 to 6, inner node 0 at the root)."""
+    first = f"SELECT b.* EXCLUDE (node_id), {side(m, 'best', '1', '2')} AS node_id FROM ({m.oracle}) b, ({split_sql(m, 'exhaustive', True)}) best"
+    second = split_sql(Given(first, m.features), "exhaustive", False)
+    return f"n1 AS ({first}), second AS ({second}), n2 AS (SELECT n1.*, CASE WHEN second.node_id IS NULL THEN n1.node_id ELSE 2 * n1.node_id + {side(m, 'second', '1', '2')} END AS leaf FROM n1 LEFT JOIN second USING (node_id))"
+
+
+_TWO = f"WITH {two_levels(P)}, m2 AS (SELECT leaf, avg(label) AS prediction FROM n2 GROUP BY leaf)"
+
+
+@query("tree_stats", f"{_TWO} SELECT 0 AS tree_id, CASE WHEN count(*) > 2 THEN 2 ELSE 1 END AS depth, count(*) AS n_leaves, 2 * count(*) - 1 AS n_nodes FROM m2")
 def tree_stats(spark, sf):
-    _, tree = _stump(spark, sf)
+    _, tree = _stump(spark, sf, depth=2)
     return model.stats(model.node_table(spark, list(tree.values())))
 
 
-@query("tree_depth2_predict")
+@query("tree_depth2_predict", f"{_TWO} SELECT row_id, round(prediction, 6) AS prediction FROM n2 JOIN m2 USING (leaf)")
 def tree_depth2_predict(spark, sf):
     rows, tree = _stump(spark, sf, depth=2)
     return rounded(_scored(rows, tree, P.features).select("row_id", "prediction"))
@@ -367,31 +400,48 @@ def tree_histogram(spark, sf):
 
 # --- pruners -------------------------------------------------------------------------------------------------------
 
-_ONE_LEAF = f"WITH b AS ({P.oracle}) SELECT 0 AS node_id, count(*) AS samples, round(avg(label), 6) AS prediction FROM b"
+_LEAF_SUMS = "n AS (SELECT node_id, leaf, count(*) AS c, avg(label) AS m, var_pop(label) * count(*) AS sse FROM n2 GROUP BY 1, 2), i AS (SELECT node_id, count(*) AS c, avg(label) AS m, var_pop(label) * count(*) AS sse FROM n1 GROUP BY 1), r AS (SELECT count(*) AS c, avg(label) AS m, var_pop(label) * count(*) AS sse FROM n1)"
+_GAIN, _ALPHA = 60_000.0, 2500.0
 
 
 def _leaves_of(spark: SparkSession, tree: model.Tree) -> DataFrame:
-    return rounded(model.node_table(spark, list(tree.values())).where("is_leaf").select("node_id", "samples", "prediction"))
+    return rounded(model.node_table(spark, list(tree.values())).where("is_leaf").select("samples", "prediction"))
 
 
-@query("prune_mingain", _ONE_LEAF)
-def prune_mingain(spark, sf):
-    """No split gains that much: the root stays."""
-    _, tree = _stump(spark, sf, pruner="mingain", prune_param=1e12)
+@query("prune_none", f"WITH {two_levels(P)}, {_LEAF_SUMS} SELECT c AS samples, round(m, 6) AS prediction FROM n")
+def prune_none(spark, sf):
+    _, tree = _stump(spark, sf, depth=2, pruner="none")
     return _leaves_of(spark, tree)
 
 
-@query("prune_cost_complexity", _ONE_LEAF)
+@query("prune_mingain", f"""WITH {two_levels(L)}, {_LEAF_SUMS}, k AS (SELECT i.node_id, i.c, i.m, (i.sse - sum(n.sse)) / i.c AS gain FROM i JOIN n USING (node_id) GROUP BY i.node_id, i.c, i.m, i.sse), rg AS (SELECT (r.sse - (SELECT sum(sse) FROM i)) / r.c AS gain FROM r)
+SELECT c AS samples, round(m, 3) AS prediction FROM r WHERE (SELECT gain FROM rg) < {_GAIN} UNION ALL SELECT c, round(m, 3) FROM k WHERE gain < {_GAIN} AND (SELECT gain FROM rg) >= {_GAIN} UNION ALL SELECT n.c, round(n.m, 3) FROM n JOIN k USING (node_id) WHERE gain >= {_GAIN} AND (SELECT gain FROM rg) >= {_GAIN}""")
+def prune_mingain(spark, sf):
+    tree = grow.train_tree(L.read(spark, sf), list(L.features), max_depth=2, min_leaf=1, pruner="mingain", prune_param=_GAIN)
+    return rounded(_leaves_of(spark, tree), 3)
+
+
+@query("prune_cost_complexity", f"""WITH {two_levels(P)}, {_LEAF_SUMS}, k AS (SELECT i.node_id, i.c, i.m, i.sse, i.sse + {_ALPHA} <= sum(n.sse) + {_ALPHA} * count(*) AS falls FROM i JOIN n USING (node_id) GROUP BY i.node_id, i.c, i.m, i.sse),
+left_ AS (SELECT c, m, sse FROM k WHERE falls UNION ALL SELECT n.c, n.m, n.sse FROM n JOIN k USING (node_id) WHERE NOT falls), root AS (SELECT r.sse + {_ALPHA} <= (SELECT sum(sse) + {_ALPHA} * count(*) FROM left_) AS falls FROM r)
+SELECT c AS samples, round(m, 6) AS prediction FROM r WHERE (SELECT falls FROM root) UNION ALL SELECT c, round(m, 6) FROM left_ WHERE NOT (SELECT falls FROM root)""")
 def prune_cost_complexity(spark, sf):
-    """A leaf costs more than any split saves: all collapse."""
-    _, tree = _stump(spark, sf, depth=2, pruner="cost_complexity", prune_param=1e15)
+    _, tree = _stump(spark, sf, depth=2, pruner="cost_complexity", prune_param=_ALPHA)
     return _leaves_of(spark, tree)
 
 
-@query("prune_none", f"{_STUMP} SELECT leaf AS node_id, count(*) AS samples, round(avg(prediction), 6) AS prediction FROM p GROUP BY leaf")
-def prune_none(spark, sf):
-    _, tree = _stump(spark, sf, pruner="cost_complexity", prune_param=0.0)
-    return _leaves_of(spark, tree)
+_TRAINED = Given(f"SELECT * EXCLUDE (rn, n) FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS n FROM ({E.oracle})) WHERE rn <= floor(0.7 * n)", E.features)
+_CHECKED = f"SELECT * EXCLUDE (rn, n) FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS n FROM ({E.oracle})) WHERE rn > floor(0.7 * n) AND rn <= floor(0.7 * n) + floor(0.2 * n)"
+
+
+@query("prune_reduced_error_depth2", f"""WITH {two_levels(_TRAINED)}, {_LEAF_SUMS}, best AS ({split_sql(_TRAINED, 'exhaustive', True)}), v1 AS (SELECT v.* EXCLUDE (node_id), {side(E, 'best', '1', '2')} AS node_id FROM ({_CHECKED}) v, best),
+v2 AS (SELECT v1.*, CASE WHEN second.node_id IS NULL THEN v1.node_id ELSE 2 * v1.node_id + {side(E, 'second', '1', '2')} END AS leaf FROM v1 LEFT JOIN second USING (node_id)),
+el AS (SELECT n.node_id, n.leaf, n.c, n.m, coalesce(sum((v2.label - n.m) * (v2.label - n.m)), 0) AS e FROM n LEFT JOIN v2 USING (leaf) GROUP BY n.node_id, n.leaf, n.c, n.m), ei AS (SELECT i.node_id, i.c, i.m, coalesce(sum((v1.label - i.m) * (v1.label - i.m)), 0) AS e FROM i LEFT JOIN v1 USING (node_id) GROUP BY i.node_id, i.c, i.m),
+k AS (SELECT ei.node_id, ei.c, ei.m, ei.e, ei.e <= sum(el.e) + 1e-12 AS falls FROM ei JOIN el USING (node_id) GROUP BY ei.node_id, ei.c, ei.m, ei.e), left_ AS (SELECT c, m, e FROM k WHERE falls UNION ALL SELECT el.c, el.m, el.e FROM el JOIN k USING (node_id) WHERE NOT falls),
+root AS (SELECT (SELECT sum((label - r.m) * (label - r.m)) FROM v1) <= (SELECT sum(e) FROM left_) + 1e-12 AS falls FROM r)
+SELECT c AS samples, round(m, 6) AS prediction FROM r WHERE (SELECT falls FROM root) UNION ALL SELECT c, round(m, 6) FROM left_ WHERE NOT (SELECT falls FROM root)""")
+def prune_reduced_error_depth2(spark, sf):
+    train, validation, _ = prep.train_validation_test(E.read(spark, sf), "row_id", 0.2)
+    return _leaves_of(spark, grow.train_tree(train, list(E.features), max_depth=2, min_leaf=1, pruner="reduced_error", validation=validation))
 
 
 @query("prune_reduced_error")
@@ -422,6 +472,48 @@ def newton_one_round(spark, sf):
     return rounded(made.score(rows).select("row_id", "prediction"))
 
 
+def two_stumps(rate: str, lam: str) -> str:
+    """CTEs of two rounds of stumps on P: o2 has row_id, label, p1 and p2, the predictions after one and two rounds. lam: added to each leaf's count."""
+    value = f"sum(label) / (count(*) + {lam})"
+    one = f"SELECT row_id, f0, f1, 0 AS node_id, b.label - a.m AS label, b.label AS target, a.m FROM ({P.oracle}) b, (SELECT avg(label) AS m FROM ({P.oracle})) a"
+    r1 = f"r1 AS ({one}), best1 AS ({split_sql(Given(one, P.features), 'exhaustive', True)}), l1 AS (SELECT r1.*, {side(P, 'best1', '1', '2')} AS leaf FROM r1, best1), w1 AS (SELECT leaf, {value} AS w FROM l1 GROUP BY leaf), o1 AS (SELECT row_id, f0, f1, target, m + {rate} * w AS p1 FROM l1 JOIN w1 USING (leaf))"
+    two = f"SELECT row_id, f0, f1, 0 AS node_id, target - p1 AS label, target, p1 FROM (WITH {r1} SELECT * FROM o1)"
+    return f"r2 AS ({two}), best2 AS ({split_sql(Given(two, P.features), 'exhaustive', True)}), l2 AS (SELECT r2.*, {side(P, 'best2', '1', '2')} AS leaf FROM r2, best2), w2 AS (SELECT leaf, {value} AS w FROM l2 GROUP BY leaf), o2 AS (SELECT row_id, target AS y, p1, p1 + {rate} * w AS p2 FROM l2 JOIN w2 USING (leaf))"
+
+
+@query("gbrt_two_rounds", f"WITH {two_stumps('0.1::DOUBLE', '0')} SELECT row_id, round(p2, 6) AS prediction FROM o2")
+def gbrt_two_rounds(spark, sf):
+    rows = P.read(spark, sf)
+    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    return rounded(made.score(rows).select("row_id", "prediction"))
+
+
+@query("gbrt_evaluate", f"WITH {two_stumps('0.1::DOUBLE', '0')} SELECT count(*) AS n, round(avg(0.5 * (y - p2) * (y - p2)), 4) AS loss, round(avg((y - p2) * (y - p2)), 4) AS mse, round(avg(abs(y - p2)), 5) AS mae FROM o2")
+def gbrt_evaluate(spark, sf):
+    rows, config = P.read(spark, sf), boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1)
+    made = boosting.train(rows, list(P.features), "label", "row_id", config)
+    return rounded(boosting.evaluate(made, rows, "label", config), loss=4, mse=4, mae=5)
+
+
+@query("gbrt_curve_of_stumps", f"WITH {two_stumps('0.1::DOUBLE', '0')}, a AS (SELECT avg(y) AS m FROM o2) SELECT 0 AS iter, round(avg(0.5 * (y - m) * (y - m)), 4) AS train_loss FROM o2, a UNION ALL SELECT 1, round(avg(0.5 * (y - p1) * (y - p1)), 4) FROM o2")
+def gbrt_curve_of_stumps(spark, sf):
+    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    return rounded(_curve(spark, made).select("iter", "train_loss"), 4)
+
+
+@query("gbrt_ensemble_stats", "SELECT CAST(2 AS BIGINT) AS trees, CAST(2 AS BIGINT) AS depths, CAST(4 AS BIGINT) AS leaves, CAST(6 AS BIGINT) AS nodes, CAST(480 AS BIGINT) AS bytes FROM (SELECT count(*) AS c FROM part) WHERE c > 1")
+def gbrt_ensemble_stats(spark, sf):
+    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    return model.ensemble_stats(made.nodes(spark))
+
+
+@query("newton_two_rounds", f"WITH {two_stumps('0.3::DOUBLE', '1')} SELECT row_id, round(p2, 5) AS prediction FROM o2")
+def newton_two_rounds(spark, sf):
+    rows = P.read(spark, sf)
+    made = newton.train(rows, list(P.features), "label", "row_id", newton.NewtonConfig(rounds=2, max_depth=1, lam=1.0))
+    return rounded(made.score(rows).select("row_id", "prediction"), 5)
+
+
 @query("newton_leaf_weights", f"WITH b AS ({E.oracle}), a AS (SELECT avg(label) AS m FROM b) SELECT node_id, round(-sum(m - label) / (count(*) + 1.0), 6) AS weight, round(0.5 * sum(m - label) * sum(m - label) / (count(*) + 1.0), 4) AS score FROM b, a GROUP BY node_id")
 def newton_leaf_weights(spark, sf):
     rows = E.read(spark, sf)
@@ -511,7 +603,7 @@ def subsample_rows(spark, sf):
     return sampling.subsample(E.read(spark, sf), "row_id", 0.3).select("row_id")
 
 
-@query("colsample")
+@query("colsample", f"SELECT CAST(k AS INTEGER) AS feature FROM (SELECT k, row_number() OVER (ORDER BY {uniform_sql('42', 'k')}) AS rn FROM (SELECT unnest(range(3)) AS k)) WHERE rn <= 2")
 def colsample(spark, sf):
     return spark.createDataFrame([(k,) for k in sampling.columns_of(list(E.features), 0.67, 42)], "feature int")
 
@@ -543,11 +635,35 @@ def efb_bundles(spark, sf):
     return spark.createDataFrame([(k, list(b.features), list(b.offsets), b.total_bins) for k, b in enumerate(found)], "bundle int, features array<int>, offsets array<int>, total_bins int")
 
 
-@query("efb_transform")
+@query("efb_transform", f"WITH s AS (SELECT {_HOT}, value FROM events) SELECT CASE " + " ".join(f"WHEN x{k} <> 0 THEN {8 * k} + CASE WHEN x{k} <= 0.25 THEN 0 WHEN x{k} <= 0.5 THEN 1 WHEN x{k} <= 0.75 THEN 2 ELSE 3 END" for k in range(5)) + " ELSE 0 END AS bundle, count(*) AS n FROM s GROUP BY 1")
 def efb_transform(spark, sf):
+    """The exclusive event types in one column of eight bins each."""
     rows, names = _sparse(spark, sf)
-    found = bundling.bundles(rows, names, max_conflict=0.1)
-    return rows.select(*(bundling.transform(b, names, lambda f: F.lit(1)).alias(f"bundle_{k}") for k, b in enumerate(found))).groupBy(*(f"bundle_{k}" for k in range(len(found)))).agg(F.count(F.lit(1)).alias("n"))
+    edges = binning.equal_width(rows, names, 4)
+    bundle = bundling.Bundle(tuple(range(5)), tuple(8 * k for k in range(5)), 40)
+    value = bundling.transform(bundle, names, lambda f: binning.bin_of(F.col(names[f]).cast("double"), edges[f]))
+    return rows.select(value.alias("bundle")).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hist_range_stats", f"{_HIST} SELECT CAST(sum(cnt) AS BIGINT) AS cnt, round(sum(s1), 4) AS s1, round(sum(s2), 4) AS s2, round(sum(s1) / sum(cnt), 4) AS mean, round(sum(s2) / sum(cnt) - (sum(s1) / sum(cnt)) * (sum(s1) / sum(cnt)), 4) AS mse FROM h WHERE feature = 1 AND bin >= 3 AND bin < 9")
+def hist_range_stats(spark, sf):
+    rows = E.read(spark, sf)
+    return rounded(binning.range_stats(binning.histogram(rows, list(E.features), binning.equal_width(rows, list(E.features), 16), "label"), 1, 3, 9), 4)
+
+
+@query("hist_add_rows", f"{_HIST} SELECT CAST(feature AS INTEGER) AS feature, bin, cnt, round(s1, 4) AS s1, round(s2, 4) AS s2 FROM h")
+def hist_add_rows(spark, sf):
+    """The histogram of some rows with that of the others added is that of all."""
+    rows = E.read(spark, sf)
+    edges = binning.equal_width(rows, list(E.features), 16)
+    low, high = (binning.histogram(rows.where(c), list(E.features), edges, "label") for c in ("f0 <= 50", "f0 > 50"))
+    return rounded(binning.changed(low, high, 1).select("feature", "bin", "cnt", "s1", "s2"), 4)
+
+
+@query("hist_report", f"{_HIST} SELECT CAST(feature AS INTEGER) AS feature, count(*) AS bins, CAST(sum(cnt) AS BIGINT) AS rows, count(*) * 40 AS bytes FROM h GROUP BY feature")
+def hist_report(spark, sf):
+    rows = E.read(spark, sf)
+    return binning.report(binning.histogram(rows, list(E.features), binning.equal_width(rows, list(E.features), 16), "label"))
 
 
 # --- ensembles -----------------------------------------------------------------------------------------------------
@@ -579,6 +695,40 @@ def bag_importance(spark, sf):
     return rounded(made.importance(spark))
 
 
+# Three bags of stumps: every draw is a row, and the bag its node.
+_STUMPS = bagging.BaggingConfig(trees=3, max_depth=1)
+_DRAWS = f"SELECT CAST(id // n AS INTEGER) AS tree_id, CAST(floor({uniform_sql('42', 'id')} * n) + 1 AS BIGINT) AS rn FROM (SELECT count(*) AS n FROM ({O.oracle})), LATERAL (SELECT unnest(range(3 * n)) AS id)"
+_RANKED = f"SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM ({O.oracle})"
+_BAGS = Given(f"SELECT b.row_id, b.f0, b.f1, b.f2, d.tree_id AS node_id, b.label FROM ({_DRAWS}) d JOIN ({_RANKED}) b USING (rn)", O.features)
+_BAGGED = f"WITH splits AS ({split_sql(_BAGS, 'exhaustive', False)}), means AS (SELECT node_id, {side(O, 'splits', '1', '2')} AS leaf, avg(label) AS m FROM ({_BAGS.oracle}) JOIN splits USING (node_id) GROUP BY 1, 2), every AS (SELECT b.row_id, b.rn, b.label, splits.node_id, {side(O, 'splits', '1', '2')} AS leaf FROM ({_RANKED}) b, splits), scored AS (SELECT row_id, rn, label, node_id, m FROM every JOIN means USING (node_id, leaf))"
+
+
+@query("bag_predict_stumps", f"{_BAGGED} SELECT row_id, round(sum(m) / 3, 4) AS prediction FROM scored GROUP BY row_id")
+def bag_predict_stumps(spark, sf):
+    rows = O.read(spark, sf)
+    made, _ = bagging.train(rows, list(O.features), "label", "row_id", _STUMPS)
+    return rounded(made.score(rows).select("row_id", "prediction"), 4)
+
+
+@query("bag_oob_stumps", f"{_BAGGED}, free AS (SELECT s.* FROM scored s ANTI JOIN (SELECT tree_id AS node_id, rn FROM ({_DRAWS})) d USING (node_id, rn)), o AS (SELECT row_id, label, avg(m) AS p FROM free GROUP BY row_id, label) SELECT count(*) AS n, round(avg((label - p) * (label - p)), 0) AS mse, round(avg(abs(label - p)), 2) AS mae FROM o")
+def bag_oob_stumps(spark, sf):
+    made, ranked = bagging.train(O.read(spark, sf), list(O.features), "label", "row_id", _STUMPS)
+    return rounded(bagging.oob_error(made, ranked, "row_id", "label", _STUMPS), 2, mse=0)
+
+
+@query("bag_importance_stumps", f"WITH splits AS ({split_sql(_BAGS, 'exhaustive', False)}), f AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS feature) SELECT f.feature, round(count(splits.feature) / 3.0::DOUBLE, 6) AS importance FROM f LEFT JOIN splits USING (feature) GROUP BY f.feature")
+def bag_importance_stumps(spark, sf):
+    made, _ = bagging.train(O.read(spark, sf), list(O.features), "label", "row_id", _STUMPS)
+    return rounded(made.importance(spark))
+
+
+@query("bag_grouped_importance", f"WITH splits AS ({split_sql(_BAGS, 'exhaustive', False)}), f AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS feature), g AS (SELECT feature, CASE WHEN node_id < 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS s FROM splits) SELECT f.feature, round(coalesce(sum(s), 0) / 2, 6) AS importance FROM f LEFT JOIN g USING (feature) GROUP BY f.feature")
+def bag_grouped_importance(spark, sf):
+    """Two workers: the first has two of the three trees."""
+    made, _ = bagging.train(O.read(spark, sf), list(O.features), "label", "row_id", _STUMPS)
+    return rounded(bagging.grouped_importance(made, spark, 2))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

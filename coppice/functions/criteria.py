@@ -24,21 +24,14 @@ def _about_centre(r: Column, mean: Column, y: Column, name: str) -> Column:
     raise ValueError(name)
 
 
-def lower_quantile(y: Column, tau: float) -> Column:
-    """The label of rank floor(tau * (n - 1)), no interpolation."""
-    xs = F.array_sort(F.collect_list(y))
-    return F.element_at(xs, (F.floor(tau * (F.size(xs) - 1)) + 1).cast("int"))
-
-
 def quantile_by_rank(rows: DataFrame, keys: list[str], label: str, tau: float) -> DataFrame:
     """keys and centre, the lower quantile, from counts of distinct labels: no group is gathered in one place."""
-    from pyspark.sql import Window
+    from ..plans.ranking import running
 
     counts = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(label))).withColumn("_n", F.sum("_c").over(w))
-    rank = F.floor(tau * (F.col("_n") - 1))
-    return ranked.where((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)).select(*keys, F.col(label).alias("centre"))
+    ranked = running(counts, keys, label, ["_c"])
+    rank = F.floor(tau * (F.col("t__c") - 1))
+    return ranked.where((F.col("c__c") > rank) & (F.col("c__c") - F.col("_c") <= rank)).select(*keys, F.col(label).alias("centre"))
 
 
 def node_metric(rows: DataFrame, keys: list[str], label: str, criterion: str = "mse") -> DataFrame:

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import running
+
 LEAST_BINS, MOST_BINS = 8, 128
 
 
@@ -42,9 +44,8 @@ def adaptive_bins(n: int, rule: str, value_range: float = 0.0, iqr: float = 0.0)
 
 def rank_values(rows: DataFrame, features: list[str], ranks: dict[str, float] | None = None, at=None) -> DataFrame:
     """(feature, name, value) of the sorted values of given ranks; at(n) -> {name: rank column} from 0."""
-    w = Window.partitionBy("feature")
-    counts = long_rows(rows, features, []).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    counts = long_rows(rows, features, []).where("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    cum = running(counts, ["feature"], "value", ["c"]).withColumnsRenamed({"c_c": "upto", "t_c": "n"})
     wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("bigint").alias("rank")) for k, v in at(F.col("n")).items())))
     return cum.select("*", wanted.alias("q")).where("upto > q.rank and upto - c <= q.rank").select("feature", F.col("q.name").alias("name"), "value")
 
@@ -94,8 +95,8 @@ def bin_of(value: Column, edges: list[float]) -> Column:
 
 
 def binned(rows: DataFrame, features: list[str], edges: dict[int, list[float]], keep: list[str]) -> DataFrame:
-    """keep and a small integer column b0, b1, ... for each feature: made once, used at every level."""
-    return rows.select(*keep, *(bin_of(F.col(c).cast("double"), edges[k]).alias(f"b{k}") for k, c in enumerate(features)))
+    """keep and a small integer column b0, b1, ... for each feature: made once, used at every level. Rows without a value lie in the last bin."""
+    return rows.select(*keep, *(bin_of(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), edges[k]).alias(f"b{k}") for k, c in enumerate(features)))
 
 
 def histogram(rows: DataFrame, features: list[str], edges: dict[int, list[float]], label: str, node: str | None = None) -> DataFrame:
@@ -118,3 +119,57 @@ def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
     left = parent.select("feature", "bin", "cnt", "s1", "s2").join(c, ["feature", "bin"], "left")
     diff = left.select("feature", "bin", *((F.col(x) - F.coalesce(F.col(f"_{x}"), F.lit(0))).alias(x) for x in ("cnt", "s1", "s2"))).where("cnt > 0")
     return with_running(diff, [])
+
+
+def changed(histogram_: DataFrame, other: DataFrame, sign: int) -> DataFrame:
+    """A histogram with the rows of another one added (1) or removed (-1); running sums are made anew."""
+    more = other.select("feature", "bin", *((sign * F.col(c)).alias(c) for c in ("cnt", "s1", "s2")))
+    both = histogram_.select("feature", "bin", "cnt", "s1", "s2").unionByName(more).groupBy("feature", "bin").agg(*(F.sum(c).alias(c) for c in ("cnt", "s1", "s2")))
+    return with_running(both.where("cnt > 0"), [])
+
+
+def range_stats(histogram_: DataFrame, feature: int, first: int, last: int) -> DataFrame:
+    """One row: cnt, s1, s2, mean and mse of the bins first..last-1 of a feature, from differences of its running sums."""
+    upto = lambda k, c: F.coalesce(F.max_by(f"c_{c}", F.when(F.col("bin") < k, F.col("bin"))), F.lit(0))
+    got = histogram_.where(F.col("feature") == feature).agg(*((upto(last, c) - upto(first, c)).alias(c) for c in ("cnt", "s1", "s2")))
+    mean = F.when(F.col("cnt") > 0, F.col("s1") / F.col("cnt")).otherwise(0.0)
+    return got.withColumn("mean", mean).withColumn("mse", F.when(F.col("cnt") > 0, F.greatest(F.lit(0.0), F.col("s2") / F.col("cnt") - F.col("mean") * F.col("mean"))).otherwise(0.0))
+
+
+def adaptive_frequency_edges(rows: DataFrame, features: list[str], most: int = 64, least: int = 5) -> dict[int, list[float]]:
+    """Upper edges of bins of equal frequency whose number follows the spread of each feature: few where the coefficient of variation is small."""
+    stats = long_rows(rows, features, []).where("value is not null and not isnan(value)").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("d")).collect()  # a row a feature
+    out: dict[int, list[float]] = {k: [] for k in range(len(features))}
+    for r in stats:
+        root = math.floor(math.sqrt(r["n"]))
+        bins = min(max(root // 2, 4), 16) if r["d"] / (abs(r["m"]) + 1e-12) < 0.1 else min(max(root, 8), most)
+        out[r["feature"]] = equal_frequency(rows, [features[r["feature"]]], max(1, min(bins, r["n"] // least)))[0]
+    return out
+
+
+def report(histogram_: DataFrame) -> DataFrame:
+    """feature, bins, rows and bytes (five numbers of eight bytes a bin) that a histogram holds."""
+    return histogram_.groupBy("feature").agg(F.count(F.lit(1)).alias("bins"), F.sum("cnt").alias("rows"), (F.count(F.lit(1)) * 40).alias("bytes"))
+
+
+class HistogramCache:
+    """Histograms by name, computed once and held in memory until they are cleared; the oldest goes when there are too many."""
+
+    def __init__(self, most: int = 32):
+        self.most, self.held, self.hits, self.misses = most, {}, 0, 0
+
+    def get(self, name: str, make) -> DataFrame:
+        if name in self.held:
+            self.hits += 1
+            self.held[name] = self.held.pop(name)
+            return self.held[name]
+        self.misses += 1
+        if len(self.held) >= self.most:
+            self.held.pop(next(iter(self.held))).unpersist()
+        self.held[name] = make().persist()
+        return self.held[name]
+
+    def clear(self) -> None:
+        for df in self.held.values():
+            df.unpersist()
+        self.held = {}

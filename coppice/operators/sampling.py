@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,10 @@ def subsample(rows: DataFrame, row_id: str, share: float, seed: int = 42) -> Dat
 
 
 def columns_of(features: list[str], share: float, seed: int) -> list[int]:
-    """max(1, floor(D * share)) feature numbers."""
+    """max(1, floor(D * share)) feature numbers: those of the smallest hashes, as splits.uniform has them."""
     d = len(features)
-    return sorted(random.Random(seed).sample(range(d), max(1, int(d * share)))) if share < 1 else list(range(d))
+    draw = lambda k: int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16)
+    return sorted(sorted(range(d), key=draw)[: max(1, int(d * share))]) if share < 1 else list(range(d))
 
 
 def goss_sizes(n: int, top: float, other: float) -> tuple[int, int]:

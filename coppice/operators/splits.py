@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.criteria import node_metric
 from ..functions.exprs import structure_score
 from ..plans import registry
+from ..plans.ranking import running
 from . import binning
 
 GAP = 1e-12
@@ -35,6 +36,10 @@ class Search:
     min_child_weight: float = 1.0
     seed: int = 42
     edges: dict[int, list[float]] = field(default_factory=dict)
+    #: Whether the rows have columns b0, b1, ... of bins made once (binning.binned), and whether a node and feature may have
+    #: so many values that no one task should see them all.
+    binned: bool = False
+    many_values: bool = False
     #: Each node searches only the features allowed to its tree: (tree column, expression of tree and feature).
     allowed: Column | None = None
 
@@ -45,7 +50,8 @@ def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
     w = F.col(s.weight).cast("double") if s.weight else F.lit(1.0)
     one, two = (F.col(s.newton[1]), F.col(s.newton[0])) if s.newton else (w, w * F.col(s.label))
     known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    value = (lambda k, c: binning.bin_of(known(c), s.edges[k]).cast("double")) if by_bin else (lambda k, c: known(c))
+    number = lambda k, c: F.col(f"b{k}") if s.binned else binning.bin_of(known(c), s.edges[k])
+    value = (lambda k, c: number(k, c).cast("double")) if by_bin else (lambda k, c: known(c))
     pairs = F.array(*(F.struct(F.lit(k).cast("int").alias("feature"), value(k, c).alias("value")) for k, c in enumerate(s.features)))
     flat = rows.select(*keys, one.alias("_a"), two.alias("_b"), w.alias("_w"), F.inline(pairs))
     if s.allowed is not None:
@@ -63,6 +69,10 @@ def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
 
 def cumulative(made: DataFrame, s: Search) -> DataFrame:
     """With la, lb, ln (left of or at value), ta, tb, tn (all), vn (those with a value) and nxt (the next value that occurs)."""
+    if s.many_values:
+        made = made.withColumn("_v", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
+        out = running(made, [s.node, "feature"], "value", ["a", "b", "n", "_v"], "upper")
+        return out.withColumnsRenamed({"c_a": "la", "c_b": "lb", "c_n": "ln", "t_a": "ta", "t_b": "tb", "t_n": "tn", "t__v": "vn"}).drop("c__v", "_v")
     w = Window.partitionBy(s.node, "feature")
     order = w.orderBy(F.asc_nulls_last("value"))
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -129,18 +139,17 @@ def best_splits(rows: DataFrame, s: Search) -> DataFrame:
         scored = found.withColumn("gain", gain(s))
         if s.newton:
             scored = scored.where((F.col("la") >= s.min_child_weight) & (F.col("ta") - F.col("la") >= s.min_child_weight))
-    w = Window.partitionBy(s.node).orderBy(F.desc("gain"), "feature", "threshold")
     kept = scored.where(F.col("gain") > F.lit(s.gamma if s.newton else 0.0))
-    # The best of each feature first: a node's window then sees a row a feature.
-    per_feature = Window.partitionBy(s.node, "feature").orderBy(F.desc("gain"), "threshold")
-    first = kept.withColumn("_rn", F.row_number().over(per_feature)).where("_rn = 1")
-    return first.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))))
+    # Largest gain, then least feature, then least threshold: one aggregate that is summed up where the rows are.
+    rank = F.struct(F.col("gain"), -F.col("feature"), -F.col("threshold"))
+    best = kept.groupBy(s.node).agg(F.max_by(F.struct("feature", "threshold", "gain", "ln", "tn"), rank).alias("_x")).select(s.node, "_x.*")
+    return best.select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))))
 
 
 def by_criterion(rows: DataFrame, found: DataFrame, s: Search) -> DataFrame:
     """Gains by the chosen criterion, for finders with few thresholds a node: each threshold's sides are groups of rows."""
     flat = binning.long_rows(rows, s.features, [s.node, s.label])
-    sides = flat.join(F.broadcast(found.select(s.node, "feature", "threshold")), [s.node, "feature"]).withColumn("_left", F.col("value") <= F.col("threshold"))  # a few thresholds a node and feature
+    sides = flat.join(found.select(s.node, "feature", "threshold"), [s.node, "feature"]).withColumn("_left", F.col("value") <= F.col("threshold"))  # a few thresholds a node and feature
     metric = node_metric(sides, [s.node, "feature", "threshold", "_left"], s.label, s.criterion)
     both = metric.groupBy(s.node, "feature", "threshold").agg(F.sum(F.col("metric") * F.col("samples")).alias("_children"), F.sum("samples").alias("_n"))
     parent = node_metric(rows, [s.node], s.label, s.criterion).select(s.node, F.col("metric").alias("_parent"))

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.criteria import evaluate
-from ..operators.sampling import with_bootstrap
+from ..operators import prune as pruners
+from ..operators.sampling import bootstrap, with_bootstrap
 from ..operators.splits import Search, with_edges
 from . import grow
 from .model import NODES, Ensemble, Node, arrays, walk
@@ -28,6 +29,9 @@ class BaggingConfig:
     criterion: str = "mse"
     finder: str = "exhaustive"
     seed: int = 42
+    #: none, mingain, cost_complexity, or reduced_error on the rows that a tree did not draw.
+    pruner: str = "none"
+    prune_param: float = 0.01
 
 
 def assignment(trees: int, workers: int) -> list[tuple[int, int]]:
@@ -40,7 +44,7 @@ def assignment(trees: int, workers: int) -> list[tuple[int, int]]:
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: BaggingConfig = BaggingConfig()) -> tuple[Ensemble, DataFrame]:
     """(ensemble, numbered rows with rn). Trees whose bags fit in a task grow side by side, others together, level by level over the cluster."""
     bag, ranked = with_bootstrap(rows.select(row_id, label, *features), row_id, config.trees, config.ratio, config.seed)
-    growth = grow.Growth(config.max_depth, config.min_leaf)
+    growth = grow.Growth(config.max_depth, config.min_leaf, config.prune_param if config.pruner == "mingain" else 0.0)
     n = int(rows.count() * config.ratio)
     if n <= TREE_ROWS and config.finder in ("exhaustive", "exact") and config.criterion == "mse":
         trees = side_by_side(bag, features, label, growth)
@@ -50,12 +54,56 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
             bag, weight = bag.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("_again"), None
         s = with_edges(ranked, Search(features=features, label=label, weight=weight, finder=config.finder, criterion=config.criterion, seed=config.seed))
         trees = dict(enumerate(grow.forest(bag.withColumnRenamed("tree_id", s.node), s, growth, config.trees)))
+    if config.pruner == "cost_complexity":
+        for t in trees.values():
+            pruners.cost_complexity(t, config.prune_param)
+    elif config.pruner == "reduced_error":
+        seen = out_of_bag_sums(trees, ranked, features, label, config)
+        for k, t in trees.items():
+            pruners.reduced_error(t, seen.get(k, {}))
     out = Ensemble(features, average=True)
     for k in range(config.trees):
         out.add(trees.get(k, {0: Node(0, 0)}))
     return out, ranked
 
 
+def out_of_bag_sums(trees: dict[int, dict[int, Node]], ranked: DataFrame, features: list[str], label: str, config: BaggingConfig) -> dict[int, dict[int, tuple[float, float, float]]]:
+    """For each tree, n, sum and sum of squares of the labels that reach each of its nodes, over the rows it did not draw: one job for all trees."""
+    packed = [(k, np.array(sorted(trees[k])), arrays(trees[k])) for k in sorted(trees)]
+
+    @F.pandas_udf("array<struct<tree_id:int,leaf:int>>")
+    def leaves(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        at = [ids[walk(a, x)] for _, ids, a in packed]
+        return pd.Series([[{"tree_id": k, "leaf": int(v[i])} for (k, _, _), v in zip(packed, at, strict=True)] for i in range(len(x))])
+
+    drawn = bootstrap(ranked, "rn", config.trees, config.ratio, config.seed).select("tree_id", "rn")
+    each = ranked.select("rn", F.col(label).cast("double").alias("y"), F.inline(leaves(*(F.col(c).cast("double") for c in features))))
+    got = each.join(drawn, ["tree_id", "rn"], "left_anti").groupBy("tree_id", "leaf").agg(F.count("y").alias("n"), F.sum("y").alias("a"), F.sum(F.col("y") * F.col("y")).alias("b")).collect()  # leaves
+    out: dict[int, dict[int, tuple[float, float, float]]] = {}
+    for r in got:
+        tree = trees[r["tree_id"]]
+        parent = {c: k for k, n in tree.items() if not n.is_leaf for c in (n.left, n.right)}
+        of, k = out.setdefault(r["tree_id"], {}), r["leaf"]
+        while k is not None:
+            c = of.get(k, (0.0, 0.0, 0.0))
+            of[k] = (c[0] + r["n"], c[1] + (r["a"] or 0.0), c[2] + (r["b"] or 0.0))
+            k = parent.get(k)
+    return out
+
+
+def grouped_importance(model: Ensemble, spark: SparkSession, workers: int, by: str = "count") -> DataFrame:
+    """feature, importance: the mean over groups of trees (as assignment() deals them out) of the groups' own normalised importances."""
+    groups = [(t, w) for w, (count, first) in enumerate(assignment(len(model.trees), workers)) for t in range(first, first + count)]
+    group = F.create_map(*(F.lit(x) for pair in groups for x in pair))[F.col("tree_id")]
+    value = {"count": F.lit(1.0), "samples": F.col("samples").cast("double"), "gain": F.col("gain")}[by]
+    used = model.nodes(spark).where(~F.col("is_leaf")).groupBy(group.alias("g"), "feature").agg(F.sum(value).alias("v"))
+    share = used.join(used.groupBy("g").agg(F.sum("v").alias("t")), "g").where("t > 0").select("feature", (F.col("v") / F.col("t")).alias("s"))
+    every = spark.range(len(model.features)).select(F.col("id").cast("int").alias("feature"))
+    total = share.groupBy("feature").agg((F.sum("s") / min(workers, max(1, len(model.trees)))).alias("importance"))
+    return every.join(F.broadcast(total), "feature", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def side_by_side(bag: DataFrame, features: list[str], label: str, growth: grow.Growth) -> dict[int, dict[int, Node]]:
     """Each tree in one task; a bag is its distinct rows and how often they were drawn."""
 
@@ -74,8 +122,6 @@ def side_by_side(bag: DataFrame, features: list[str], label: str, growth: grow.G
 
 def oob(model: Ensemble, ranked: DataFrame, row_id: str, label: str, config: BaggingConfig) -> DataFrame:
     """row_id, label, prediction (mean of the trees that did not see the row) and n_trees, for rows with such trees."""
-    from ..operators.sampling import bootstrap
-
     seen = bootstrap(ranked, row_id, config.trees, config.ratio, config.seed).groupBy("rn").agg(F.collect_list("tree_id").alias("_seen"))
     packed = [arrays(t) for t in model.trees]
 

@@ -154,5 +154,11 @@ def predict(model: Ensemble, rows: DataFrame, config: BoostingConfig) -> DataFra
     return model.score(rows)
 
 
+def evaluate(model: Ensemble, rows: DataFrame, label: str, config: BoostingConfig) -> DataFrame:
+    """One row: n, loss (of the configured kind), mse and mae."""
+    y, p = F.col(label), F.col("prediction")
+    return predict(model, rows, config).agg(F.count(y - p).alias("n"), F.avg(registry.loss(config.loss).loss(y, p)).alias("loss"), F.avg((y - p) * (y - p)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"))
+
+
 def dart(config: BoostingConfig, **more) -> BoostingConfig:
     return replace(config, dart=True, **more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.criteria import node_metric
 from ..operators import prune as pruners
+from ..operators.binning import binned
 from ..operators.splits import Search, best_splits, with_edges
 from .model import NODES, Node, Tree
 
@@ -20,6 +21,8 @@ LOCAL_ROWS, CHECKPOINT_EVERY = 20_000, 8
 BROADCAST_NODES = 100_000
 #: Nodes up to which they are written into the plan instead; the rows are the same.
 FEW_NODES = 64
+#: Values of all nodes and features up to which a node and feature is one task of a split search; the splits are the same.
+MANY_VALUES = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -82,10 +85,15 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
     """Trees grown together, a plan a level for all: a row stands in the tree that its node column (0 to roots - 1) names."""
     s = with_edges(rows, s)
     keep = [*dict.fromkeys([*s.features, s.label, *([s.weight] if s.weight else []), *(s.newton or ())])]
-    now = rows.select(*keep, F.col(s.node).cast("int").alias(s.node)).persist()
+    now = rows.select(*keep, F.col(s.node).cast("int").alias(s.node))
+    if s.edges:
+        now, s = binned(now, s.features, s.edges, now.columns), replace(s, binned=True)
+    now = now.persist()
     tree: Tree = {k: Node(k, 0) for k in range(roots)}
     for k, (n, mean, metric) in totals(now, s).items():
         tree[k] = Node(k, 0, n, metric, mean, mean)
+    if not s.edges:
+        s = replace(s, many_values=sum(n.samples for n in tree.values()) * len(s.features) > MANY_VALUES)
     open_nodes, depth, next_id, held = list(range(roots)), 0, roots, now
     while open_nodes and depth < growth.max_depth:
         grow = [k for k in open_nodes if tree[k].samples >= max(2, 2 * growth.min_leaf)]

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs
+from ..operators.binning import binned
 from ..operators.sampling import goss
 from ..operators.splits import Search, best_splits, with_edges
 from . import grow
-from .boosting import CUT_EVERY, PREDICTION, RESIDUAL, should_stop
+from .boosting import CUT_EVERY, PREDICTION, RESIDUAL, mean_loss, should_stop
 from .model import Ensemble, Node, Tree, score_trees
 
 #: Leaves whose children are searched in one job, before it is their turn to be split. What a leaf gains does not depend
@@ -41,7 +43,10 @@ class LeafwiseConfig:
 def leaf_wise(rows: DataFrame, s: Search, config: LeafwiseConfig) -> Tree:
     """Splits the leaf of largest gain until there are enough leaves. A child with few rows stays a leaf."""
     s = with_edges(rows, s)
-    now = rows.select(*s.features, s.label, s.weight, F.lit(0).cast("int").alias(s.node)).persist()
+    now = rows.select(*s.features, s.label, s.weight, F.lit(0).cast("int").alias(s.node))
+    if s.edges:
+        now, s = binned(now, s.features, s.edges, now.columns), replace(s, binned=True)
+    now = now.persist()
     tree: Tree = {}
     found = grow.totals(now, s)
     if 0 not in found:
@@ -99,7 +104,8 @@ def leaf(k: int, depth: int, n: int, mean: float, metric: float, lam: float) ->
     return Node(k, depth, n, metric, value, value)
 
 
-def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: LeafwiseConfig = LeafwiseConfig()) -> Ensemble:
+def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: LeafwiseConfig = LeafwiseConfig(), validation: DataFrame | None = None) -> Ensemble:
+    """Stops early on the validation loss, or on the training loss where there is none."""
     base = rows.agg(F.avg(label)).first()[0] or 0.0
     model = Ensemble(features, base=base)
     source = rows.select(row_id, label, *features).persist()
@@ -117,7 +123,7 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
         if (i + 1) % CUT_EVERY == 0:
             now, held = grow.cut(now, held)
         model.history.append({"iter": i, "train_loss": train_loss, "lr": config.rate, "n_dropped": 0})
-        losses.append(train_loss)
+        losses.append(mean_loss(model.score(validation, PREDICTION), exprs.squared(), label, PREDICTION) if validation is not None else train_loss)
         if should_stop(losses, config.patience, config.tolerance):
             break
     for x in (source, held):

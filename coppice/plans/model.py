@@ -163,3 +163,8 @@ def top_importance(imp: DataFrame, k: int = 10) -> DataFrame:
 def stats(nodes: DataFrame) -> DataFrame:
     """tree_id, depth, n_leaves, n_nodes."""
     return nodes.groupBy("tree_id").agg(F.max("depth").alias("depth"), F.count_if("is_leaf").alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+def ensemble_stats(nodes: DataFrame) -> DataFrame:
+    """One row: trees, depths and leaves summed over them, nodes, and bytes of the node table (ten numbers of eight bytes a node)."""
+    return stats(nodes).agg(F.count(F.lit(1)).alias("trees"), F.sum("depth").alias("depths"), F.sum("n_leaves").alias("leaves"), F.sum("n_nodes").alias("nodes"), (F.sum("n_nodes") * 80).alias("bytes"))

@@ -32,3 +32,25 @@ def ntile_of(rn: Column, n: int, k: int) -> Column:
     size, more = n // k, n % k
     cut = more * (size + 1)
     return F.when(rn <= cut, F.floor((rn - 1) / (size + 1)) + 1).otherwise(more + F.floor((rn - 1 - cut) / max(size, 1)) + 1).cast("int")
+
+
+def running(df: DataFrame, groups: list[str], order: str, sums: list[str], following: str | None = None) -> DataFrame:
+    """df with c_x (running sum, in order, nulls last) and t_x (total) of each of sums in its group, and nxt (the next value of following).
+
+    One group may be as large as the table: ranges of (groups, order) are summed each in its task, and a small table of a
+    row a range and group has the offsets. (groups, order) must be unique.
+    """
+    by = [*(F.col(c) for c in groups), F.asc_nulls_last(order)]
+    ranged = kept(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    first = [F.min(following).alias("_first")] if following else []
+    parts = ranged.groupBy("_part", *groups).agg(*(F.sum(x).alias(f"_p_{x}") for x in sums), *first)
+    w = Window.partitionBy(*groups).orderBy("_part")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    made = {f"_o_{x}": F.coalesce(F.sum(f"_p_{x}").over(before), F.lit(0)) for x in sums} | {f"t_{x}": F.sum(f"_p_{x}").over(Window.partitionBy(*groups)) for x in sums}
+    offsets = parts.withColumns(made | ({"_after": F.lead("_first").over(w)} if following else {}))
+    joined = ranged.join(offsets.drop(*(f"_p_{x}" for x in sums), "_first"), ["_part", *groups])
+    local = Window.partitionBy("_part", *groups).orderBy(F.asc_nulls_last(order))
+    out = {f"c_{x}": F.col(f"_o_{x}") + F.sum(x).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for x in sums}
+    if following:
+        out["nxt"] = F.coalesce(F.lead(following).over(local), "_after")
+    return joined.withColumns(out).drop("_part", "_after", *(f"_o_{x}" for x in sums))

@@ -354,3 +354,78 @@ def test_dropping_at_inference(rows):
     config = boosting.BoostingConfig(dart=True, drop_rate=0.9, skip_drop_for_prediction=False)
     total = lambda df: df.agg(F.sum(F.col("prediction") * F.col("prediction"))).first()[0]
     assert total(boosting.predict(made, rows, config)) != pytest.approx(total(boosting.predict(made, rows, boosting.dart(config, skip_drop_for_prediction=True))))
+
+
+@pytest.mark.parametrize("finder", ["exhaustive", "quartile", "adaptive_eq"])
+def test_values_of_one_feature_over_many_tasks(gaps, finder):
+    """Running sums by ranges give the splits that a window gives."""
+    from dataclasses import replace
+
+    rows = gaps.withColumn("node_id", (F.col("row_id") % 3).cast("int")).repartition(5)
+    s = Search(features=FEATURES, finder=finder)
+    a, b = (sorted(map(tuple, splits.best_splits(rows, x).collect())) for x in (s, replace(s, many_values=True)))
+    assert len(a) == 3 and all(x == pytest.approx(y) for x, y in zip(a, b, strict=True))
+
+
+def test_running_sums(spark):
+    from coppice.plans.ranking import running
+
+    r = random.Random(6)
+    made = [(g, None if v == 0 else float(v), r.randint(1, 9)) for g in range(3) for v in range(40)]
+    got = {(x["g"], x["v"]): x for x in running(spark.createDataFrame(made, "g int, v double, n int").repartition(7), ["g"], "v", ["n"], "v").collect()}
+    for g in range(3):
+        order = sorted((x for x in made if x[0] == g), key=lambda x: (x[1] is None, x[1]))
+        upto = 0
+        for k, (_, v, n) in enumerate(order):
+            upto += n
+            x = got[g, v]
+            assert x["c_n"] == upto and x["t_n"] == sum(y[2] for y in order)
+            assert x["nxt"] == (order[k + 1][1] if k + 1 < len(order) else None)
+
+
+@pytest.mark.parametrize("pruner,param", [("mingain", 2.0), ("cost_complexity", 30.0), ("reduced_error", 0.0)])
+def test_bagged_trees_are_pruned(rows, pruner, param):
+    full, ranked = bagging.train(rows, FEATURES, "label", "row_id", bagging.BaggingConfig(trees=3, max_depth=6))
+    config = bagging.BaggingConfig(trees=3, max_depth=6, pruner=pruner, prune_param=param)
+    some, _ = bagging.train(rows, FEATURES, "label", "row_id", config)
+    assert all(1 < len(a) < len(b) for a, b in zip(some.trees, full.trees, strict=True))
+    if pruner == "reduced_error":
+        assert bagging.oob_error(some, ranked, "row_id", "label", config).first()["mse"] <= bagging.oob_error(full, ranked, "row_id", "label", config).first()["mse"]
+
+
+def test_importance_of_groups(spark, rows):
+    made, _ = bagging.train(rows, FEATURES, "label", "row_id", bagging.BaggingConfig(trees=5, max_depth=3))
+    of = []
+    for count, first in bagging.assignment(5, 2):
+        used = [n.feature for t in made.trees[first : first + count] for n in t.values() if not n.is_leaf]
+        of.append([used.count(f) / len(used) for f in range(2)])
+    got = {r["feature"]: r["importance"] for r in bagging.grouped_importance(made, spark, 2).collect()}
+    assert [got[0], got[1]] == pytest.approx([(of[0][f] + of[1][f]) / 2 for f in range(2)])
+
+
+def test_loss_of_boosting_and_validation_of_leaf_wise(spark, rows):
+    config = boosting.BoostingConfig(loss="huber:2", rounds=2, max_depth=2)
+    made = boosting.train(rows, FEATURES, "label", "row_id", config)
+    got = boosting.evaluate(made, rows, "label", config).first()
+    assert got["n"] == 300 and 0 < got["loss"] < got["mse"]
+    total = model.ensemble_stats(made.nodes(spark)).first()
+    assert total["trees"] == 2 and total["leaves"] == sum(map(model.leaves, made.trees))
+    stopped = leafwise.train(rows, FEATURES, "label", "row_id", leafwise.LeafwiseConfig(rounds=4, leaves=3, max_bin=8, patience=1, rate=1e-9), rows.limit(50))
+    assert len(stopped.trees) < 4
+
+
+def test_histograms_of_parts(rows):
+    edges = binning.equal_width(rows, FEATURES, 8)
+    whole, low, high = (binning.histogram(x, FEATURES, edges, "label") for x in (rows, rows.where("f0 <= 9"), rows.where("f0 > 9")))
+    table = lambda h: sorted((r["feature"], r["bin"], r["cnt"], round(r["s1"], 6), round(r["c_s2"], 6)) for r in h.collect())
+    assert table(binning.changed(low, high, 1)) == table(whole) and table(binning.changed(whole, high, -1)) == table(low)
+    part = binning.range_stats(whole, 0, 2, 5).first()
+    want = sum(r["cnt"] for r in whole.where("feature = 0 and bin >= 2 and bin < 5").collect())
+    assert part["cnt"] == want and part["mse"] > 0 and binning.range_stats(whole, 0, 3, 3).first()["cnt"] == 0
+    cache = binning.HistogramCache(1)
+    assert cache.get("a", lambda: whole).count() == cache.get("a", lambda: low).count() and (cache.hits, cache.misses) == (1, 1)
+    cache.get("b", lambda: low)
+    assert list(cache.held) == ["b"]
+    cache.clear()
+    edges = binning.adaptive_frequency_edges(rows, FEATURES)
+    assert all(len(e) >= 4 and e == sorted(set(e)) for e in edges.values())
