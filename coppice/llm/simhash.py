@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, texts
+from .common import discard, materialise, slices, table, texts
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 #: Partitions that may be chosen, and nanoseconds that a probe row and a compared pair cost, for the choice.
@@ -317,7 +317,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
-        seen, now = mark, materialise(star(star(now, False), True))
+        after = materialise(star(star(now, False), True))
+        discard(now)
+        seen, now = mark, after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

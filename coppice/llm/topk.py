@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 SCALE, K, BINS = 1024, 10, 1024
 QUERIES_A_BLOCK, VECTORS_A_TILE = 256, 2048
@@ -199,7 +199,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def selected(tile_rows: DataFrame, state: DataFrame, span: int, dim: int, numbers: Numbers) -> DataFrame:
     """query_id, vec_id, score and place (sorts as the scores do) of all rows above the k-th score of each query of a wave, and of the ties that may be needed."""
     while span > 1:
-        state = materialise(histogram_round(tile_rows, state, dim, numbers))
+        before, state = state, materialise(histogram_round(tile_rows, state, dim, numbers))
+        discard(before)
         span = -(-span // BINS)
     digits = len(str(-3 * numbers.least))
 
