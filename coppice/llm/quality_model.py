@@ -2,8 +2,8 @@
 
 Every text is cut into overlapping chunks that cover all of its bytes. Learned filters run over the bytes of a chunk,
 each chunk is max-pooled, the pooled chunks of a document are combined (mean and maximum) and a logistic layer makes one
-probability of them. Training happens on the driver, on a bounded sample of labelled rows and of their chunks
-(TRAIN_DOCS, TRAIN_CHUNKS); scoring is one map over the documents with the small weights in the closure, no shuffle.
+probability of them. Training happens on the driver, on all chunks of a bounded sample of labelled rows (TRAIN_DOCS rows
+and TRAIN_BYTES in all, in the order of a hash; one row of each doc_id); scoring is one map over the documents with the small weights in the closure, no shuffle.
 
 Null and empty texts are one chunk of padding and get a score as well. Without labels of both kinds every score is the
 prior. Only bytes are read: neither ids, labels, language nor source. Extra columns are not read.
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_held_out, first_rows_by_hash, slices, sorted_labels, table, texts
+from .common import crc_held_out, first_rows_by_hash, materialise, slices, sorted_labels, table, texts
 
 EMBED, WIDTH, FILTERS = 6, 8, 16
 #: Bytes a chunk advances; WIDTH - 1 more are read, so that each window of bytes lies in a chunk.
 CHUNK = 512
-#: Bounds of the training sample: documents, and evenly spaced chunks of one.
-TRAIN_DOCS, TRAIN_CHUNKS = 2400, 6
+#: Bounds of the training sample: labelled rows, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 2400, 16 << 20
 EPOCHS, BATCH, RATE, DECAY = 7, 32, 0.01, 1e-4
 #: Steps at least, however small the sample.
 LEAST_STEPS = 300
@@ -94,7 +94,8 @@ class ByteConvNet:
         """Of the mean log loss of a batch; docs: the chunks of each."""
         sizes = np.array([len(x) for x in docs])
         chunks, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
-        raw, places = self.pooled(chunks, self.pair_tables(), True)
+        tables = self.pair_tables()
+        raw, places = (np.concatenate(x) for x in zip(*(self.pooled(chunks[k : k + AT_ONCE], tables, True) for k in range(0, len(chunks), AT_ONCE)), strict=True))
         h = np.maximum(raw, 0)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         mean, most = np.add.reduceat(h, starts) / sizes[:, None], np.maximum.reduceat(h, starts)
@@ -143,26 +144,20 @@ def train(docs: list[np.ndarray], truth: np.ndarray, epochs: int = EPOCHS, seed:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """(quality, chunks): TRAIN_DOCS labelled rows at most that are not held out, TRAIN_CHUNKS evenly spaced chunks of each."""
+    """(quality, text): whole texts of TRAIN_DOCS labelled rows at most that are not held out, as many as have TRAIN_BYTES together."""
     marked = first_rows_by_hash(sorted_labels(labels, "quality").where(~crc_held_out()), "doc_id", TRAIN_DOCS)
-
-    def cut(batches):
-        for b in slices(batches, 200):
-            out = []
-            for text in texts(b):
-                raw = np.frombuffer(text, np.uint8)
-                n = n_chunks(len(raw))
-                out.append(b"".join(chunk_matrix(raw, k, k + 1).tobytes() for k in np.unique(np.linspace(0, n - 1, TRAIN_CHUNKS).astype(int)).tolist()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # TRAIN_DOCS rows of two integers at most
-    kinds = dict(joined.dtypes)
-    return joined.select("doc_id", "text", "quality").mapInArrow(cut, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, chunks binary").toPandas().sort_values("doc_id", kind="stable")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")  # TRAIN_DOCS rows of two integers at most
+    one = materialise(joined.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")))
+    order = first_rows_by_hash(one.select("doc_id", F.octet_length("text").alias("size")), "doc_id", TRAIN_DOCS).toPandas()
+    chosen = order[order["size"].cumsum() <= TRAIN_BYTES]
+    if len(chosen) < len(order):
+        one = one.where(F.col("doc_id").isin(chosen["doc_id"].tolist()))
+    return one.toPandas().sort_values("doc_id", kind="stable")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ByteConvNet:
     sample = training_sample(docs, labels)
-    chunks = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK + WIDTH - 1) for x in sample["chunks"]]
+    chunks = [chunk_matrix(np.frombuffer(x.encode(), np.uint8)) for x in sample["text"]]
     return train(chunks, (sample["quality"].to_numpy() > 0).astype(np.float32))
 
 
