@@ -1,7 +1,9 @@
 """HTML extraction by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best container and
-its siblings of like score are kept. One pass in Python over each page, no shuffle.
+its siblings of like score are kept. Names of classes and ids weigh: they take away a node only where all of a name says
+frame (social-links, not social-studies), and not where its own paragraphs score as the article's do and no frame is
+named more strongly. One pass in Python over each page, linear in its length, no shuffle.
 
 Null or empty html gives an empty text; a page without article text gives an empty text; broken markup is read as a
 browser would read it (unclosed tags end with their parent, an unclosed comment or script runs to the end). Extra
@@ -28,15 +30,15 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"
 STOPS = frozenset("ul ol dl menu table div section article".split())
 DROPPED = frozenset("nav footer aside form button dialog menu head fieldset input label".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|adsense|adbox|adslot|banner|breadcrumbs?|byline-ads|comments?|commentlist|respond|disqus|cookies?|consent|gdpr|footer|footnav|masthead|menu|menus|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|overlay|promo|promos|promoted|promotion|related|recommended|reader-comments|replies|reply|share|sharing|shoutbox|sidebar|sidebars|side-?bar|skyscraper|social|sponsor|sponsors|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets|login|signup|sign-up|search|alert|disclaimer|copyright|legal)(?:$|[\s_\d-])",
-    re.I,
-)
-#: Names of what is no part of an article even where it is marked as one.
-NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-\w+|reply|replies|respond|disqus|related|promos?|sponsored|sponsor|adverts?|advertisements?|ads?|teasers?)(?:$|[\s_\d-])", re.I)
+#: Words of class names and ids that mean a page's frame, those that mean no part of an article even inside one, words that
+#: say nothing beside them, and those that mean an article.
+FRAME = frozenset("banner breadcrumb breadcrumbs cookie cookies consent gdpr footer footnav masthead menu menus nav navbar navigation navbox newsletter notice notices pagination pager popup modal overlay share sharing shoutbox sidebar sidebars skyscraper social subscribe subscription tags toolbar topbar widget widgets login signup search alert disclaimer copyright legal rail".split())
+NEVER = frozenset("ad ads advert adverts advertisement advertisements advertorial adsense adbox adslot comment comments commentlist respond disqus reply replies related recommended promo promos promoted promotion sponsor sponsors sponsored teaser teasers".split())
+NEUTRAL = frozenset("a all and area bar big block body bottom box btn button buttons by center column container content cta empty fixed form foot global group head header heading holder icons image inline inner item items label large left line link links list main message mobile module note of off on outer page panel post posts primary reader readers right row secondary section set site size small stack sticky sub text the title to top up user wrap wrapper your".split())
+WORDS = re.compile(r"[a-z]+", re.I)
 #: Why a node is left out: by its name only, which an article inside it can outweigh, or for good.
 BY_NAME, FOR_GOOD = 1, 2
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|text|story|blog|hentry)(?:$|[\s_\d-])", re.I)
+GOOD = frozenset("article body content entry main page post text story blog hentry".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 CONTAINERS = frozenset("html article main body div section td blockquote center".split())
 
@@ -53,19 +55,30 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "weight", "dropped", "chars", "linked", "order", "commas")
+    __slots__ = ("tag", "parent", "children", "score", "weight", "dropped", "chars", "linked", "order", "commas", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.children: list[Node | str] = []
         self.score, self.weight, self.dropped = 0.0, 0.0, 0
         self.chars = self.linked = self.commas = 0
+        #: Whether an article or main is around it.
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+
+
+def named(names: str, kind: frozenset[str]) -> bool:
+    """Whether a name (a class or an id) has a word of that kind and none of another meaning."""
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in kind for w in words) and all(w in FRAME or w in NEVER or w in NEUTRAL for w in words):
+            return True
+    return False
 
 
 def _weigh(node: Node, attrs: str) -> None:
     """Sets what tag, class, id and role say of a node."""
     tag = node.tag
-    node.dropped = FOR_GOOD if tag in DROPPED or tag == "header" and not _inside(node.parent, ("article", "main")) else 0
+    node.dropped = FOR_GOOD if tag in DROPPED or tag == "header" and not node.inside else 0
     if tag in ("article", "main"):
         node.weight = 25.0
     if attrs:
@@ -74,23 +87,15 @@ def _weigh(node: Node, attrs: str) -> None:
         if found.get("role", "").lower() in DROPPED_ROLES or HIDDEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTR.sub(" ", attrs)):
             node.dropped = FOR_GOOD
         if tag not in ("html", "body", "main", "a"):
-            if NEVER.search(names):
+            if named(names, NEVER):
                 node.dropped = node.dropped or FOR_GOOD
-            elif tag != "article" and BAD.search(names):
+            elif tag != "article" and named(names, FRAME):
                 node.dropped = node.dropped or BY_NAME
-            node.weight += 25.0 if GOOD.search(names) else 0.0
+            node.weight += 25.0 if any(w.lower() in GOOD for w in WORDS.findall(names)) else 0.0
         if found.get("role", "").lower() in ("main", "article"):
             node.weight += 25.0
 
 
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order."""
     root = Node("html", None, 0)
@@ -155,10 +160,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = parse(page)
+    cleared: set[int] = set()
     for n in nodes:
         if n.tag in ("article", "main") and not n.dropped:
             up = n.parent
-            while up is not None and up.dropped != FOR_GOOD:  # a page's frame may be named after its sidebar
+            while up is not None and up.dropped != FOR_GOOD and up.order not in cleared:  # a page's frame may be named after its sidebar
+                cleared.add(up.order)
                 up.dropped, up = 0, up.parent
     for n in nodes:  # parents come first
         n.dropped = n.dropped or (n.parent.dropped if n.parent is not None else 0)
@@ -209,7 +216,7 @@ def extract(page: str | None) -> str:
                 kept.append(x)
             elif isinstance(x, Node) and not x.dropped and x.chars and best.tag != "article":
                 density = x.linked / x.chars
-                if x.score >= max(10, 0.2 * best.score) or density < 0.25 and x.tag in PARAGRAPHS - {"li", "td"}:
+                if x.score >= max(min(10, 0.5 * best.score), 0.2 * best.score) or density < 0.25 and x.tag in PARAGRAPHS - {"li", "td"}:
                     kept.append(x)
     return " ".join("".join(_pieces(kept)).split())
 
