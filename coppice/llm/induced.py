@@ -24,15 +24,28 @@ DEPTH = 50
 CHUNK, IN_MEMORY = 1 << 20, 1 << 23
 FAR = 255
 SYMBOLS = 257
-#: Positions; a shard has less than 2^31 bytes.
-POS = np.int32
+
+
+def position_type(n: int) -> type:
+    """Positions of a shard of n bytes: 32 bits where they do."""
+    return np.int32 if n < MOST_SHORT else np.int64
+
+
+#: Bytes from which positions have 64 bits.
+MOST_SHORT = (1 << 31) - 128
+
+
+def scratch_folder() -> str | None:
+    """A folder of Spark's own for scratch, on the disks that are meant for it; the system's where Spark names none."""
+    named = ",".join(os.environ.get(x, "") for x in ("SPARK_EXECUTOR_DIRS", "LOCAL_DIRS", "SPARK_LOCAL_DIRS"))
+    return next((x for x in named.split(",") if x and os.path.isdir(x) and os.access(x, os.W_OK)), None)
 
 
 class BucketQueue:
     """Tuples by bucket, in order of arrival; spilled to one file a bucket when too many wait."""
 
-    def __init__(self, folder: str, in_memory: int = IN_MEMORY):
-        self.folder, self.in_memory, self.waiting = folder, in_memory, 0
+    def __init__(self, folder: str, in_memory: int, kind: type):
+        self.folder, self.in_memory, self.waiting, self.kind = folder, in_memory, 0, kind
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.on_disk: set[int] = set()
 
@@ -58,7 +71,7 @@ class BucketQueue:
                 for n, m in zip(names, moved, strict=True):
                     os.replace(n, m)
                 with open(moved[0], "rb") as p, open(moved[1], "rb") as q:
-                    while len(pos := np.fromfile(p, POS, CHUNK)):
+                    while len(pos := np.fromfile(p, self.kind, CHUNK)):
                         yield pos, np.fromfile(q, np.uint8, CHUNK)
                 for m in moved:
                     os.remove(m)
@@ -173,7 +186,7 @@ def seed_order(text: np.ndarray, n: int, seeds: np.ndarray, s_type: np.ndarray)
     while len(rest):  # seven places at a time, each as byte and type, so that no name is a prefix of another
         key, size = np.zeros(len(rest), np.uint64), length[rest]
         for k in range(at, at + 7):
-            q = np.minimum(seeds[rest] + POS(k), POS(n))
+            q = np.minimum(seeds[rest] + k, n)
             code = text[q].astype(np.uint64) * np.uint64(2) + s_type[q] + np.uint64(1)
             code[q == n] = 1
             code[k >= size] = 0
@@ -217,13 +230,12 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
     n = len(data)
     if not n:
         return
-    if n >= 1 << 31:
-        raise ValueError("a shard must have less than 2^31 bytes")
+    kind = position_type(n)
     text = np.concatenate([data, np.zeros(64, np.uint8)])
     s_type = rising(data)
-    seeds = np.concatenate([np.flatnonzero(s_type[k + 1 : k + 1 + CHUNK] & ~s_type[k : min(k + CHUNK, n)][: len(s_type[k + 1 : k + 1 + CHUNK])]).astype(POS) + POS(k + 1) for k in range(0, n, CHUNK)])
+    seeds = np.concatenate([np.flatnonzero(s_type[k + 1 : k + 1 + CHUNK] & ~s_type[k : min(k + CHUNK, n)][: len(s_type[k + 1 : k + 1 + CHUNK])]).astype(kind) + kind(k + 1) for k in range(0, n, CHUNK)])
     seeds = seeds[seeds < n]
-    with tempfile.TemporaryDirectory(dir=folder) as tmp:
+    with tempfile.TemporaryDirectory(dir=folder or scratch_folder()) as tmp:
         os.mkdir(f"{tmp}/l"), os.mkdir(f"{tmp}/s"), os.mkdir(f"{tmp}/kept")
         if len(seeds):
             seeds = seeds[seed_order(text, n, seeds, s_type)]
@@ -231,14 +243,14 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
         heads = data[seeds].astype(np.int64)
         seed_lcp = np.append(np.zeros(1, np.uint8), common_prefix(text, seeds[1:], seeds[:-1], n))[: len(seeds)]
         cuts = np.searchsorted(heads, np.arange(SYMBOLS))
-        queue, kept = BucketQueue(f"{tmp}/l", in_memory), BucketQueue(f"{tmp}/kept", in_memory)
+        queue, kept = BucketQueue(f"{tmp}/l", in_memory, kind), BucketQueue(f"{tmp}/kept", in_memory, kind)
         inducer = Inducer(queue)
 
         def previous(pos: np.ndarray) -> np.ndarray:
             return text[np.maximum(pos - 1, 0)].astype(np.int16)
 
         # The end of the text comes first and induces the last suffix.
-        inducer.feed(np.array([n], POS), np.zeros(1, np.uint8), np.array([True]), np.array([int(data[-1])], np.int16))
+        inducer.feed(np.array([n], kind), np.zeros(1, np.uint8), np.array([True]), np.array([int(data[-1])], np.int16))
         for c in range(256):
             last = -1
             for pos, lcp in queue.pop(c):
@@ -250,10 +262,10 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
             for k in range(0, len(pos), CHUNK):
                 part, lcp = pos[k : k + CHUNK], seed_lcp[cuts[c] + k : cuts[c] + k + CHUNK].copy()
                 if not k:
-                    lcp[0] = common_prefix(text, np.array([last], POS), part[:1], n)[0] if last >= 0 else 0
+                    lcp[0] = common_prefix(text, np.array([last], kind), part[:1], n)[0] if last >= 0 else 0
                 inducer.feed(part, lcp, np.ones(len(part), bool), previous(part))
         del seeds, seed_lcp, heads
-        queue = BucketQueue(f"{tmp}/s", in_memory)
+        queue = BucketQueue(f"{tmp}/s", in_memory, kind)
         inducer = Inducer(queue)
         for c in range(255, -1, -1):
             last = -1
@@ -266,7 +278,7 @@ def suffixes(data: np.ndarray, folder: str | None = None, in_memory: int = IN_ME
                 if last < 0:
                     lcp[0] = 0
                 elif lcp[0] == FAR:
-                    lcp[0] = common_prefix(text, np.array([last], POS), pos[:1], n)[0]
+                    lcp[0] = common_prefix(text, np.array([last], kind), pos[:1], n)[0]
                 to = previous(pos)
                 inducer.feed(pos, lcp, (pos > 0) & (to < c), to)
                 yield pos, lcp
@@ -282,7 +294,7 @@ def backwards(kept: BucketQueue, bucket: int) -> Iterator[tuple[np.ndarray, np.n
                 pos.tofile(p)
                 lcp.tofile(q)
         names = [f"{kept.folder}/{bucket}.{x}" for x in ("pos", "lcp")]
-        every, values = np.memmap(names[0], POS, "r"), np.memmap(names[1], np.uint8, "r")
+        every, values = np.memmap(names[0], kept.kind, "r"), np.memmap(names[1], np.uint8, "r")
     elif bucket in kept.parts:
         parts = kept.parts.pop(bucket)
         every, values = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])

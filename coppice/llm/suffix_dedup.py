@@ -41,7 +41,10 @@ ROW = AROUND + 2
 PAD = 255
 #: Text bytes of a block of documents, and of the documents whose anchors make a shard.
 BLOCK_BYTES, SHARD_BYTES = 24 << 20, 6 << 20
-MOST_SHARDS = 1 << 14
+#: A shard's number has 24 bits of an anchor's hash: enough for 100 TB in shards of SHARD_BYTES; beyond, shards grow.
+MOST_SHARDS = 1 << 24
+#: Anchors whose surroundings are laid out together.
+ANCHORS_AT_ONCE = 1 << 17
 #: Bytes looked at together.
 SEGMENT = 4 << 20
 LOW = np.uint64((1 << 40) - 1)
@@ -284,6 +287,20 @@ def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], which
 
 
+def distinct_surroundings(t: Texts, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different surroundings of anchors, and for every anchor which of these it has. Laid out in parts: in a run of one character every place is an anchor."""
+    parts, of, n = [np.zeros((0, ROW), np.uint8)], [np.zeros(0, np.int64)], 0
+    for k in range(0, len(at), ANCHORS_AT_ONCE):
+        found = surroundings(t, at[k : k + ANCHORS_AT_ONCE], doc[k : k + ANCHORS_AT_ONCE])
+        first, which = distinct(found)
+        parts.append(found[first])
+        of.append(which + n)
+        n += len(first)
+    every = np.concatenate(parts)
+    first, same = distinct(every)
+    return every[first], same[np.concatenate(of)]
+
+
 def shared_surroundings(joined: DataFrame, shards: int) -> DataFrame:
     """(shard, distinct surroundings of a block with least doc_id, and where they stand)."""
 
@@ -295,12 +312,11 @@ def shared_surroundings(joined: DataFrame, shards: int) -> DataFrame:
         made = []
         for s, k in groups(shard[use]):
             k = use[k]
-            found = surroundings(t, at[k], doc[k])
-            first, which = distinct(found)
+            found, which = distinct_surroundings(t, at[k], doc[k])
             ids = t.ids[doc[k]]
             order = np.lexsort((at[k], ids))
             place = (at[k] - t.starts[doc[k]])[order]
-            made.append((0, s, 0, pack(found[first].T, np.diff(ids[order], prepend=0), place, which[order].astype(np.uint32))))
+            made.append((0, s, 0, pack(found.T, np.diff(ids[order], prepend=0), place, which[order].astype(np.uint32))))
         return made
 
     def run(batches):
