@@ -1,6 +1,8 @@
 """HTML extraction, top-k, mixing, licences."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,6 +37,40 @@ def test_names():
     assert html_extract.extract('<body><div class="content"><p>Some, text.</p><p>More, text.</p></div><div class="promo">Buy, this, now</div></body>') == "Some, text. More, text."
 
 
+def page_of(r, words):
+    """(page, text) of an article among frames of many forms."""
+    sentence = lambda n: " ".join(r.choices(words, k=n)).capitalize() + ", " + " ".join(r.choices(words, k=n)) + "."
+    paragraphs = [" ".join(sentence(r.randint(4, 12)) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 9))]
+    title = " ".join(r.choices(words, k=4)).capitalize()
+    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in r.choices(words, k=8))
+    frames = [f"<nav><ul>{links}</ul></nav>", f'<div class="main-menu"><ul>{links}</ul></div>', f'<div class="social-links">{links}</div>', f'<aside><h3>More</h3><p>{sentence(5)}</p></aside>', f'<div id="sidebar"><p>{sentence(6)}</p></div>', f'<div class="cookie-notice"><p>{sentence(9)}</p></div>', f'<div class="ad-box">{sentence(4)}</div>', f'<form><input name="q"><label>{sentence(3)}</label></form>', "<script>if (a < b) { x = '<p>no</p>' }</script>"]
+    r.shuffle(frames)
+    body = "".join(f"<p>{p.replace('a', '&#97;', 1)}</p>" if r.random() < 0.9 else f"<blockquote>{p}</blockquote>" for p in paragraphs)
+    shape = r.choice(["<article><h1>{t}</h1>{b}</article>", '<div class="post-content"><h1>{t}</h1>{b}</div>', '<div id="x7"><h1>{t}</h1>{b}</div>', '<main><h1>{t}</h1><section class="social-studies">{b}</section></main>'])
+    comments = f'<section id="comments"><h2>Comments</h2><p>{sentence(10)}</p><p>{sentence(12)}</p></section>'
+    k = r.randint(0, len(frames))
+    page = f"<html><head><title>T</title></head><body><header><p>{sentence(4)}</p></header>{''.join(frames[:k])}{shape.format(t=title, b=body)}{comments}{''.join(frames[k:])}<footer><p>{sentence(5)}</p></footer></body></html>"
+    return page, " ".join([title, *paragraphs])
+
+
+def test_labelled_pages():
+    """Token precision and recall over pages of which the text is known."""
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ra", "tu") for b in ("na", "vel", "dor", "sim", "pet", "aga")]
+    hit = got = want = whole = 0
+    for _ in range(150):
+        page, text = page_of(r, words)
+        found = html_extract.extract(page)
+        a, b = Counter(found.split()), Counter(text.split())
+        hit, got, want, whole = hit + (a & b).total(), got + a.total(), want + b.total(), whole + (found == text)
+    assert hit / got > 0.95 and hit / want > 0.95 and whole > 120
+
+
+def test_names_weigh():
+    assert html_extract.extract("<body><div>First one.</div><div>Second one.</div></body>") == "First one. Second one."
+    assert html_extract.extract('<article><p>One, two.</p><div class="social-studies"><p>Three, four.</p></div><div class="social-links">Share</div></article>') == "One, two. Three, four."
+
+
 def test_deep_nesting_does_not_recurse():
     assert html_extract.extract("<div>" * 20_000 + "<p>deep text, here</p>") == "deep text, here"
 
@@ -76,14 +112,53 @@ def test_topk_with_few_candidates(spark):
     assert [(r["vec_id"], r["rank"]) for r in got] == [(1, 1), (2, 2)]
 
 
+def cells_of(seed=3, shape=(4, 3, 2)):
+    rng = np.random.default_rng(seed)
+    at = [k.ravel() for k in np.indices(shape)]
+    mass = rng.random(len(at[0])) * 100
+    mass[rng.random(len(mass)) < 0.2] = 0
+    return mass, at
+
+
 def test_raking_meets_the_targets():
-    rng = np.random.default_rng(3)
-    mass = rng.random((4, 3, 2)) * 100
+    mass, at = cells_of()
     targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.25, 0.25]), np.array([0.9, 0.1])]
-    out = mass * mixing.rake(mass, targets)
-    for k, t in enumerate(targets):
-        assert np.allclose(out.sum(tuple(i for i in range(3) if i != k)) / out.sum(), t, atol=1e-8)
-    assert (mixing.rake(np.zeros((2, 2)), [np.ones(2), np.ones(2)]) == 1).all()
+    out = mass * mixing.rake(mass, at, targets)
+    for k, t in zip(at, targets):
+        assert np.allclose(np.bincount(k, out) / out.sum(), t, atol=1e-8)
+    assert (mixing.rake(np.zeros(4), [np.arange(4)], [np.ones(4)]) == 1).all()
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 0.5}, "lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}}])
+def test_raking_tables_gives_the_weights_of_the_driver(spark, monkeypatch, targets):
+    mass, at = cells_of(5, (6, 3, 2))
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(m), 3) for m, a, b, c in zip(mass, *at)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint, n bigint")
+    weights = []
+    for most in (1000, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+        monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
+        df, top = mixing.weights_of(cells, targets)
+        weights.append(({tuple(r)[:3]: r["_weight"] for r in df.collect()}, top))
+    (a, ta), (b, tb) = weights
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=2e-2) for k in a) and ta == pytest.approx(tb, rel=2e-2)
+
+
+def test_many_sources_all_have_targets(spark):
+    """More sources than any fixed number of levels; each is met, a level without a target keeps its share of the rest."""
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 150).alias("source"))
+    rows = mixing.mixed(many, {"source": {"s149": 0.05, "s3": 0.01}})
+    total = rows.agg(F.sum("_copies")).first()[0]
+    share = {r[0]: r[1] / total for r in rows.groupBy("_row.source").agg(F.sum("_copies")).collect()}
+    assert share["s149"] == pytest.approx(0.05, abs=0.01) and share["s3"] == pytest.approx(0.01, abs=0.004) and share["s77"] == pytest.approx(0.94 / 148, abs=0.003)
+    with pytest.raises(ValueError, match="s0"):
+        mixing.mixed(many, {"source": {"s1": 1.0}}).count()
+
+
+def test_rows_without_doc_id_are_drawn_one_by_one(spark):
+    many = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("source"))
+    got = {r["source"]: r["count"] for r in mixing.mixed(many, {"source": {"big": 0.5, "small": 0.5}}).where("_sampled").select("_row.source").groupBy("source").count().collect()}
+    assert abs(got["big"] - 400) < 80 and got["small"] == 400
 
 
 def test_mixing(spark, odd_docs, no_docs):
@@ -114,4 +189,9 @@ def test_licenses(spark, odd_docs, no_docs):
     assert got[0]["license"] == "MIT" and got[2]["license"] is None
     assert got[1]["notices"] == "CC-BY-NC-4.0,MIT" and got[1]["n_notices"] == 2
     assert got[3]["digest"] is None and got[4]["digest"] is None and got[5]["digest"] is None
+    header = "/*\n * Copyright 2021 Someone\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n */\nint main() {}\n"
+    paragraphs = "My project\n\nIt works.\n\n" + mit["MIT"].split("MIT License (MIT)\n")[-1].replace("charge, to", "charge,\nto") + "\n\n# SPDX-License-Identifier: LGPL-2.1-or-later"
+    more = spark.createDataFrame([(0, header), (1, paragraphs)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["notices"] for r in licenses.scan_licenses(more).collect()}
+    assert found == {0: "", 1: "LGPL-2.1,MIT"} or found == {0: "Apache-2.0", 1: "LGPL-2.1,MIT"}
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).collect() == []

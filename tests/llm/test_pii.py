@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.llm import pii
-from tests_llm_brute import pii_spans
+from brute import pii_spans
 
 TEXTS = [
     "a@b.c", "x a.b_c@d-e.f.g. h@i", "@@a@b.c@d.e_f@g.h", "1.2.3.4 256.1.1.1.5 1.2.3.4.5.6.7.8 0001.02.3.0255", "4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111111", "+1 (377) 555-0271 +12345 +1234567890123456 +4 4", "é😀 jo@x.yz 漢 +49 30 1234567",

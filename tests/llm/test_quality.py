@@ -1,8 +1,12 @@
+import random
+import zlib
+
 import numpy as np
 import pytest
 
 from coppice.llm import quality_model, quality_rules
-from tests_llm_brute import quality_base
+from coppice.llm.common import crc_held_out, table
+from brute import quality_base
 
 
 def test_rules_base_columns(odd_docs, odd_labels):
@@ -82,3 +86,62 @@ def test_model_on_odd_documents(odd_docs, no_docs, odd_labels):
     assert len(rows) == odd_docs.count() and all(0 <= r["_score"] <= 1 for r in rows)
     assert quality_model.score_quality(no_docs, net).collect() == []
     assert quality_model.fit(no_docs, odd_labels.limit(0)).score(b"", net.pair_tables()) == pytest.approx(0.5)
+
+
+def naive_score(net, text):
+    """The network by its definition: every window of WIDTH bytes of every chunk."""
+    raw = list(text) + [0] * (quality_model.CHUNK + quality_model.WIDTH)
+    pooled = []
+    for k in range(max(1, -(-len(text) // quality_model.CHUNK))):
+        best = np.full(quality_model.FILTERS, -np.inf)
+        for i in range(k * quality_model.CHUNK, (k + 1) * quality_model.CHUNK):
+            window = [raw[i + w] if i + w < len(text) else 0 for w in range(quality_model.WIDTH)]
+            best = np.maximum(best, sum(net.embedding[window[w]] @ net.filters[w] for w in range(quality_model.WIDTH)))
+        pooled.append(np.maximum(best + net.bias, 0))
+    h = np.array(pooled)
+    return 1 / (1 + np.exp(-(np.concatenate([h.mean(0), h.max(0)]) @ net.out + net.prior[0])))
+
+
+@pytest.mark.parametrize("text", [b"", b"short one", bytes(range(256)) * 5])
+def test_scores_equal_a_naive_network(text):
+    net = quality_model.ByteConvNet(np.random.default_rng(3))
+    assert net.score(text, net.pair_tables()) == pytest.approx(float(naive_score(net, text)), abs=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    """On rows that training never saw, long texts too, whose junk stands anywhere in them."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    net = quality_model.fit(docs, labels)
+    known = quality_model.score_quality(docs, net).join(labels.where(crc_held_out()), "doc_id").select("score", "quality").toPandas()
+    right = (known["score"] >= quality_model.THRESHOLD) == (known["quality"] == 1)
+    assert len(known) >= 50 and right.mean() >= 0.9
+
+
+def test_training_reads_whole_texts_of_bounded_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{k} " * 2000) for k in range(1, 40)] * 3, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id bigint, quality int")
+    sample = quality_model.training_sample(docs, labels)
+    assert sample["doc_id"].is_unique and (sample["text"].str.len() >= 4000).all() and not any(zlib.crc32(str(x).encode()) % 5 == 0 for x in sample["doc_id"])
+    monkeypatch.setattr(quality_model, "TRAIN_BYTES", 30_000)
+    assert 0 < sum(map(len, quality_model.training_sample(docs, labels)["text"])) <= 30_000
+
+
+def test_threshold_looks_at_both_labels():
+    scores, good = np.array([0.3, 0.31, 0.32, 0.35, 0.5, 0.6, 0.9]), np.array([1, 1, 1, 0, 1, 0, 0], bool)
+    t = quality_rules.calibrate(scores, good, 0.0)
+    assert t == pytest.approx(0.55)
+    assert quality_rules.calibrate(scores, good, 0.25) == pytest.approx(0.335)
+    assert quality_rules.calibrate(np.array([0.5, 0.4]), np.array([True, False])) == np.inf
+
+
+def test_verdicts_on_odd_and_ordinary_documents(spark):
+    """Ordinary prose stays, labelled or not; documents with a statistic far from all others go."""
+    r = random.Random(2)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ra", "tu") for b in ("na", "vel", "dor", "sim", "pet")]
+    prose = lambda: " ".join(r.choice(words) + r.choice(["", "", "", ",", "."]) for _ in range(150))
+    odd = lambda: " ".join(r.choice(words).upper() + r.choice(["##", "$%", "|", "<>"]) for _ in range(150))
+    rows = [(k, odd() if k % 20 == 0 else prose()) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 20 != 0)) for k in range(300)], "doc_id bigint, quality int")
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(docs, labels).collect()}
+    assert not any(kept[k] for k in range(0, 600, 20)) and sum(kept[k] for k in range(600) if k % 20) >= 565

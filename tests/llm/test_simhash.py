@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from coppice.llm import simhash
-from tests_llm_brute import components
+from brute import components
 
 
 def brute_fingerprint(text):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from coppice.llm import induced, suffix_dedup
-from tests_llm_brute import removed_bytes
+from brute import removed_bytes
 
 
 def brute_suffixes(data):
@@ -55,3 +55,21 @@ def test_empty_table(no_docs):
 def test_rest_is_given_back(odd_docs):
     for r in suffix_dedup.suffix_dedup(odd_docs, True).collect():
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
+
+
+def test_long_run_of_one_character(spark, monkeypatch):
+    """Every place of a run is an anchor; they are laid out in parts."""
+    monkeypatch.setattr(suffix_dedup, "ANCHORS_AT_ONCE", 1000)
+    docs = spark.createDataFrame([(1, "x" * 20_000), (2, "y" + "x" * 30_000 + "z"), (3, "ab" * 9000)], "doc_id bigint, text string")
+    check(suffix_dedup.suffix_dedup(docs).collect(), docs)
+
+
+def test_wide_positions(monkeypatch):
+    """What shards of 2^31 bytes and more use."""
+    monkeypatch.setattr(induced, "MOST_SHORT", 0)
+    monkeypatch.setattr(induced, "CHUNK", 11)
+    r = random.Random(4)
+    data = np.array([r.choice([97, 98]) for _ in range(300)], np.uint8)
+    got = list(induced.suffixes(data, in_memory=30))
+    assert all(x[0].dtype == np.int64 for x in got)
+    assert [bytes(data[i : i + induced.DEPTH]) for x in got for i in x[0].tolist()] == brute_suffixes(data)
