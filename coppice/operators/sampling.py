@@ -73,7 +73,7 @@ def goss_stats(sampled: DataFrame, gradient: str, n: int) -> DataFrame:
 
 
 def adaptive_rates(cv: float, top: float, other: float) -> tuple[float, float]:
-    """Rates by the coefficient of variation of the gradients' size."""
+    """Rates by the coefficient of variation of the gradients' size. Bounds and factors are fixed values of the known method."""
     if cv > 2:
         return min(0.5, 1.5 * top), max(0.05, 0.8 * other)
     if cv < 0.5:

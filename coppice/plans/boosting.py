@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def dropped(model: Ensemble, config: BoostingConfig, rng: random.Random) -> list
 
 
 def reweight(model: Ensemble, out: list[int], how: str, rate: float) -> None:
-    """Weights of the tree just added (the last) and of those dropped."""
+    """Weights of the tree just added (the last) and of those dropped. The factors are fixed values of the known variants."""
     k, t = len(out), len(model.trees)
     if not k or how == "none":
         return
@@ -158,7 +158,3 @@ def evaluate(model: Ensemble, rows: DataFrame, label: str, config: BoostingConfi
     """One row: n, loss (of the configured kind), mse and mae."""
     y, p = F.col(label), F.col("prediction")
     return predict(model, rows, config).agg(F.count(y - p).alias("n"), F.avg(registry.loss(config.loss).loss(y, p)).alias("loss"), F.avg((y - p) * (y - p)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"))
-
-
-def dart(config: BoostingConfig, **more) -> BoostingConfig:
-    return replace(config, dart=True, **more)

@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each on all that the one before kept."""
+"""A training corpus from raw documents: five stages, each on all that the one before kept.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and extra columns of any name;
+all but the last return the columns they were given. What each makes of odd rows is said with it.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,8 @@ from coppice.llm.simhash import without_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts are scored like others (as one chunk of
+    padding), repeated rows alike; without labels of both kinds all scores are the prior."""
     net = fit(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "score")
     return score_quality(docs, net, tuple(docs.columns), name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
@@ -29,19 +34,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that give it away, replaced in every text."""
+    """Personal data, and terms that give it away, replaced in every text. Null texts stay null, empty ones empty; every row
+    stays, repeated rows as rows of their own."""
     return sanitise(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens come by source, language and topic in the target shares; some come more than once."""
+    """Documents sampled so that tokens come by source, language and topic in the target shares; some come more than once. Null
+    sources and languages are levels of their own; rows with equal doc_id are drawn alike, rows without one each by itself;
+    texts without words take the weight of their cell."""
     drawn = mixed(docs).where("_sampled")
     return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
-    return encode_documents(docs, read_model(), ("doc_id", "lang", "source"))
+    """Piece ids of every text, beside doc_id, lang and source where the table has them. Null and empty texts have no pieces."""
+    return encode_documents(docs, read_model(), tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another, on the documents of sf_dir; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
