@@ -22,8 +22,9 @@ def long_rows(rows: DataFrame, features: list[str], keep: list[str]) -> DataFram
 
 
 def bounds(rows: DataFrame, features: list[str]) -> DataFrame:
-    """feature, n, lo, hi; one aggregate over all features."""
-    aggs = [F.struct(F.lit(k).cast("int").alias("feature"), F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")) for k, c in enumerate(features)]
+    """feature, n, lo, hi; one aggregate over all features. Null and NaN are no values."""
+    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
+    aggs = [F.struct(F.lit(k).cast("int").alias("feature"), F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")) for k, x in enumerate(known)]
     return rows.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
 
 

@@ -88,11 +88,19 @@ def gain(s: Search) -> Column:
     return (lb * lb / some(la) + (tb - lb) * (tb - lb) / some(ta - la)) / some(ta) - (tb / some(ta)) * (tb / some(ta))
 
 
-def candidates(rows: DataFrame, s: Search) -> DataFrame:
-    """node, feature, threshold and the sums on either side, for every threshold the finder looks at."""
+def siblings(parents: DataFrame, smaller: DataFrame, s: Search) -> DataFrame:
+    """Sums by bin of the larger children: those of their parents less those of the smaller ones. parents: sums() with _big and _small, the children of each node."""
+    c = smaller.select(F.col(s.node).alias("_small"), "feature", "value", *(F.col(x).alias(f"_s_{x}") for x in ("a", "b", "n")))
+    both = parents.join(c, ["_small", "feature", "value"], "left")
+    less = both.select(F.col("_big").alias(s.node), "feature", "value", *((F.col(x) - F.coalesce(F.col(f"_s_{x}"), F.lit(0))).alias(x) for x in ("a", "b", "n")), "upper")
+    return less.where(F.col("n") > 1e-9)
+
+
+def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> DataFrame:
+    """node, feature, threshold and the sums on either side, for every threshold the finder looks at. made: sums by bin, where they are known."""
     name, param = registry.finder(s.finder)
     if name in ("histogram_ew", "histogram_eq", "adaptive_ew"):
-        return cumulative(sums(rows, s, True), s).where("nxt is not null").withColumn("threshold", F.col("upper"))
+        return cumulative(sums(rows, s, True) if made is None else made, s).where("nxt is not null").withColumn("threshold", F.col("upper"))
     cum = cumulative(sums(rows, s, False), s)
     middle = (F.col("value") + F.col("nxt")) / 2
     apart = F.col("nxt") > F.col("value") + GAP
@@ -130,9 +138,9 @@ def uniform(*parts: Column | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def best_splits(rows: DataFrame, s: Search) -> DataFrame:
+def best_splits(rows: DataFrame, s: Search, made: DataFrame | None = None) -> DataFrame:
     """node, feature, threshold, gain, n_left, n_right (rows or weights): at most a row a node. Gains of zero or less are no split."""
-    found = candidates(rows, s)
+    found = candidates(rows, s, made)
     if s.criterion.partition(":")[0] not in ("", "mse") and registry.finder(s.finder)[0] in ("quartile", "adaptive_eq") and not s.newton:
         scored = by_criterion(rows, found.select(s.node, "feature", "threshold", "ln", "tn"), s)
     else:

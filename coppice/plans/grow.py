@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.criteria import node_metric
 from ..operators import prune as pruners
 from ..operators.binning import binned
-from ..operators.splits import Search, best_splits, with_edges
+from ..operators.splits import Search, best_splits, siblings, sums, with_edges
 from .model import NODES, Node, Tree
 
 #: Rows up to which a node's whole subtree is grown in one task, and levels between checkpoints.
@@ -94,7 +94,7 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
         tree[k] = Node(k, 0, n, metric, mean, mean)
     if not s.edges:
         s = replace(s, many_values=sum(n.samples for n in tree.values()) * len(s.features) > MANY_VALUES)
-    open_nodes, depth, next_id, held = list(range(roots)), 0, roots, now
+    open_nodes, depth, next_id, held, hist = list(range(roots)), 0, roots, now, None
     while open_nodes and depth < growth.max_depth:
         grow = [k for k in open_nodes if tree[k].samples >= max(2, 2 * growth.min_leaf)]
         if s.newton:
@@ -106,7 +106,10 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
             grow = [k for k in grow if k not in done]
         if not grow:
             break
-        splits = best_splits(of_nodes(now, s.node, grow), s).collect()  # a row an open node at most
+        if s.binned and hist is None:
+            hist = sums(of_nodes(now, s.node, grow), s, True).persist()
+        splits = best_splits(of_nodes(now, s.node, grow), s, None if hist is None else of_nodes(hist, s.node, grow)).collect()  # a row an open node at most
+        sizes = {r[s.node]: (r["n_left"], r["n_right"]) for r in splits}
         split = []
         for r in sorted(splits, key=lambda r: r[s.node]):
             k = r[s.node]
@@ -125,12 +128,29 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
         moved = moved.persist()
         for k, (n, mean, metric) in totals(moved, s).items():
             tree[k] = Node(k, depth, n, metric, mean, mean)
+        if hist is not None:
+            before, counted, hist = hist, *child_sums(hist, moved, s, tree, {k: sizes[k] for k in split})
+            hist = hist.persist()
+            hist.count()
+            before.unpersist()
+            counted.unpersist()
         held.unpersist()
         now = held = moved
-    held.unpersist()
+    for x in (held, hist):
+        if x is not None:
+            x.unpersist()
     return [below(tree, k) for k in range(roots)]
 
 
+def child_sums(hist: DataFrame, moved: DataFrame, s: Search, tree: Tree, sizes: dict[int, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
+    """(sums by bin of the smaller child of each split node, from the rows; those of all children, the larger by subtraction)."""
+    small = {k: tree[k].left if left <= right else tree[k].right for k, (left, right) in sizes.items()}
+    counted = sums(of_nodes(moved, s.node, list(small.values())), s, True).persist()
+    table = moved.sparkSession.createDataFrame([(k, c, tree[k].left + tree[k].right - c) for k, c in small.items()], f"`{s.node}` int, _small int, _big int")
+    parents = hist.join(F.broadcast(table) if len(small) <= BROADCAST_NODES else table, s.node)
+    return counted, counted.unionByName(siblings(parents, counted, s))
+
+
 def below(nodes: Tree, root: int) -> Tree:
     """The tree under a root, its nodes numbered anew in their order, the root 0."""
     ids, stack = [], [root]

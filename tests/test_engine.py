@@ -428,3 +428,13 @@ def test_histograms_of_parts(rows):
     cache.clear()
     edges = binning.adaptive_frequency_edges(rows, FEATURES)
     assert all(len(e) >= 4 and e == sorted(set(e)) for e in edges.values())
+
+
+@pytest.mark.parametrize("finder", ["histogram_ew:8", "histogram_eq:8"])
+def test_larger_children_by_subtraction(gaps, monkeypatch, finder):
+    s, growth = Search(features=FEATURES, finder=finder, weight="w"), grow.Growth(4, 3)
+    weighted = gaps.withColumn("w", (F.col("row_id") % 3).cast("double"))
+    a = grow.level_wise(weighted, s, growth)
+    monkeypatch.setattr(grow, "child_sums", lambda hist, moved, s, *_: (moved.limit(0), splits.sums(moved, s, True)))
+    b = grow.level_wise(weighted, s, growth)
+    assert same_tree(a, b) and len(a) > 7
