@@ -495,10 +495,10 @@ def gbrt_evaluate(spark, sf):
     return rounded(boosting.evaluate(made, rows, "label", config), loss=4, mse=4, mae=5)
 
 
-@query("gbrt_curve_of_stumps", f"WITH {two_stumps('0.1::DOUBLE', '0')}, a AS (SELECT avg(y) AS m FROM o2) SELECT 0 AS iter, round(avg(0.5 * (y - m) * (y - m)), 4) AS train_loss FROM o2, a UNION ALL SELECT 1, round(avg(0.5 * (y - p1) * (y - p1)), 4) FROM o2")
+@query("gbrt_curve_of_stumps", f"WITH {two_stumps('0.1::DOUBLE', '0')}, a AS (SELECT avg(y) AS m FROM o2) SELECT 0 AS iter, round(avg(0.5 * (y - m) * (y - m)), 3) AS train_loss FROM o2, a UNION ALL SELECT 1, round(avg(0.5 * (y - p1) * (y - p1)), 3) FROM o2")
 def gbrt_curve_of_stumps(spark, sf):
     made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
-    return rounded(_curve(spark, made).select("iter", "train_loss"), 4)
+    return rounded(_curve(spark, made).select("iter", "train_loss"), 3)
 
 
 @query("gbrt_ensemble_stats", "SELECT CAST(2 AS BIGINT) AS trees, CAST(2 AS BIGINT) AS depths, CAST(4 AS BIGINT) AS leaves, CAST(6 AS BIGINT) AS nodes, CAST(480 AS BIGINT) AS bytes FROM (SELECT count(*) AS c FROM part) WHERE c > 1")
