@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.common import fresh, table
+from coppice.llm.common import fresh, materialise, table
 from coppice.llm.mixing import mixed
 from coppice.llm.pieces import encode_documents, read_model
 from coppice.llm.pii import sanitise
@@ -65,11 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, on the documents of sf_dir; an empty table gives an empty one."""
+    """The stages, one after another, on the documents of sf_dir, each written to the shared folder and read by the next; an
+    empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
