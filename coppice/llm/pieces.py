@@ -27,10 +27,10 @@ from .common import slices, table
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries a cache may hold before it is emptied.
-CACHED_UNITS, CACHED_PAIRS = 800_000, 1_000_000
+CACHED_UNITS, CACHED_PAIRS = 250_000, 250_000
 #: Units this long are not cached.
 LONG_UNIT = 64
-ROWS = 2000
+ROWS = 500
 #: Key of a piece's id in the vocabulary's trie, and the mark of a character outside the vocabulary.
 END, NONE = "", -1
 

@@ -45,7 +45,7 @@ FIND, FINDERS, FIND_DISTANCE = 2, 2, 7
 #: It judges by the angle between fingerprints of WIDE words over shingles of JUDGE words, with so much room for the angle's error, and then by the shingles.
 JUDGE, WIDE, SIMILARITY, ROOM = 5, 8, 0.8, 0.04
 #: Pairs compared together, and pairs of a bucket up to which they are laid out flat.
-PAIRS, FLAT = 1 << 21, 1 << 20
+PAIRS, FLAT = 1 << 19, 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
