@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, suffix_dedup, topk
+from . import licenses, merkle, suffix_dedup, topk
 from .html_extract import op4_html
 from .licenses import op2_licenses
+from .merkle import op11_merkle
 from .mixing import op6_mixing
 from .pieces import op8_sentencepiece
 from .pii import op10_pii
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality_rules": op9_quality_rules,
         "op10_pii": op10_pii,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op2_licenses": licenses.oracle_sql(),
         "op5_topk": topk.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
     }
