@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, merkle, suffix_dedup, topk
+from . import lexical, licenses, merkle, suffix_dedup, topk
 from .html_extract import op4_html
+from .lexical import op12_lexical
 from .licenses import op2_licenses
 from .merkle import op11_merkle
 from .mixing import op6_mixing
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_pii": op10_pii,
         "op11_merkle": op11_merkle,
+        "op12_lexical": op12_lexical,
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_licenses": licenses.oracle_sql(),
         "op5_topk": topk.ORACLE_SQL,
         "op11_merkle": merkle.ORACLE_SQL,
+        "op12_lexical": lexical.ORACLE_SQL,
     }
