@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical, licenses, merkle, suffix_dedup, topk
+from . import lexical, licenses, merkle, rotation_codes, suffix_dedup, topk
 from .html_extract import op4_html
 from .lexical import op12_lexical
 from .licenses import op2_licenses
@@ -16,6 +16,7 @@ from .pieces import op8_sentencepiece
 from .pii import op10_pii
 from .quality_model import op7_quality
 from .quality_rules import op9_quality_rules
+from .rotation_codes import op13_near_vectors
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .topk import op5_topk
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": op10_pii,
         "op11_merkle": op11_merkle,
         "op12_lexical": op12_lexical,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": topk.ORACLE_SQL,
         "op11_merkle": merkle.ORACLE_SQL,
         "op12_lexical": lexical.ORACLE_SQL,
+        "op13_near_vectors": rotation_codes.ORACLE_SQL,
     }
