@@ -77,10 +77,10 @@ def levels_above(leaves: DataFrame, fanout: int) -> list[DataFrame]:
 
 
 def pushed(levels: list[DataFrame], inherited: DataFrame, fanout: int) -> DataFrame:
-    """levels[0] with proof, and what else inherited (tree, proof, ...) has: roots take it by tree, other nodes from their parents."""
+    """levels[0] with proof, and what else inherited (tree, proof, ...) has: roots take it by tree, other nodes from their parents. A job a level."""
     more = [c for c in inherited.columns if c not in ("tree", "proof")]
     above = None
-    for rows in reversed(levels):
+    for k, rows in reversed([*enumerate(levels)]):
         own = rows.columns
         out = rows.where("n = 1").join(inherited, "tree").select(*own, "proof", *more)
         if above is not None:
@@ -89,7 +89,9 @@ def pushed(levels: list[DataFrame], inherited: DataFrame, fanout: int) -> DataFr
             at = (F.col("pos") % fanout).cast("int")
             siblings = F.struct(F.slice("_kids", F.lit(1), at).alias("before"), F.slice("_kids", at + 2, F.lit(fanout)).alias("after"))
             out = out.unionByName(inner.select(*own, F.concat(F.array(siblings), "_suffix").alias("proof"), *more))
-        above = out
+        below, above = above, materialise(out) if k else out
+        if below is not None and k:
+            discard(below)
     return above
 
 
