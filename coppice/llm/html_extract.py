@@ -3,7 +3,9 @@
 Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best container and
 its siblings of like score are kept. Names of classes and ids weigh: they take away a node only where all of a name says
 frame (social-links, not social-studies), and not where its own paragraphs score as the article's do and no frame is
-named more strongly. One pass in Python over each page, linear in its length, no shuffle.
+named more strongly. A form that holds most of the page's text is the page, other forms go; "related" parts inside an article
+stay where they are plain paragraphs. Formulas (MathML) are text, their annotations are not. Of several articles side by side
+the best one is the page's. One pass in Python over each page, linear in its length, no shuffle.
 
 Null or empty html gives an empty text; a page without article text gives an empty text; broken markup is read as a
 browser would read it (unclosed tags end with their parent, an unclosed comment or script runs to the end). Extra
@@ -22,13 +24,13 @@ from .common import slices, table
 
 # Fixed values of HTML: elements without end tags, with raw text, and those that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea iframe svg math object audio video canvas xmp noembed noframes title select".split()
+RAW = "script style noscript template textarea iframe svg annotation annotation-xml object audio video canvas xmp noembed noframes title select".split()
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option legend".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option legend html body".split())
 #: A start tag of the key ends an open element of the value, unless one of STOPS is between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl menu table div section article".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head fieldset input label".split())
+DROPPED = frozenset("nav footer aside button dialog menu head fieldset input label".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Words of class names and ids that mean a page's frame, those that mean no part of an article even inside one, words that
 #: say nothing beside them, and those that mean an article.
@@ -36,8 +38,13 @@ FRAME = frozenset("banner breadcrumb breadcrumbs cookie cookies consent gdpr foo
 NEVER = frozenset("ad ads advert adverts advertisement advertisements advertorial adsense adbox adslot comment comments commentlist respond disqus reply replies related recommended promo promos promoted promotion sponsor sponsors sponsored teaser teasers".split())
 NEUTRAL = frozenset("a all and area bar big block body bottom box btn button buttons by center column container content cta empty fixed form foot global group head header heading holder icons image inline inner item items label large left line link links list main message mobile module note of off on outer page panel post posts primary reader readers right row secondary section set site size small stack sticky sub text the title to top up user wrap wrapper your".split())
 WORDS = re.compile(r"[a-z]+", re.I)
-#: Why a node is left out: by its name only, which an article inside it can outweigh, or for good.
-BY_NAME, FOR_GOOD = 1, 2
+#: Names that a part of an article may have too: inside one, links or brevity must agree.
+DOUBTFUL = frozenset("related recommended".split())
+#: Why a node is left out: by its name only, which an article inside it can outweigh; as a form, which most of the page's text
+#: inside it can; by a doubtful name, which plain paragraphs can; or for good.
+BY_NAME, FOR_GOOD, AS_FORM, IN_DOUBT = 1, 2, 3, 4
+#: Share of links and characters of a part of an article that has a doubtful name.
+DOUBT_LINKS, DOUBT_CHARS = 0.2, 120
 GOOD = frozenset("article body content entry main page post text story blog hentry".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 CONTAINERS = frozenset("html article main body div section td blockquote center".split())
@@ -78,7 +85,7 @@ def named(names: str, kind: frozenset[str]) -> bool:
 def _weigh(node: Node, attrs: str) -> None:
     """Sets what tag, class, id and role say of a node."""
     tag = node.tag
-    node.dropped = FOR_GOOD if tag in DROPPED or tag == "header" and not node.inside else 0
+    node.dropped = FOR_GOOD if tag in DROPPED or tag == "header" and not node.inside else AS_FORM if tag == "form" else 0
     if tag in ("article", "main"):
         node.weight = 25.0
     if attrs:
@@ -88,7 +95,8 @@ def _weigh(node: Node, attrs: str) -> None:
             node.dropped = FOR_GOOD
         if tag not in ("html", "body", "main", "a"):
             if named(names, NEVER):
-                node.dropped = node.dropped or FOR_GOOD
+                doubtful = node.inside and tag in ("section", "div") and not named(names, NEVER - DOUBTFUL)
+                node.dropped = FOR_GOOD if node.dropped == AS_FORM or not doubtful else node.dropped or IN_DOUBT
             elif tag != "article" and named(names, FRAME):
                 node.dropped = node.dropped or BY_NAME
             node.weight += 25.0 if any(w.lower() in GOOD for w in WORDS.findall(names)) else 0.0
@@ -155,11 +163,34 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def outweigh(root: Node, nodes: list[Node]) -> None:
+    """Takes back what forms and doubtful names say where the text inside says otherwise: a form around most of the page's
+    text is the page, a part of an article with plain paragraphs is text."""
+    if not any(n.dropped in (AS_FORM, IN_DOUBT) for n in nodes):
+        return
+    chars, linked, plain = ([0] * len(nodes) for _ in range(3))
+    for n in reversed(nodes):
+        chars[n.order] += sum(len(x.strip()) for x in n.children if isinstance(x, str))
+        if n.tag == "a":
+            linked[n.order] = chars[n.order]
+        plain[n.order] += n.tag == "p"
+        if n.parent is not None and n.dropped not in (BY_NAME, FOR_GOOD):
+            for held in (chars, linked, plain):
+                held[n.parent.order] += held[n.order]
+    for n in nodes:
+        k = n.order
+        if n.dropped == AS_FORM and plain[k] and 2 * chars[k] > chars[root.order]:
+            n.dropped = 0
+        elif n.dropped == IN_DOUBT:
+            n.dropped = 0 if plain[k] and chars[k] >= DOUBT_CHARS and linked[k] <= DOUBT_LINKS * chars[k] else FOR_GOOD
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     root, nodes = parse(page)
+    outweigh(root, nodes)
     cleared: set[int] = set()
     for n in nodes:
         if n.tag in ("article", "main") and not n.dropped:

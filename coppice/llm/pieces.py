@@ -27,7 +27,7 @@ from .common import slices, table
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries a cache may hold before it is emptied.
-CACHED_UNITS, CACHED_PAIRS = 250_000, 250_000
+CACHED_UNITS, CACHED_PAIRS = 100_000, 60_000
 #: Units this long are not cached.
 LONG_UNIT = 64
 ROWS = 500

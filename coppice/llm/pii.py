@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 # Kinds in order, and their patterns. Possessive forms and the look-behind (or the end of the match
 # before, \G) change no match of the plain patterns; they only keep a long run of characters from being tried again
@@ -155,7 +155,7 @@ def most_documents(of_entity: Column, both: Column, n_docs: int) -> Column:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
-    """(_row, term): terms of each document whose mutual information with one of its entities is at least DISCLOSURE of the entity's information."""
+    """(_row, term), stored: terms of each document whose mutual information with one of its entities is at least DISCLOSURE of the entity's information."""
     entities = found.select("_row", F.explode(F.array_distinct(F.transform("_base", entity_of))).alias("entity"))
     # Entities of the same documents have the same counts with any term and are one class, so that a long list of
     # entities costs no pairs of its own.
@@ -178,7 +178,9 @@ def disclosing(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
     pairs = materialise(held.join(classes, "_row").where(limit).select("_row", "class", "term", "df"))
     rated = pairs.groupBy("class", "term", "df").agg(F.count(F.lit(1)).alias("both"))
     kept = materialise(rated.where(F.col("df") <= most_documents(F.col("class.of_entity"), F.col("both"), n_docs)).select("class", "term"))
-    return pairs.join(small(kept), ["class", "term"]).select("_row", "term").distinct()
+    out = materialise(pairs.join(small(kept), ["class", "term"]).select("_row", "term").distinct())
+    discard(known, terms, held, pairs, kept)
+    return out
 
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -188,7 +190,7 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     some = F.size("_base") > 0
     found = materialise(kept.select(*keep, "_base", F.when(some, F.col("_body")).alias("_body"), F.when(some, words_of(F.col("_body"))).alias("_words"), F.monotonically_increasing_id().alias("_row")))
     holding = found.where(some)
-    terms = materialise(disclosing(docs, holding.select("_row", "_base", "_words"), found.count()))
+    terms = disclosing(docs, holding.select("_row", "_base", "_words"), found.count())
     texts = holding.join(terms.select("_row").distinct(), "_row")
     split = texts.select("_row", F.regexp_extract_all("_body", F.lit(TERM), F.lit(0)).alias("_m"), F.split("_body", TERM, -1).alias("_g"))
     steps = split.select("_row", F.posexplode(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), m.alias("value")))).alias("at", "word"))

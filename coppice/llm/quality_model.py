@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_held_out, first_rows_by_hash, materialise, slices, sorted_labels, table, texts
+from .common import crc_held_out, discard, first_rows_by_hash, materialise, slices, sorted_labels, table, texts
 
 EMBED, WIDTH, FILTERS = 6, 8, 16
 #: Bytes a chunk advances; WIDTH - 1 more are read, so that each window of bytes lies in a chunk.
@@ -144,15 +144,26 @@ def train(docs: list[np.ndarray], truth: np.ndarray, epochs: int = EPOCHS, seed:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """(quality, text): whole texts of TRAIN_DOCS labelled rows at most that are not held out, as many as have TRAIN_BYTES together."""
+    """(quality, text): whole texts of TRAIN_DOCS labelled rows at most that are not held out, those that have room in TRAIN_BYTES, one after another."""
     marked = first_rows_by_hash(sorted_labels(labels, "quality").where(~crc_held_out()), "doc_id", TRAIN_DOCS)
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")  # TRAIN_DOCS rows of two integers at most
-    one = materialise(joined.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")))
+    one = stored = materialise(joined.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")))
     order = first_rows_by_hash(one.select("doc_id", F.octet_length("text").alias("size")), "doc_id", TRAIN_DOCS).toPandas()
-    chosen = order[order["size"].cumsum() <= TRAIN_BYTES]
+    chosen = order[fitting(order["size"].to_numpy(), TRAIN_BYTES)]
     if len(chosen) < len(order):
         one = one.where(F.col("doc_id").isin(chosen["doc_id"].tolist()))
-    return one.toPandas().sort_values("doc_id", kind="stable")
+    sample = one.toPandas().sort_values("doc_id", kind="stable")
+    discard(stored)
+    return sample
+
+
+def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which sizes, taken in order, have room in most together: one that has none is passed over, and the next ones are tried."""
+    taken, room = np.zeros(len(sizes), bool), most
+    for k, size in enumerate(sizes.tolist()):
+        if size <= room:
+            taken[k], room = True, room - size
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ByteConvNet:

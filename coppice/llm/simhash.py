@@ -558,7 +558,9 @@ def near_copies(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARIT
     members = materialise(reduce(DataFrame.unionByName, found).distinct())
     wide = nodes.select("node", *(f"w{k}" for k in range(WIDE)))
     likely = judged(members.join(wide, "node"), most_bits(similarity - ROOM))
-    return components(confirmed(likely, nodes, rows, similarity))
+    found = components(confirmed(likely, nodes, rows, similarity))
+    discard(members)
+    return found
 
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

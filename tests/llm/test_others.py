@@ -37,6 +37,29 @@ def test_names():
     assert html_extract.extract('<body><div class="content"><p>Some, text.</p><p>More, text.</p></div><div class="promo">Buy, this, now</div></body>') == "Some, text. More, text."
 
 
+BODY = "<h1>Head</h1>" + "".join(f"<p>This, is paragraph {k} of the text, with commas, and words that go on.</p>" for k in range(4))
+BODY_TEXT = "Head " + " ".join(f"This, is paragraph {k} of the text, with commas, and words that go on." for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><form id="aspnetForm"><nav>Menu, of, things</nav><div class="content">{}</div><label>Find it</label><input></form></body>',
+        '<body><form action="/"><article>{}</article><button>Send</button></form><form><p>Search, now</p></form></body>',
+        '<body><article>{}<form><p>Sign up, now</p></form><div class="related"><a href="x">Other thing to read, and one more</a></div></article></body>',
+        '<body><article>{}</article><article class="comment"><p>I, too, think, so, very, much</p></article></body>',
+    ],
+)
+def test_forms_around_and_inside_the_text(page):
+    assert html_extract.extract(page.format(BODY)) == BODY_TEXT
+
+
+def test_formulas_and_related_work_are_text():
+    more = "Much was done before, by others, in many places, and it helps. " * 3
+    page = f'<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="tex">x=2</annotation></math> holds.</p><section class="related"><h2>Related work</h2><p>{more}</p></section></article>'
+    assert html_extract.extract(page) == f"{BODY_TEXT} So x=2 holds. Related work {more.strip()}"
+
+
 def page_of(r, words):
     """(page, text) of an article among frames of many forms."""
     sentence = lambda n: " ".join(r.choices(words, k=n)).capitalize() + ", " + " ".join(r.choices(words, k=n)) + "."

@@ -145,3 +145,8 @@ def test_verdicts_on_odd_and_ordinary_documents(spark):
     labels = spark.createDataFrame([(k, int(k % 20 != 0)) for k in range(300)], "doc_id bigint, quality int")
     kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(docs, labels).collect()}
     assert not any(kept[k] for k in range(0, 600, 20)) and sum(kept[k] for k in range(600) if k % 20) >= 565
+
+
+def test_a_long_text_does_not_end_the_training_sample():
+    assert quality_model.fitting(np.array([50, 200, 30, 0, 21, 20]), 100).tolist() == [True, False, True, True, False, True]
+    assert not quality_model.fitting(np.array([101]), 100).any()
