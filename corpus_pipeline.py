@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.common import fresh, materialise, table
+from coppice.llm.common import discard, fresh, materialise, table
 from coppice.llm.mixing import mixed
 from coppice.llm.pieces import encode_documents, read_model
 from coppice.llm.pii import sanitise
@@ -69,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
