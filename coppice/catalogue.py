@@ -6,6 +6,9 @@ are invariants and training curves, tested against an in-memory tree.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,8 +19,7 @@ from .functions import criteria, exprs
 from .matrices import EVENTS, LINES, ORDERS, PARTS, Matrix
 from .operators import binning, bundling, prep, sampling, splits
 from .operators.splits import Search
-from .plans import bagging, boosting, grow, leafwise, model, newton, registry
-from .plans.ranking import numbered
+from .plans import bagging, boosting, grow, leafwise, model, newton, registry, store
 from .sources import matrix_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,16 @@ def rounded(df: DataFrame, digits: int = 6, **by: int) -> DataFrame:
     return df.select(*(F.round(c, by.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where Spark runs in one process and none is named."""
+    at = store.folder(spark) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        at = os.path.join(tempfile.gettempdir(), "coppice")
+    if not at:
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a shared folder")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def centred(rows: DataFrame) -> DataFrame:
     """Labels less their mean over all rows."""
     mean = rows.agg(F.avg("label").alias("_m"))
@@ -95,8 +107,11 @@ def validation_tail(spark, sf):
 
 @query("batch_scan", f"WITH b AS ({E.oracle}), r AS (SELECT row_id, label, row_number() OVER (ORDER BY row_id) AS rn FROM b) SELECT row_id, label FROM r WHERE rn > 1000 AND rn <= 3000")
 def batch_scan(spark, sf):
-    ranked = numbered(E.read(spark, sf).select("row_id", "label"), [F.col("row_id")])
-    return ranked.where("rn > 1000 and rn <= 3000").select("row_id", "label")
+    """From a CSV file of the rows, in order."""
+    at = scratch(spark)
+    E.read(spark, sf).select(F.col("row_id").alias("id"), "label").orderBy("id").write.csv(f"{at}/rows.csv", header=True)
+    found = matrix_csv.BatchReader(spark, f"{at}/rows.csv", f"{at}/batches").batch(2000, 1000)
+    return found.select(F.col("id").cast("bigint").alias("row_id"), "label")
 
 
 # --- criteria ------------------------------------------------------------------------------------------------------
@@ -317,7 +332,7 @@ _STUMP = f"WITH best AS ({_BEST}), b AS ({P.oracle}), s AS (SELECT b.*, CASE WHE
 
 def _stump(spark: SparkSession, sf: str, **more) -> tuple[DataFrame, model.Tree]:
     rows = P.read(spark, sf)
-    return rows, grow.train_tree(rows, list(P.features), max_depth=more.pop("depth", 1), min_leaf=1, **more)
+    return rows, grow.train_tree(rows, list(P.features), max_depth=more.pop("depth", 1), min_leaf=1, local=False, **more)
 
 
 def _scored(rows: DataFrame, tree: model.Tree, features) -> DataFrame:
@@ -441,7 +456,7 @@ root AS (SELECT (SELECT sum((label - r.m) * (label - r.m)) FROM v1) <= (SELECT s
 SELECT c AS samples, round(m, 6) AS prediction FROM r WHERE (SELECT falls FROM root) UNION ALL SELECT c, round(m, 6) FROM left_ WHERE NOT (SELECT falls FROM root)""")
 def prune_reduced_error_depth2(spark, sf):
     train, validation, _ = prep.train_validation_test(E.read(spark, sf), "row_id", 0.2)
-    return _leaves_of(spark, grow.train_tree(train, list(E.features), max_depth=2, min_leaf=1, pruner="reduced_error", validation=validation))
+    return _leaves_of(spark, grow.train_tree(train, list(E.features), max_depth=2, min_leaf=1, pruner="reduced_error", validation=validation, local=False))
 
 
 @query("prune_reduced_error")
@@ -461,14 +476,14 @@ def gbrt_base_score(spark, sf):
 @query("gbrt_one_round", f"{_STUMP}, a AS (SELECT avg(label) AS m FROM b) SELECT row_id, round(m + 0.1::DOUBLE * (prediction - m), 6) AS prediction FROM p, a")
 def gbrt_one_round(spark, sf):
     rows = P.read(spark, sf)
-    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=1, rate=0.1, max_depth=1))
+    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=1, rate=0.1, max_depth=1, local=False))
     return rounded(made.score(rows).select("row_id", "prediction"))
 
 
 @query("newton_one_round", f"{_STUMP}, a AS (SELECT avg(label) AS m FROM b), g AS (SELECT leaf, sum(label - m) / (count(*) + 1) AS wt FROM s, a GROUP BY leaf) SELECT row_id, round(m + 0.3::DOUBLE * wt, 6) AS prediction FROM s JOIN g USING (leaf), a")
 def newton_one_round(spark, sf):
     rows = P.read(spark, sf)
-    made = newton.train(rows, list(P.features), "label", "row_id", newton.NewtonConfig(rounds=1, max_depth=1))
+    made = newton.train(rows, list(P.features), "label", "row_id", newton.NewtonConfig(rounds=1, max_depth=1, local=False))
     return rounded(made.score(rows).select("row_id", "prediction"))
 
 
@@ -484,33 +499,33 @@ def two_stumps(rate: str, lam: str) -> str:
 @query("gbrt_two_rounds", f"WITH {two_stumps('0.1::DOUBLE', '0')} SELECT row_id, round(p2, 6) AS prediction FROM o2")
 def gbrt_two_rounds(spark, sf):
     rows = P.read(spark, sf)
-    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1, local=False))
     return rounded(made.score(rows).select("row_id", "prediction"))
 
 
 @query("gbrt_evaluate", f"WITH {two_stumps('0.1::DOUBLE', '0')} SELECT count(*) AS n, round(avg(0.5 * (y - p2) * (y - p2)), 4) AS loss, round(avg((y - p2) * (y - p2)), 4) AS mse, round(avg(abs(y - p2)), 5) AS mae FROM o2")
 def gbrt_evaluate(spark, sf):
-    rows, config = P.read(spark, sf), boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1)
+    rows, config = P.read(spark, sf), boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1, local=False)
     made = boosting.train(rows, list(P.features), "label", "row_id", config)
     return rounded(boosting.evaluate(made, rows, "label", config), loss=4, mse=4, mae=5)
 
 
 @query("gbrt_curve_of_stumps", f"WITH {two_stumps('0.1::DOUBLE', '0')}, a AS (SELECT avg(y) AS m FROM o2) SELECT 0 AS iter, round(avg(0.5 * (y - m) * (y - m)), 3) AS train_loss FROM o2, a UNION ALL SELECT 1, round(avg(0.5 * (y - p1) * (y - p1)), 3) FROM o2")
 def gbrt_curve_of_stumps(spark, sf):
-    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1, local=False))
     return rounded(_curve(spark, made).select("iter", "train_loss"), 3)
 
 
 @query("gbrt_ensemble_stats", "SELECT CAST(2 AS BIGINT) AS trees, CAST(2 AS BIGINT) AS depths, CAST(4 AS BIGINT) AS leaves, CAST(6 AS BIGINT) AS nodes, CAST(480 AS BIGINT) AS bytes FROM (SELECT count(*) AS c FROM part) WHERE c > 1")
 def gbrt_ensemble_stats(spark, sf):
-    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1))
+    made = boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1, local=False))
     return model.ensemble_stats(made.nodes(spark))
 
 
 @query("newton_two_rounds", f"WITH {two_stumps('0.3::DOUBLE', '1')} SELECT row_id, round(p2, 5) AS prediction FROM o2")
 def newton_two_rounds(spark, sf):
     rows = P.read(spark, sf)
-    made = newton.train(rows, list(P.features), "label", "row_id", newton.NewtonConfig(rounds=2, max_depth=1, lam=1.0))
+    made = newton.train(rows, list(P.features), "label", "row_id", newton.NewtonConfig(rounds=2, max_depth=1, lam=1.0, local=False))
     return rounded(made.score(rows).select("row_id", "prediction"), 5)
 
 
@@ -543,6 +558,25 @@ def gbrt_line_search_curve(spark, sf):
     return _curve(spark, boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(loss="huber:50", rounds=2, max_depth=2, line_search=True)))
 
 
+@query("dart_two_stumps", f"{_STUMP}, a AS (SELECT avg(label) AS m FROM b) SELECT row_id, round(m + (0.1::DOUBLE + 0.1::DOUBLE * 0.1::DOUBLE * 1.05::DOUBLE) * (prediction - m), 6) AS prediction FROM p, a")
+def dart_two_stumps(spark, sf):
+    """The second round leaves out the first tree, so it fits the same residuals; its weight follows the mild variant."""
+    rows = P.read(spark, sf)
+    made = boosting.train(rows, list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=2, rate=0.1, max_depth=1, dart=True, drop_rate=0.5, normalise="mild", local=False))
+    return rounded(made.score(rows).select("row_id", "prediction"))
+
+
+_LEAF_BINS = "histogram_ew:16"
+_ONE_SPLIT = f"SELECT b.* EXCLUDE (node_id), {side(P, 'best', '1', '2')} AS node_id FROM ({P.oracle}) b, ({split_sql(P, _LEAF_BINS, True)}) best"
+
+
+@query("leafwise_three_leaves", f"WITH n1 AS ({_ONE_SPLIT}), chosen AS (SELECT * FROM ({split_sql(Given(_ONE_SPLIT, P.features), _LEAF_BINS, False)}) ORDER BY gain DESC, node_id LIMIT 1), n2 AS (SELECT n1.*, CASE WHEN n1.node_id = chosen.node_id THEN 2 + {side(P, 'chosen', '1', '2')} ELSE n1.node_id END AS leaf FROM n1, chosen), a AS (SELECT avg(label) AS m FROM n1), w AS (SELECT leaf, avg(label) AS v FROM n2 GROUP BY leaf) SELECT row_id, round(m + 0.1::DOUBLE * (v - m), 6) AS prediction FROM n2 JOIN w USING (leaf), a")
+def leafwise_three_leaves(spark, sf):
+    rows = P.read(spark, sf)
+    config = leafwise.LeafwiseConfig(rounds=1, leaves=3, min_data=1, use_goss=False, finder=_LEAF_BINS, local=False)
+    return rounded(leafwise.train(rows, list(P.features), "label", "row_id", config).score(rows).select("row_id", "prediction"))
+
+
 @query("dart_train")
 def dart_train(spark, sf):
     return _curve(spark, boosting.train(P.read(spark, sf), list(P.features), "label", "row_id", boosting.BoostingConfig(rounds=4, max_depth=2, dart=True, drop_rate=0.3, normalise="mild")))
@@ -603,9 +637,13 @@ def subsample_rows(spark, sf):
     return sampling.subsample(E.read(spark, sf), "row_id", 0.3).select("row_id")
 
 
-@query("colsample", f"SELECT CAST(k AS INTEGER) AS feature FROM (SELECT k, row_number() OVER (ORDER BY {uniform_sql('42', 'k')}) AS rn FROM (SELECT unnest(range(3)) AS k)) WHERE rn <= 2")
+@query("colsample", f"WITH k AS (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY {uniform_sql('42', 'k')}) AS rn FROM (SELECT unnest(range(3)) AS k)) WHERE rn <= 2) SELECT CAST(k AS INTEGER) AS feature, count(*) AS n, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM (SELECT k, CASE k WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS v FROM k, ({E.oracle})) GROUP BY k")
 def colsample(spark, sf):
-    return spark.createDataFrame([(k,) for k in sampling.columns_of(list(E.features), 0.67, 42)], "feature int")
+    """Rows and range of the features that are drawn."""
+    drawn = sampling.columns_of(list(E.features), 0.67, 42)
+    found = binning.bounds(E.read(spark, sf), [E.features[k] for k in drawn])
+    names = F.array(*map(F.lit, drawn))
+    return rounded(found.select(names[F.col("feature")].cast("int").alias("feature"), "n", "lo", "hi"))
 
 
 # --- bundling ------------------------------------------------------------------------------------------------------
@@ -629,7 +667,14 @@ def efb_conflict_matrix(spark, sf):
     return rounded(bundling.conflicts(*_sparse(spark, sf)))
 
 
-@query("efb_bundles")
+_SPARSE = "WITH RECURSIVE s AS (SELECT " + _HOT + " FROM events), sp AS (" + " UNION ALL ".join(f"SELECT {k} AS f, avg(CAST(x{k} = 0 AS INTEGER)) AS z FROM s" for k in range(7)) + "), cf AS (" + " UNION ALL ".join(f"SELECT {10 * a + b} AS k, count(*) FILTER (WHERE x{a} <> 0 AND x{b} <> 0) / greatest(count(*) FILTER (WHERE x{a} <> 0 OR x{b} <> 0), 1) AS v FROM s" for a in range(7) for b in range(a + 1, 7)) + ")"
+_PLACE = "list_position(list_transform(gs, lambda x: list_aggregate(list_transform(x, lambda e: m[10 * least(e, f) + greatest(e, f)] <= 0.1::DOUBLE), 'bool_and')), true)"
+
+
+@query("efb_bundles", f"""{_SPARSE}, ms AS (SELECT map_from_entries(list((k, v))) AS m FROM cf), o AS (SELECT f, z, row_number() OVER (ORDER BY z DESC, f) AS rn FROM sp),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[][]) AS gs UNION ALL SELECT i + 1, CASE WHEN z > 0.8 AND coalesce({_PLACE}, 0) > 0 THEN list_transform(gs, lambda x, i: CASE WHEN i = {_PLACE} THEN list_append(x, f) ELSE x END) ELSE list_append(gs, [f]) END FROM g, ms, o WHERE o.rn = i + 1),
+u AS (SELECT CAST(unnest(range(len(gs))) AS INTEGER) AS bundle, unnest(gs) AS features FROM g WHERE i = 7)
+SELECT bundle, features, CAST(list_transform(range(len(features)), lambda k: k * 255) AS INTEGER[]) AS offsets, CAST(len(features) * 255 AS INTEGER) AS total_bins FROM u""")
 def efb_bundles(spark, sf):
     found = bundling.bundles(*_sparse(spark, sf), max_conflict=0.1)
     return spark.createDataFrame([(k, list(b.features), list(b.offsets), b.total_bins) for k, b in enumerate(found)], "bundle int, features array<int>, offsets array<int>, total_bins int")
@@ -671,9 +716,12 @@ def hist_report(spark, sf):
 _BAG = bagging.BaggingConfig(trees=5, max_depth=5)
 
 
-@query("bag_assignment", "SELECT CAST(w AS INTEGER) AS worker, CAST(3 + CASE WHEN w < 1 THEN 1 ELSE 0 END AS INTEGER) AS trees, CAST(w * 3 + least(w, 1) AS INTEGER) AS first FROM (SELECT unnest(range(3)) AS w)")
+@query("bag_assignment", f"WITH d AS (SELECT CAST(id // n AS INTEGER) AS tree_id, CAST(floor({uniform_sql('42', 'id')} * n) + 1 AS BIGINT) AS rn FROM (SELECT count(*) AS n FROM ({O.oracle})), LATERAL (SELECT unnest(range(4 * n)) AS id)) SELECT CAST(CASE WHEN tree_id < 2 THEN 0 ELSE tree_id - 1 END AS INTEGER) AS worker, count(DISTINCT tree_id) AS trees, min(tree_id) AS first, count(*) AS draws, count(DISTINCT (tree_id, rn)) AS rows FROM d GROUP BY 1")
 def bag_assignment(spark, sf):
-    return spark.createDataFrame([(k, c, f) for k, (c, f) in enumerate(bagging.assignment(10, 3))], "worker int, trees int, first int")
+    """Four trees dealt to three workers: which, how many draws they grow on, and how many different rows."""
+    owner = spark.createDataFrame([(t, w) for w, (count, first) in enumerate(bagging.assignment(4, 3)) for t in range(first, first + count)], "tree_id int, worker int")
+    drawn = sampling.bootstrap(O.read(spark, sf), "row_id", 4).groupBy("tree_id").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("r"))
+    return drawn.join(F.broadcast(owner), "tree_id").groupBy("worker").agg(F.count(F.lit(1)).alias("trees"), F.min("tree_id").alias("first"), F.sum("d").alias("draws"), F.sum("r").alias("rows"))
 
 
 @query("bag_predict")
@@ -696,7 +744,7 @@ def bag_importance(spark, sf):
 
 
 # Three bags of stumps: every draw is a row, and the bag its node.
-_STUMPS = bagging.BaggingConfig(trees=3, max_depth=1)
+_STUMPS = bagging.BaggingConfig(trees=3, max_depth=1, local=False)
 _DRAWS = f"SELECT CAST(id // n AS INTEGER) AS tree_id, CAST(floor({uniform_sql('42', 'id')} * n) + 1 AS BIGINT) AS rn FROM (SELECT count(*) AS n FROM ({O.oracle})), LATERAL (SELECT unnest(range(3 * n)) AS id)"
 _RANKED = f"SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM ({O.oracle})"
 _BAGS = Given(f"SELECT b.row_id, b.f0, b.f1, b.f2, d.tree_id AS node_id, b.label FROM ({_DRAWS}) d JOIN ({_RANKED}) b USING (rn)", O.features)

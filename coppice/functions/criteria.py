@@ -24,14 +24,18 @@ def _about_centre(r: Column, mean: Column, y: Column, name: str) -> Column:
     raise ValueError(name)
 
 
-def quantile_by_rank(rows: DataFrame, keys: list[str], label: str, tau: float) -> DataFrame:
-    """keys and centre, the lower quantile, from counts of distinct labels: no group is gathered in one place."""
+def quantile_by_rank(rows: DataFrame, keys: list[str], label: str, tau: float, middle: bool = False) -> DataFrame:
+    """keys and centre, the lower quantile (middle: the mean of lower and upper one), from counts of distinct labels: no group is gathered in one place."""
     from ..plans.ranking import running
 
     counts = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running(counts, keys, label, ["_c"])
-    rank = F.floor(tau * (F.col("t__c") - 1))
-    return ranked.where((F.col("c__c") > rank) & (F.col("c__c") - F.col("_c") <= rank)).select(*keys, F.col(label).alias("centre"))
+    last = F.col("t__c") - 1
+    at = lambda rank: (F.col("c__c") > rank) & (F.col("c__c") - F.col("_c") <= rank)
+    if not middle:
+        return ranked.where(at(F.floor(tau * last))).select(*keys, F.col(label).alias("centre"))
+    ends = ranked.where(at(F.floor(tau * last)) | at(F.ceil(tau * last)))
+    return ends.groupBy(*keys).agg(((F.min(label) + F.max(label)) / 2).alias("centre"))
 
 
 def node_metric(rows: DataFrame, keys: list[str], label: str, criterion: str = "mse") -> DataFrame:
@@ -40,7 +44,9 @@ def node_metric(rows: DataFrame, keys: list[str], label: str, criterion: str = "
     y = F.col(label)
     if name not in ("mae", "huber", "quantile", "logcosh", "poisson"):
         return rows.groupBy(*keys).agg(F.count(y).alias("samples"), F.avg(y).alias("node_mean"), F.coalesce(F.var_pop(y), F.lit(0.0)).alias("metric"))
-    means = rows.groupBy(*keys).agg(F.avg(y).alias("node_mean"), *([F.median(y).alias("centre")] if name == "mae" else []))
+    means = rows.groupBy(*keys).agg(F.avg(y).alias("node_mean"))
+    if name == "mae":
+        means = means.join(quantile_by_rank(rows.where(y.isNotNull()), keys, label, 0.5, True), keys)
     if name == "quantile":
         tau = float(param or 0.5)
         centres = means.join(quantile_by_rank(rows.where(y.isNotNull()), keys, label, tau), keys)

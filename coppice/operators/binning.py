@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import running
 
 LEAST_BINS, MOST_BINS = 8, 128
+#: Edges that are no equal widths and still written as conditions.
+NESTED = 64
 
 
 def long_rows(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -83,8 +87,34 @@ def equal_frequency(rows: DataFrame, features: list[str], bins: int) -> dict[int
     return {k: sorted(set(v)) for k, v in out.items()}
 
 
+def literal(numbers: list[float]) -> str:
+    """SQL of an array of doubles: one literal, however many they are."""
+    each = ", ".join(f"{float(x)!r}D" if math.isfinite(x) else f"double('{x}')" for x in numbers)
+    return f"array({each})" if numbers else "cast(array() as array<double>)"
+
+
 def bin_of(value: Column, edges: list[float]) -> Column:
-    """Number of the bin whose upper edge is the first at or above the value: a binary search in nested conditions."""
+    """Number of the bin whose upper edge is the first at or above the value; the last one without a value or beyond all.
+
+    Equal widths are arithmetic, put right by a look at the edges; few others a binary search in nested conditions, which
+    would be too much code for many: these are searched in batches.
+    """
+    n = len(edges)
+    if n < 2:
+        return F.lit(0)
+    width = (edges[-1] - edges[0]) / (n - 1)
+    if n > 8 and width > 0 and math.isfinite(width) and all(abs(e - edges[0] - k * width) < 0.01 * width for k, e in enumerate(edges)):
+        near = (F.floor(F.least(F.greatest((value - edges[0]) / width, F.lit(-1.0)), F.lit(n - 2.0))) + 1).cast("int")
+        held = F.expr(literal(edges))
+        below, above = (near > 0) & (value <= F.get(held, near - 1)), (near < n - 1) & (value > F.get(held, near))
+        return F.when(value.isNull(), n - 1).otherwise(near - F.when(below, 1).otherwise(0) + F.when(above, 1).otherwise(0)).cast("int")
+    if n > NESTED:
+        @F.pandas_udf("int")
+        def searched(x: pd.Series) -> pd.Series:
+            at = np.minimum(np.searchsorted(edges, x.to_numpy(float)), n - 1)
+            return pd.Series(np.where(x.isna(), n - 1, at)).astype("int32")
+
+        return searched(value)
 
     def search(a: int, z: int) -> Column:
         if a == z:
@@ -92,7 +122,7 @@ def bin_of(value: Column, edges: list[float]) -> Column:
         m = (a + z) // 2
         return F.when(value <= edges[m], search(a, m)).otherwise(search(m + 1, z))
 
-    return search(0, len(edges) - 1).cast("int") if edges else F.lit(0)
+    return search(0, n - 1).cast("int")
 
 
 def binned(rows: DataFrame, features: list[str], edges: dict[int, list[float]], keep: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ is kept by gain, then feature, then threshold. Labels should be centred (gains d
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..plans.ranking import running
 from . import binning
 
 GAP = 1e-12
+#: Values of all nodes and features up to which a node and feature is one task of a split search; the splits are the same.
+MANY_VALUES = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -37,15 +39,25 @@ class Search:
     seed: int = 42
     edges: dict[int, list[float]] = field(default_factory=dict)
     #: Whether the rows have columns b0, b1, ... of bins made once (binning.binned), and whether a node and feature may have
-    #: so many values that no one task should see them all.
+    #: so many values that no one task should see them all (None: by the number of rows).
     binned: bool = False
-    many_values: bool = False
+    many_values: bool | None = None
     #: Each node searches only the features allowed to its tree: (tree column, expression of tree and feature).
     allowed: Column | None = None
 
 
+def additive(s: Search) -> bool:
+    """Whether sums by value tell all there is to know of a child."""
+    return bool(s.newton) or s.criterion.partition(":")[0] in ("", "mse")
+
+
+def measures(s: Search) -> list[str]:
+    """a counts (or sums H), b sums labels (or G), n counts rows (or sums weights), c sums squared labels, r counts rows that have weights."""
+    return ["a", "b", "n", *([] if s.newton else ["c"]), *(["r"] if s.weight else [])]
+
+
 def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
-    """node, feature, value, a, b, n: a counts (or sums H), b sums labels (or G), n counts rows (or sums weights). Rows without a value are one more group, at the right of every threshold."""
+    """node, feature, value and the measures. Rows without a value are one more group, at the right of every threshold."""
     keys = [s.node]
     w = F.col(s.weight).cast("double") if s.weight else F.lit(1.0)
     one, two = (F.col(s.newton[1]), F.col(s.newton[0])) if s.newton else (w, w * F.col(s.label))
@@ -53,31 +65,35 @@ def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
     number = lambda k, c: F.col(f"b{k}") if s.binned else binning.bin_of(known(c), s.edges[k])
     value = (lambda k, c: number(k, c).cast("double")) if by_bin else (lambda k, c: known(c))
     pairs = F.array(*(F.struct(F.lit(k).cast("int").alias("feature"), value(k, c).alias("value")) for k, c in enumerate(s.features)))
-    flat = rows.select(*keys, one.alias("_a"), two.alias("_b"), w.alias("_w"), F.inline(pairs))
+    flat = rows.select(*keys, one.alias("_a"), two.alias("_b"), w.alias("_w"), *([] if s.newton else [(two * F.col(s.label)).alias("_c")]), F.inline(pairs))
     if s.allowed is not None:
         flat = flat.where(s.allowed)
     count = F.sum("_w") if s.weight and not s.newton else F.count(F.lit(1))
-    made = flat.groupBy(*keys, "feature", "value").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), count.alias("n"))
-    if not by_bin:
+    of = {"a": F.sum("_a"), "b": F.sum("_b"), "n": count, "c": None if s.newton else F.sum("_c"), "r": F.count(F.lit(1))}
+    made = flat.groupBy(*keys, "feature", "value").agg(*(of[x].alias(x) for x in measures(s)))
+    if not by_bin or s.binned:
         return made.withColumn("upper", F.col("value"))
-    edge = F.lit(None).cast("double")
-    for k, e in s.edges.items():
-        if e:
-            edge = F.when(F.col("feature") == k, F.get(F.array(*map(F.lit, e)), F.col("value").cast("int"))).otherwise(edge)
-    return made.withColumn("upper", edge)
+    edges = ", ".join(binning.literal(s.edges.get(k, [])) for k in range(len(s.features)))
+    return made.withColumn("upper", F.get(F.get(F.expr(f"array({edges})"), F.col("feature")), F.col("value").cast("int")))
+
+
+def bound(r, s: Search) -> float:
+    """The threshold of a row of best_splits(): the bin's upper edge where bins are made, whose number stands there then."""
+    return s.edges[r["feature"]][int(r["threshold"])] if s.binned else r["threshold"]
 
 
 def cumulative(made: DataFrame, s: Search) -> DataFrame:
-    """With la, lb, ln (left of or at value), ta, tb, tn (all), vn (those with a value) and nxt (the next value that occurs)."""
+    """With la, lb, ... (left of or at value), ta, tb, ... (all) of the measures, vn (those with a value) and nxt (the next value that occurs)."""
+    of = measures(s)
     if s.many_values:
         made = made.withColumn("_v", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-        out = running(made, [s.node, "feature"], "value", ["a", "b", "n", "_v"], "upper")
-        return out.withColumnsRenamed({"c_a": "la", "c_b": "lb", "c_n": "ln", "t_a": "ta", "t_b": "tb", "t_n": "tn", "t__v": "vn"}).drop("c__v", "_v")
+        out = running(made, [s.node, "feature"], "value", [*of, "_v"], "upper")
+        return out.withColumnsRenamed({f"c_{x}": f"l{x}" for x in of} | {f"t_{x}": f"t{x}" for x in of} | {"t__v": "vn"}).drop("c__v", "_v")
     w = Window.partitionBy(s.node, "feature")
     order = w.orderBy(F.asc_nulls_last("value"))
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("value").isNotNull(), F.col("n"))
-    return made.withColumns({"la": F.sum("a").over(run), "lb": F.sum("b").over(run), "ln": F.sum("n").over(run), "ta": F.sum("a").over(w), "tb": F.sum("b").over(w), "tn": F.sum("n").over(w), "vn": F.sum(known).over(w), "nxt": F.lead("upper").over(order)})
+    return made.withColumns({f"l{x}": F.sum(x).over(run) for x in of} | {f"t{x}": F.sum(x).over(w) for x in of} | {"vn": F.sum(known).over(w), "nxt": F.lead("upper").over(order)})
 
 
 def gain(s: Search) -> Column:
@@ -89,11 +105,12 @@ def gain(s: Search) -> Column:
 
 
 def siblings(parents: DataFrame, smaller: DataFrame, s: Search) -> DataFrame:
-    """Sums by bin of the larger children: those of their parents less those of the smaller ones. parents: sums() with _big and _small, the children of each node."""
-    c = smaller.select(F.col(s.node).alias("_small"), "feature", "value", *(F.col(x).alias(f"_s_{x}") for x in ("a", "b", "n")))
+    """Sums by bin of the larger children: those of their parents less those of the smaller ones. parents: sums() with _big and _small, the children of each node; where these are null rows stay as they are."""
+    of = measures(s)
+    c = smaller.select(F.col(s.node).alias("_small"), "feature", "value", *(F.col(x).alias(f"_s_{x}") for x in of))
     both = parents.join(c, ["_small", "feature", "value"], "left")
-    less = both.select(F.col("_big").alias(s.node), "feature", "value", *((F.col(x) - F.coalesce(F.col(f"_s_{x}"), F.lit(0))).alias(x) for x in ("a", "b", "n")), "upper")
-    return less.where(F.col("n") > 1e-9)
+    less = both.select(F.coalesce("_big", s.node).alias(s.node), "feature", "value", *((F.col(x) - F.coalesce(F.col(f"_s_{x}"), F.lit(0))).alias(x) for x in of), "upper")
+    return less.where(F.col("r") > 0 if s.weight else F.col("n") > 1e-9)
 
 
 def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> DataFrame:
@@ -101,6 +118,8 @@ def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> Dat
     name, param = registry.finder(s.finder)
     if name in ("histogram_ew", "histogram_eq", "adaptive_ew"):
         return cumulative(sums(rows, s, True) if made is None else made, s).where("nxt is not null").withColumn("threshold", F.col("upper"))
+    if s.many_values is None:
+        s = replace(s, many_values=rows.count() * len(s.features) > MANY_VALUES)
     cum = cumulative(sums(rows, s, False), s)
     middle = (F.col("value") + F.col("nxt")) / 2
     apart = F.col("nxt") > F.col("value") + GAP
@@ -112,11 +131,11 @@ def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> Dat
         return cum.where(hit & (F.col("vn") >= 4) & F.col("nxt").isNotNull()).withColumn("threshold", F.col("value"))
     if name == "adaptive_eq":
         least = 5
-        w = Window.partitionBy(s.node, "feature")
-        mean = F.sum(F.col("value") * F.col("n")).over(w) / F.col("vn")
-        spread = cum.withColumn("_mean", mean)
-        var = F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))).over(w) / F.col("vn")
-        spread = spread.withColumn("_cv", F.sqrt(var) / (F.abs("_mean") + GAP))
+        keys = [s.node, "feature"]
+        means = cum.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.max("vn")).alias("_mean"))
+        about = cum.select(*keys, "value", "n", "vn").join(means, keys)
+        squares = F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))) / F.max("vn")
+        spread = cum.join(about.groupBy(*keys).agg((F.sqrt(squares) / (F.abs(F.first("_mean")) + GAP)).alias("_cv")), keys)
         root = F.sqrt(F.col("vn").cast("double"))
         most = int(param) if param else 64
         bins = F.when(F.col("_cv") < 0.1, F.least(F.greatest(F.floor(root / 2), F.lit(4)), F.lit(16))).otherwise(F.least(F.greatest(F.floor(root), F.lit(8)), F.lit(most)))
@@ -125,8 +144,8 @@ def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> Dat
         return spread.withColumn("_size", size).where(apart & (F.col("vn") >= 2 * least) & (F.col("ln") % F.col("_size") == 0) & (F.col("ln") >= least) & (F.col("vn") - F.col("ln") >= least)).withColumn("threshold", middle)
     if name == "random":
         # The last value at or below a draw gives the sums at its left.
-        w = Window.partitionBy(s.node, "feature")
-        ranged = cum.withColumns({"_lo": F.min("value").over(w), "_hi": F.max("value").over(w)})
+        ends = cum.groupBy(s.node, "feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        ranged = cum.join(ends, [s.node, "feature"])
         drawn = ranged.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(int(param))))).withColumn("threshold", F.col("_lo") + uniform(F.col(s.node), F.col("feature"), F.col("_j"), s.seed) * (F.col("_hi") - F.col("_lo")))
         return drawn.where((F.col("_hi") - F.col("_lo") >= GAP) & (F.col("value") <= F.col("threshold")) & (F.col("nxt") > F.col("threshold")))
     return cum.where(apart).withColumn("threshold", middle)
@@ -138,8 +157,8 @@ def uniform(*parts: Column | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def best_splits(rows: DataFrame, s: Search, made: DataFrame | None = None) -> DataFrame:
-    """node, feature, threshold, gain, n_left, n_right (rows or weights): at most a row a node. Gains of zero or less are no split."""
+def best_splits(rows: DataFrame, s: Search, made: DataFrame | None = None, sides: bool = False) -> DataFrame:
+    """node, feature, threshold, gain, n_left, n_right (rows or weights): at most a row a node. Gains of zero or less are no split. sides: also la, ta, ... of the measures, for additive searches. Where bins are made (s.binned) the threshold is the bin's number."""
     found = candidates(rows, s, made)
     if s.criterion.partition(":")[0] not in ("", "mse") and registry.finder(s.finder)[0] in ("quartile", "adaptive_eq") and not s.newton:
         scored = by_criterion(rows, found.select(s.node, "feature", "threshold", "ln", "tn"), s)
@@ -150,8 +169,9 @@ def best_splits(rows: DataFrame, s: Search, made: DataFrame | None = None) -> Da
     kept = scored.where(F.col("gain") > F.lit(s.gamma if s.newton else 0.0))
     # Largest gain, then least feature, then least threshold: one aggregate that is summed up where the rows are.
     rank = F.struct(F.col("gain"), -F.col("feature"), -F.col("threshold"))
-    best = kept.groupBy(s.node).agg(F.max_by(F.struct("feature", "threshold", "gain", "ln", "tn"), rank).alias("_x")).select(s.node, "_x.*")
-    return best.select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))))
+    more = [f"{x}{c}" for c in measures(s) for x in "lt"] if sides else []
+    best = kept.groupBy(s.node).agg(F.max_by(F.struct("feature", "threshold", "gain", *dict.fromkeys(["ln", "tn", *more])), rank).alias("_x")).select(s.node, "_x.*")
+    return best.select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))), *more)
 
 
 def by_criterion(rows: DataFrame, found: DataFrame, s: Search) -> DataFrame:
@@ -177,6 +197,4 @@ def with_edges(rows: DataFrame, s: Search) -> Search:
         edges = binning.equal_width_adaptive(rows, s.features, param)
     else:
         return s
-    from dataclasses import replace
-
     return replace(s, edges=edges)

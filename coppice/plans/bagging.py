@@ -32,6 +32,8 @@ class BaggingConfig:
     #: none, mingain, cost_complexity, or reduced_error on the rows that a tree did not draw.
     pruner: str = "none"
     prune_param: float = 0.01
+    #: Small tables and nodes grow in one task; the trees are the same.
+    local: bool = True
 
 
 def assignment(trees: int, workers: int) -> list[tuple[int, int]]:
@@ -42,11 +44,12 @@ def assignment(trees: int, workers: int) -> list[tuple[int, int]]:
 
 
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: BaggingConfig = BaggingConfig()) -> tuple[Ensemble, DataFrame]:
-    """(ensemble, numbered rows with rn). Trees whose bags fit in a task grow side by side, others together, level by level over the cluster."""
+    """(ensemble, numbered rows with rn). Trees whose bags fit in a task grow side by side, others together, level by level over the cluster. Rows without a finite label take no part."""
+    rows = grow.labelled(rows, label)
     bag, ranked = with_bootstrap(rows.select(row_id, label, *features), row_id, config.trees, config.ratio, config.seed)
-    growth = grow.Growth(config.max_depth, config.min_leaf, config.prune_param if config.pruner == "mingain" else 0.0)
+    growth = grow.Growth(config.max_depth, config.min_leaf, config.prune_param if config.pruner == "mingain" else 0.0, config.local)
     n = int(rows.count() * config.ratio)
-    if n <= TREE_ROWS and config.finder in ("exhaustive", "exact") and config.criterion == "mse":
+    if config.local and n <= TREE_ROWS and config.finder in ("exhaustive", "exact") and config.criterion == "mse":
         trees = side_by_side(bag, features, label, growth)
     else:
         weight = "w"

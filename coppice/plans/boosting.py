@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import math
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.binning import binned
 from ..operators.sampling import subsample
-from ..operators.splits import Search, with_edges
+from ..operators.splits import Search, additive, with_edges
 from . import grow, local_boost, registry
 from .model import Ensemble, score_trees
+from .store import Rolling, scope
 
 #: Rounds between cuts of the lineage of the prediction column.
 CUT_EVERY = 5
-PREDICTION, RESIDUAL = "_pred", "_resid"
+PREDICTION, RESIDUAL, PARTS = "_pred", "_resid", "_parts"
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,8 @@ class BoostingConfig:
     normalise: str = "none"
     adaptive_drop: bool = False
     skip_drop_for_prediction: bool = True
+    #: Small tables and nodes grow in one task; the trees are the same.
+    local: bool = True
 
 
 def mean_loss(rows: DataFrame, loss: registry.exprs.Loss, label: str, prediction: str) -> float:
@@ -101,51 +105,63 @@ def reweight(model: Ensemble, out: list[int], how: str, rate: float) -> None:
 
 
 def train(rows: DataFrame, features: list[str], label: str, row_id: str, config: BoostingConfig = BoostingConfig(), validation: DataFrame | None = None) -> Ensemble:
-    """Stops early on the validation loss, or on the training loss where there is none."""
+    """Stops early on the validation loss, or on the training loss where there is none. Rows without a finite label take no part."""
     loss, rng = registry.loss(config.loss), random.Random(config.seed)
+    rows = grow.labelled(rows, label)
     n, base = rows.agg(F.count(F.lit(1)), F.avg(label)).first()
     base = base or 0.0
     plain = config.finder in ("exhaustive", "exact") and config.criterion == "mse" and config.subsample >= 1 and not (config.dart or config.line_search) and validation is None
-    if plain and n <= local_boost.LOCAL_TRAIN_ROWS:
+    if plain and config.local and n <= local_boost.LOCAL_TRAIN_ROWS:
         return local_boost.train(rows, features, label, row_id, config.rounds, config.rate, grow.Growth(config.max_depth, config.min_leaf), local_boost.first_order(config.loss), base, lambda losses: should_stop(losses, config.patience, config.tolerance))
     model = Ensemble(features, base=base)
-    growth = grow.Growth(config.max_depth, config.min_leaf)
-    source = rows.select(row_id, label, *features).persist()
+    growth = grow.Growth(config.max_depth, config.min_leaf, finish_locally=config.local)
+    source = rows.select(row_id, label, *(c for c in features if c not in (row_id, label))).persist()
     search = with_edges(source, Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed))
-    now, held = source.withColumn(PREDICTION, F.lit(base)), None
+    first = source
+    if search.edges and additive(search):
+        first, search = binned(source, features, search.edges, source.columns), replace(search, binned=True)
+    # Each tree's leaf value of a row is held beside it where trees are left out, so that leaving out is arithmetic.
+    parts = F.array().cast("array<double>") if config.dart else None
+    table = Rolling(first.withColumn(PREDICTION, F.lit(base)) if parts is None else first.withColumns({PREDICTION: F.lit(base), PARTS: parts}))
     losses: list[float] = []
     for i in range(config.rounds):
         out = dropped(model, config, rng) if config.dart else []
+        seen = table.now
         if out:
             factors = model.factors()
-            seen = now.withColumn(PREDICTION, F.col(PREDICTION) - score_trees([model.trees[k] for k in out], [float(factors[k]) for k in out], features))
-        else:
-            seen = now
-        train_loss = mean_loss(seen, loss, label, PREDICTION)
-        resid = seen.withColumn(RESIDUAL, loss.gradient(F.col(label), F.col(PREDICTION)))
-        tree = grow.level_wise(subsample(resid, row_id, config.subsample, config.seed + i), search, growth)
-        rate = config.rate
-        if config.line_search:
-            rate = line_search(seen.withColumn("_step", score_trees([tree], [1.0], features)), loss, label, "_step")
+            seen = seen.withColumn(PREDICTION, weighted(base, [0.0 if k in out else float(x) for k, x in enumerate(factors)]))
+        with scope():
+            train_loss = mean_loss(seen, loss, label, PREDICTION)
+            table.settled()
+            resid = seen.withColumn(RESIDUAL, loss.gradient(F.col(label), F.col(PREDICTION)))
+            tree = grow.level_wise(subsample(resid, row_id, config.subsample, config.seed + i), search, growth)
+            value = score_trees([tree], [1.0], features)
+            rate = line_search(seen.withColumn("_step", value), loss, label, "_step") if config.line_search else config.rate
         model.add(tree, 1.0, rate)
-        before = model.factors()
         reweight(model, out, config.normalise, rate)
-        after = model.factors()
-        changed = [k for k in range(len(model.trees) - 1) if after[k] != before[k]]
-        step = score_trees([tree, *(model.trees[k] for k in changed)], [float(after[-1]), *(float(after[k] - before[k]) for k in changed)], features)
-        now = now.withColumn(PREDICTION, F.col(PREDICTION) + step)
-        if (i + 1) % CUT_EVERY == 0:
-            now, held = grow.cut(now, held)
+        cut = (i + 1) % CUT_EVERY == 0
+        if config.dart:
+            grown = table.now.withColumn(PARTS, F.array_append(PARTS, value))
+            table.replace(grown.withColumn(PREDICTION, weighted(base, [float(x) for x in model.factors()])), cut)
+        else:
+            table.replace(table.now.withColumn(PREDICTION, F.col(PREDICTION) + float(model.factors()[-1]) * value), cut)
         model.history.append({"iter": i, "train_loss": train_loss, "lr": rate, "n_dropped": len(out)})
         losses.append(mean_loss(model.score(validation, PREDICTION), loss, label, PREDICTION) if validation is not None else train_loss)
         if should_stop(losses, config.patience, config.tolerance):
             break
-    for x in (source, held):
-        if x is not None:
-            x.unpersist()
+    table.close()
+    source.unpersist()
     return model
 
 
+def weighted(base: float, factors: list[float]) -> Column:
+    """The prediction from the leaf values of all trees, by their factors."""
+    if not factors:
+        return F.lit(base)
+    each = F.zip_with(PARTS, F.array(*map(F.lit, factors)), lambda v, f: v * f)
+    return F.aggregate(each, F.lit(base), lambda a, v: a + v)
+
+
 def predict(model: Ensemble, rows: DataFrame, config: BoostingConfig) -> DataFrame:
     """All trees, unless a DART model is asked not to skip dropping: then a seeded draw is left out, as in training."""
     if config.dart and not config.skip_drop_for_prediction:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -10,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.criteria import node_metric
+from ..functions.exprs import finite
 from ..operators import prune as pruners
+from ..operators import splits as searching
 from ..operators.binning import binned
-from ..operators.splits import Search, best_splits, siblings, sums, with_edges
+from ..operators.splits import Search, additive, best_splits, siblings, sums, with_edges
 from .model import NODES, Node, Tree
 
 #: Rows up to which a node's whole subtree is grown in one task, and levels between checkpoints.
@@ -21,8 +24,7 @@ LOCAL_ROWS, CHECKPOINT_EVERY = 20_000, 8
 BROADCAST_NODES = 100_000
 #: Nodes up to which they are written into the plan instead; the rows are the same.
 FEW_NODES = 64
-#: Values of all nodes and features up to which a node and feature is one task of a split search; the splits are the same.
-MANY_VALUES = 5_000_000
+CENTRED = "_centred"
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,12 @@ class Growth:
     finish_locally: bool = True
 
 
+def labelled(rows: DataFrame, label: str) -> DataFrame:
+    """The rows with a finite label: nothing is learned from others, on any path and at any size."""
+    y = F.col(label).cast("double")
+    return rows.where(y.isNotNull() & finite(y))
+
+
 def totals(rows: DataFrame, s: Search) -> dict[int, tuple[int, float, float]]:
     """node -> rows, mean (or leaf weight), metric of the open nodes: a row a node comes to the driver."""
     if s.newton:
@@ -46,14 +54,22 @@ def totals(rows: DataFrame, s: Search) -> dict[int, tuple[int, float, float]]:
     return {r[s.node]: (r["samples"], r["node_mean"], r["metric"]) for r in node_metric(rows, [s.node], s.label, s.criterion).collect()}
 
 
-def route(tree: dict[int, Node], split: list[int], features: list[str], node: str) -> Column:
+def compared(n: Node, s: Search) -> tuple[Column, float]:
+    """What a split compares: a column and the bound up to which rows go left (the bin's number where bins are made)."""
+    if s.binned:
+        return F.col(f"b{n.feature}"), bisect_left(s.edges[n.feature], n.threshold)
+    return F.col(s.features[n.feature]).cast("double"), n.threshold
+
+
+def route(tree: dict[int, Node], split: list[int], s: Search) -> Column:
     """The child of each row of the nodes just split; other rows keep their node."""
-    out = F.col(node)
+    out = F.col(s.node)
     cond = None
     for k in split:
         n = tree[k]
-        goes = F.when(F.col(features[n.feature]).cast("double") <= n.threshold, F.lit(n.left)).otherwise(F.lit(n.right))
-        cond = F.when(F.col(node) == k, goes) if cond is None else cond.when(F.col(node) == k, goes)
+        value, bound = compared(n, s)
+        goes = F.when(value <= bound, F.lit(n.left)).otherwise(F.lit(n.right))
+        cond = F.when(F.col(s.node) == k, goes) if cond is None else cond.when(F.col(s.node) == k, goes)
     return out if cond is None else cond.otherwise(out).cast("int")
 
 
@@ -65,15 +81,15 @@ def of_nodes(rows: DataFrame, node: str, ids: list[int]) -> DataFrame:
     return rows.join(F.broadcast(table) if len(ids) <= BROADCAST_NODES else table, node, "left_semi")
 
 
-def routed(rows: DataFrame, tree: Tree, split: list[int], features: list[str], node: str) -> DataFrame:
+def routed(rows: DataFrame, tree: Tree, split: list[int], s: Search) -> DataFrame:
     """The rows of the nodes just split, each at its child, by a join with the table of splits where they are many. Rows without a value go right."""
     if len(split) <= FEW_NODES:
-        return rows.where(F.col(node).isin(split)).withColumn(node, route(tree, split, features, node))
-    made = [(k, tree[k].feature, tree[k].threshold, tree[k].left, tree[k].right) for k in split]
-    table = rows.sparkSession.createDataFrame(made, f"`{node}` int, _f int, _t double, _l int, _r int")
-    value = F.get(F.array(*(F.col(c).cast("double") for c in features)), F.col("_f"))
-    joined = rows.join(F.broadcast(table) if len(split) <= BROADCAST_NODES else table, node)
-    return joined.withColumn(node, F.when(value <= F.col("_t"), F.col("_l")).otherwise(F.col("_r"))).select(*rows.columns)
+        return rows.where(F.col(s.node).isin(split)).withColumn(s.node, route(tree, split, s))
+    made = [(k, tree[k].feature, float(compared(tree[k], s)[1]), tree[k].left, tree[k].right) for k in split]
+    table = rows.sparkSession.createDataFrame(made, f"`{s.node}` int, _f int, _t double, _l int, _r int")
+    value = F.get(F.array(*((F.col(f"b{k}") if s.binned else F.col(c)).cast("double") for k, c in enumerate(s.features))), F.col("_f"))
+    joined = rows.join(F.broadcast(table) if len(split) <= BROADCAST_NODES else table, s.node)
+    return joined.withColumn(s.node, F.when(value <= F.col("_t"), F.col("_l")).otherwise(F.col("_r"))).select(*rows.columns)
 
 
 def level_wise(rows: DataFrame, s: Search, growth: Growth) -> Tree:
@@ -81,62 +97,84 @@ def level_wise(rows: DataFrame, s: Search, growth: Growth) -> Tree:
     return forest(rows.withColumn(s.node, F.lit(0)), s, growth, 1)[0]
 
 
+def child(k: int, depth: int, row, side: str, s: Search, centre: float) -> Node:
+    """A child from what the search knows of its side of the split: no other look at the rows."""
+    of = {c: row[f"l{c}"] if side == "left" else row[f"t{c}"] - row[f"l{c}"] for c in searching.measures(s)}
+    n = int(round(of["n"]))
+    if s.newton:
+        value = -of["b"] / (of["a"] + s.lam) if of["a"] + s.lam > 0 else 0.0
+        return Node(k, depth, n, of["a"], value, value)
+    mean = of["b"] / of["a"]
+    return Node(k, depth, n, max(0.0, of["c"] / of["a"] - mean * mean), centre + mean, centre + mean)
+
+
 def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]:
-    """Trees grown together, a plan a level for all: a row stands in the tree that its node column (0 to roots - 1) names."""
+    """Trees grown together, a job a level for all: a row stands in the tree that its node column (0 to roots - 1) names.
+
+    The sums by bin of a level come from those of the level above and the rows of the smaller children; they also tell what
+    the nodes of the next level are. Criteria that are no sums take a job more a level.
+    """
+    for c in s.newton or (s.label,):
+        rows = labelled(rows, c)
     s = with_edges(rows, s)
-    keep = [*dict.fromkeys([*s.features, s.label, *([s.weight] if s.weight else []), *(s.newton or ())])]
-    now = rows.select(*keep, F.col(s.node).cast("int").alias(s.node))
-    if s.edges:
-        now, s = binned(now, s.features, s.edges, now.columns), replace(s, binned=True)
+    known = totals(rows.withColumn(s.node, F.col(s.node).cast("int")), s)
+    tree: Tree = {k: Node(k, 0, *known[k][:1], known[k][2], known[k][1], known[k][1]) if k in known else Node(k, 0) for k in range(roots)}
+    # Sums of squares of labels near zero lose nothing.
+    seen = sum(n.samples for n in tree.values())
+    centre = sum(n.samples * n.node_mean for n in tree.values()) / seen if seen and additive(s) and not s.newton else 0.0
+    if s.edges and additive(s) and not s.binned:
+        rows, s = binned(rows, s.features, s.edges, [*rows.columns]), replace(s, binned=True)
+    if not s.newton:
+        rows, s = rows.withColumn(CENTRED, F.col(s.label).cast("double") - centre), replace(s, label=CENTRED)
+    held = [f"b{k}" for k in range(len(s.features))] if s.binned else [*dict.fromkeys(s.features)]
+    now = rows.select(*held, *(c for c in dict.fromkeys([*(s.newton or (s.label,)), *([s.weight] if s.weight else [])]) if c not in held), F.col(s.node).cast("int").alias(s.node))
     now = now.persist()
-    tree: Tree = {k: Node(k, 0) for k in range(roots)}
-    for k, (n, mean, metric) in totals(now, s).items():
-        tree[k] = Node(k, 0, n, metric, mean, mean)
-    if not s.edges:
-        s = replace(s, many_values=sum(n.samples for n in tree.values()) * len(s.features) > MANY_VALUES)
-    open_nodes, depth, next_id, held, hist = list(range(roots)), 0, roots, now, None
+    s = replace(s, many_values=not s.edges and seen * len(s.features) > searching.MANY_VALUES)
+    open_nodes, depth, next_id, hist, old = list(range(roots)), 0, roots, None, []
     while open_nodes and depth < growth.max_depth:
         grow = [k for k in open_nodes if tree[k].samples >= max(2, 2 * growth.min_leaf)]
         if s.newton:
             grow = [k for k in grow if tree[k].metric >= s.min_child_weight]
         small = [k for k in grow if tree[k].samples <= LOCAL_ROWS] if growth.finish_locally and local_finder(s) else []
         if small:
-            next_id = finish(of_nodes(now, s.node, small), s, growth, tree, next_id)
+            next_id = finish(of_nodes(now, s.node, small), s, growth, tree, next_id, centre)
             done = set(small)
             grow = [k for k in grow if k not in done]
         if not grow:
             break
         if s.binned and hist is None:
             hist = sums(of_nodes(now, s.node, grow), s, True).persist()
-        splits = best_splits(of_nodes(now, s.node, grow), s, None if hist is None else of_nodes(hist, s.node, grow)).collect()  # a row an open node at most
-        sizes = {r[s.node]: (r["n_left"], r["n_right"]) for r in splits}
-        split = []
-        for r in sorted(splits, key=lambda r: r[s.node]):
+        found = best_splits(of_nodes(now, s.node, grow), s, None if hist is None else of_nodes(hist, s.node, grow), additive(s)).collect()  # a row an open node at most
+        for x in old:
+            x.unpersist()
+        split, sizes = [], {}
+        depth += 1
+        for r in sorted(found, key=lambda r: r[s.node]):
             k = r[s.node]
             if r["gain"] < growth.min_gain or min(r["n_left"], r["n_right"]) < growth.min_leaf:
                 continue
             t = tree[k]
-            t.is_leaf, t.feature, t.threshold, t.gain, t.left, t.right = False, r["feature"], r["threshold"], r["gain"], next_id, next_id + 1
+            t.is_leaf, t.feature, t.threshold, t.gain, t.left, t.right = False, r["feature"], searching.bound(r, s), r["gain"], next_id, next_id + 1
+            if additive(s):
+                tree |= {c: child(c, depth, r, side, s, centre) for c, side in ((t.left, "left"), (t.right, "right"))}
             next_id += 2
             split.append(k)
+            sizes[k] = (r["n_left"], r["n_right"])
         if not split:
             break
-        depth += 1
         open_nodes = [c for k in split for c in (tree[k].left, tree[k].right)]
-        moved = routed(now, tree, split, s.features, s.node)
+        moved = routed(now, tree, split, s)
         moved = moved.checkpoint(False) if depth % CHECKPOINT_EVERY == 0 and has_checkpoint(rows.sparkSession) else moved
         moved = moved.persist()
-        for k, (n, mean, metric) in totals(moved, s).items():
-            tree[k] = Node(k, depth, n, metric, mean, mean)
+        if not additive(s):
+            tree |= {k: Node(k, depth, n, metric, mean, mean) for k, (n, mean, metric) in totals(moved, s).items()}
+        old = [now]
         if hist is not None:
-            before, counted, hist = hist, *child_sums(hist, moved, s, tree, {k: sizes[k] for k in split})
-            hist = hist.persist()
-            hist.count()
-            before.unpersist()
-            counted.unpersist()
-        held.unpersist()
-        now = held = moved
-    for x in (held, hist):
+            counted, children = child_sums(hist, moved, s, tree, sizes)
+            old += [hist, counted]
+            hist = children.persist()
+        now = moved
+    for x in (now, hist, *old):
         if x is not None:
             x.unpersist()
     return [below(tree, k) for k in range(roots)]
@@ -174,23 +212,12 @@ def has_checkpoint(spark: SparkSession) -> bool:
     return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
-def cut(now: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows computed once, and what to free later: a checkpoint where there is a folder, else a copy in memory that replaces the one before."""
-    if has_checkpoint(now.sparkSession):
-        return now.checkpoint(), held
-    kept = now.persist()
-    kept.count()
-    if held is not None:
-        held.unpersist()
-    return kept, kept
-
-
 def local_finder(s: Search) -> bool:
     return s.finder in ("exhaustive", "exact") and s.criterion == "mse" and s.allowed is None
 
 
-def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int) -> int:
-    """Grows the subtrees of small nodes in one job, each in the task that has its rows."""
+def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int, centre: float = 0.0) -> int:
+    """Grows the subtrees of small nodes in one job, each in the task that has its rows. centre: what labels lack."""
     features, node, label, weight, newton = s.features, s.node, s.label, s.weight, s.newton
     depth_of = {k: tree[k].depth for k in tree}
 
@@ -206,7 +233,7 @@ def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int)
         out["tree_id"] = k
         return out[[c.split()[0] for c in NODES.split(", ")]]
 
-    keep = [node, *features, label, *([weight] if weight else []), *(newton or ())]
+    keep = [node, *features, *([weight] if weight else []), *(newton or (label,))]
     got = rows.select(*dict.fromkeys(keep)).groupBy(node).applyInPandas(one, NODES).collect()  # nodes, fewer than rows of small nodes
     by: dict[int, list] = {}
     for r in got:
@@ -220,7 +247,7 @@ def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int)
         for r in by[k]:
             d = r.asDict() | {"tree_id": 0, "node_id": ids[r["node_id"]]}
             d["left"], d["right"] = ids.get(r["left"], -1) if not r["is_leaf"] else -1, ids.get(r["right"], -1) if not r["is_leaf"] else -1
-            tree[d["node_id"]] = Node(**d)
+            tree[d["node_id"]] = Node(**d | {"node_mean": d["node_mean"] + centre, "prediction": d["prediction"] + centre})
     return next_id
 
 
@@ -283,10 +310,11 @@ def local_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, second: tuple | Non
     return best
 
 
-def train_tree(rows: DataFrame, features: list[str], label: str = "label", finder: str = "exhaustive", criterion: str = "mse", max_depth: int = 800, min_leaf: int = 2, pruner: str = "none", prune_param: float = 0.01, validation: DataFrame | None = None, weight: str | None = None) -> Tree:
-    """A single regression tree, pruned: none, mingain (while growing), cost_complexity or reduced_error."""
+def train_tree(rows: DataFrame, features: list[str], label: str = "label", finder: str = "exhaustive", criterion: str = "mse", max_depth: int = 800, min_leaf: int = 2, pruner: str = "none", prune_param: float = 0.01, validation: DataFrame | None = None, weight: str | None = None, local: bool = True) -> Tree:
+    """A single regression tree, pruned: none, mingain (while growing), cost_complexity or reduced_error. Rows without a finite label take no part."""
     s = Search(features=features, label=label, finder=finder, criterion=criterion, weight=weight)
-    tree = level_wise(rows, s, Growth(max_depth, min_leaf, prune_param if pruner == "mingain" else 0.0))
+    rows = labelled(rows, label)
+    tree = level_wise(rows, s, Growth(max_depth, min_leaf, prune_param if pruner == "mingain" else 0.0, local))
     if pruner == "cost_complexity":
         pruners.cost_complexity(tree, prune_param)
     elif pruner == "reduced_error":

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once: range bounds are sampled anew at each run, so counts and rows must come from the same one."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+#: df computed once: range bounds are sampled anew at each run, so counts and rows must come from the same one.
+kept = stored
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:

@@ -21,8 +21,29 @@ def scan_matrix(spark: SparkSession, path: str, with_row_id: bool = False) -> Da
     return raw.select(*(["row_id"] if with_row_id else []), *cells)
 
 
+class BatchReader:
+    """Batches of a CSV file by position: the file is scanned once into a table that is laid out by row number, so that a
+    batch reads only the row groups it lies in, also where it crosses files. rows is how many there are."""
+
+    def __init__(self, spark: SparkSession, path: str, store: str):
+        raw = scan_matrix(spark, path, True).withColumn("_part", F.shiftright("row_id", 33))
+        counts = raw.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a split of the file
+        offsets, total = [], 0
+        for r in counts:
+            offsets.append((r["_part"], total))
+            total += r["n"]
+        table = spark.createDataFrame(offsets, "_part bigint, _before bigint")
+        place = F.col("_before") + F.col("row_id").bitwiseAND((1 << 33) - 1) + 1
+        raw.join(F.broadcast(table), "_part").withColumn("rn", place).drop("_part", "_before", "row_id").write.option("parquet.block.size", 1 << 20).parquet(store)
+        self.rows, self.table = total, spark.read.parquet(store)
+
+    def batch(self, size: int = 10_000, skip: int = 0) -> DataFrame:
+        """size rows at most after the first skip, with rn, from 1; empty at the end of the file."""
+        return self.table.where((F.col("rn") > skip) & (F.col("rn") <= skip + size))
+
+
 def scan_batch(spark: SparkSession, path: str, batch: int = 10_000, skip: int = 0) -> DataFrame:
-    """batch rows at most after the first skip; empty at the end of the file."""
+    """batch rows at most after the first skip; empty at the end of the file. For more than one batch see BatchReader."""
     rows = scan_matrix(spark, path, True)
     return rows.orderBy("row_id").offset(skip).limit(batch).drop("row_id")
 
