@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(flag, type=type(default), default=default)
 
     command("single", max_depth=800, min_leaf=2, criterion="mse", finder="exhaustive", pruner="none", prune_param=0.01, val_split=0.2)
-    command("bagging", trees=20, ratio=1.0, max_depth=10, min_leaf=2, criterion="mse", finder="exhaustive", pruner="none", prune_param=0.01, seed=42)
+    command("bagging", trees=20, ratio=1.0, max_depth=10, min_leaf=2, criterion="mse", finder="exhaustive", pruner="none", prune_param=0.01, seed=42, workers=1)
     command("boosting", loss="squared", rounds=30, rate=0.1, max_depth=4, min_leaf=1, criterion="mse", finder="exhaustive", subsample=1.0, line_search=False, patience=0, dart=False, drop_rate=0.1, normalise="none", skip_drop_for_prediction=True, val_split=0.0, seed=42)
     command("newton", objective="reg:squarederror", rounds=30, eta=0.3, max_depth=6, min_child_weight=1.0, lam=1.0, gamma=0.0, alpha=0.0, subsample=1.0, colsample=1.0, approximate=False, max_bins=256, patience=0, val_split=0.0, seed=42)
     command("leafwise", rounds=100, rate=0.1, leaves=31, min_data=20, min_gain=0.0, max_depth=-1, lam=0.0, top_rate=0.2, other_rate=0.1, use_goss=True, max_bin=255, finder="", patience=0, val_split=0.0, seed=42)
@@ -55,7 +55,7 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         train, test = prep.train_test(rows, "row_id")
         if command in ("boosting", "newton", "leafwise") and share > 0:
             train, validation = prep.validation_tail(train, "row_id", share)
-    began = time.time()
+    began, workers = time.time(), args.pop("workers", 1)
     if command == "single":
         made = model.Ensemble(features)
         made.add(grow.train_tree(train, features, label, validation=validation, **args))
@@ -72,7 +72,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
     scored = boosting.predict(made, test, config) if command == "boosting" else made.score(test)
     errors = evaluate(scored.withColumn("label", F.col(label)), "label").first()
     top = model.top_importance(made.importance(spark, "samples" if command == "boosting" else "count")).collect()
-    return {"command": command, "seconds": round(seconds, 3), "trees": len(made.trees), "test_mse": errors["mse"], "test_mae": errors["mae"], "importance": [(features[r["feature"]], r["importance"]) for r in top]}
+    report = {"workers": (found := bagging.worker_report(made, workers)), "slowest_worker": max(found, key=lambda r: r["seconds"])} if command == "bagging" and workers > 1 else {}
+    return report | {"command": command, "seconds": round(seconds, 3), "trees": len(made.trees), "test_mse": errors["mse"], "test_mae": errors["mae"], "importance": [(features[r["feature"]], r["importance"]) for r in top]}
 
 
 def main() -> None:

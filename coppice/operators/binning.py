@@ -125,9 +125,11 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return search(0, n - 1).cast("int")
 
 
-def binned(rows: DataFrame, features: list[str], edges: dict[int, list[float]], keep: list[str]) -> DataFrame:
-    """keep and a small integer column b0, b1, ... for each feature: made once, used at every level. Rows without a value lie in the last bin."""
-    return rows.select(*keep, *(bin_of(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), edges[k]).alias(f"b{k}") for k, c in enumerate(features)))
+def binned(rows: DataFrame, features: list[str], edges: dict[int, list[float]], keep: list[str], gaps: bool = False) -> DataFrame:
+    """keep and a small integer column b0, b1, ... for each feature: made once, used at every level. Rows without a value lie in the last bin, or (gaps) in none."""
+    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
+    bins = [bin_of(x, edges[k]) for k, x in enumerate(known)]
+    return rows.select(*keep, *((F.when(x.isNotNull(), b) if gaps else b).alias(f"b{k}") for k, (x, b) in enumerate(zip(known, bins, strict=True))))
 
 
 def histogram(rows: DataFrame, features: list[str], edges: dict[int, list[float]], label: str, node: str | None = None) -> DataFrame:

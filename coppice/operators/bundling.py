@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,24 +23,44 @@ def sparsity(rows: DataFrame, features: list[str]) -> DataFrame:
     return made.select(F.inline("x")).withColumn("sparsity", F.when(F.col("n") > 0, F.col("zeros") / F.col("n")).otherwise(0.0))
 
 
+def both_set(rows: DataFrame, features: list[str]) -> DataFrame:
+    """a, b, both: rows in which both features are not zero, for the pairs that occur. A row gives the pairs of its own features, summed up where it is."""
+    of = F.filter(F.array(*(F.when(F.col(c) != 0, k) for k, c in enumerate(features))), lambda k: k.isNotNull())
+    held = rows.select(of.alias("_k")).where(F.size("_k") > 1)
+    pairs = F.flatten(F.transform("_k", lambda a, i: F.transform(F.slice("_k", i + 2, F.size("_k")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return held.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+
+
 def conflicts(rows: DataFrame, features: list[str]) -> DataFrame:
-    """a, b, both, either, conflict for each pair: rows with both not zero over rows with any not zero. One aggregate."""
-    set_ = [F.col(c) != 0 for c in features]
-    pairs = [F.struct(F.lit(a).cast("int").alias("a"), F.lit(b).cast("int").alias("b"), F.count_if(set_[a] & set_[b]).alias("both"), F.count_if(set_[a] | set_[b]).alias("either")) for a, b in combinations(range(len(features)), 2)]
-    if not pairs:
+    """a, b, both, either, conflict for each pair: rows with both not zero over rows with any not zero."""
+    d = len(features)
+    set_ = F.array(*(F.struct(F.lit(k).cast("int").alias("k"), F.count_if(F.col(c) != 0).alias("n")) for k, c in enumerate(features))) if d else F.array()
+    if d < 2:
         return rows.sparkSession.createDataFrame([], "a int, b int, both bigint, either bigint, conflict double")
-    return rows.agg(F.array(*pairs).alias("x")).select(F.inline("x")).withColumn("conflict", F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0))
+    counts = rows.agg(set_.alias("x")).select(F.inline("x"))
+    left, right = (counts.select(F.col("k").alias(x), F.col("n").alias(f"_{x}")) for x in "ab")
+    # A row a feature on either side.
+    every = left.join(F.broadcast(right), F.col("a") < F.col("b")).join(both_set(rows, features), ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)).cast("bigint"))
+    found = every.select("a", "b", "both", (F.col("_a") + F.col("_b") - F.col("both")).alias("either"))
+    return found.withColumn("conflict", F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0))
 
 
 def bundles(rows: DataFrame, features: list[str], max_conflict: float = 0.0, max_bin: int = 255) -> list[Bundle]:
     """Sparse features greedily together, the sparsest first, while all pairs conflict at most so much; the rest alone."""
-    of = {r["feature"]: r["sparsity"] for r in sparsity(rows, features).collect()}
-    rate = {(r["a"], r["b"]): r["conflict"] for r in conflicts(rows, features).collect()}
+    known = {r["feature"]: r for r in sparsity(rows, features).collect()}
+    of = {k: r["sparsity"] for k, r in known.items()}
+    # Only sparse features are bundled; pairs that never occur together have no conflict.
+    some = [k for k in sorted(of) if of[k] > SPARSE]
+    count = {k: known[k]["n"] - known[k]["zeros"] for k in some}
+    rate: dict[tuple[int, int], float] = {}
+    for r in both_set(rows, [features[k] for k in some]).collect() if len(some) > 1 else []:  # pairs of sparse features that occur
+        a, b = some[r["a"]], some[r["b"]]
+        rate[a, b] = r["both"] / (count[a] + count[b] - r["both"])
     groups: list[list[int]] = []
     for f in sorted(of, key=lambda f: (-of[f], f)):
         if of[f] > SPARSE:
             for g in groups:
-                if of[g[0]] > SPARSE and (len(g) + 1) * max_bin <= MOST_BINS and all(rate[min(f, x), max(f, x)] <= max_conflict for x in g):
+                if of[g[0]] > SPARSE and (len(g) + 1) * max_bin <= MOST_BINS and all(rate.get((min(f, x), max(f, x)), 0.0) <= max_conflict for x in g):
                     g.append(f)
                     break
             else:

@@ -20,6 +20,8 @@ from . import binning
 GAP = 1e-12
 #: Values of all nodes and features up to which a node and feature is one task of a split search; the splits are the same.
 MANY_VALUES = 5_000_000
+#: Different values of all features together up to which they are ranked once and their ranks searched; the splits are the same.
+RANKED_VALUES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Search:
     #: so many values that no one task should see them all (None: by the number of rows).
     binned: bool = False
     many_values: bool | None = None
+    #: Whether edges are all values that occur (ranked_values) and bins their ranks: an exhaustive search on numbers made once.
+    ranked: bool = False
     #: Each node searches only the features allowed to its tree: (tree column, expression of tree and feature).
     allowed: Column | None = None
 
@@ -79,7 +83,10 @@ def sums(rows: DataFrame, s: Search, by_bin: bool) -> DataFrame:
 
 def bound(r, s: Search) -> float:
     """The threshold of a row of best_splits(): the bin's upper edge where bins are made, whose number stands there then."""
-    return s.edges[r["feature"]][int(r["threshold"])] if s.binned else r["threshold"]
+    if not s.binned:
+        return r["threshold"]
+    edges = s.edges[r["feature"]]
+    return (edges[int(r["threshold"])] + edges[int(r["nxt"])]) / 2 if s.ranked else edges[int(r["threshold"])]
 
 
 def cumulative(made: DataFrame, s: Search) -> DataFrame:
@@ -107,8 +114,8 @@ def gain(s: Search) -> Column:
 def siblings(parents: DataFrame, smaller: DataFrame, s: Search) -> DataFrame:
     """Sums by bin of the larger children: those of their parents less those of the smaller ones. parents: sums() with _big and _small, the children of each node; where these are null rows stay as they are."""
     of = measures(s)
-    c = smaller.select(F.col(s.node).alias("_small"), "feature", "value", *(F.col(x).alias(f"_s_{x}") for x in of))
-    both = parents.join(c, ["_small", "feature", "value"], "left")
+    c = smaller.select(F.col(s.node).alias("_of"), F.col("feature").alias("_f"), F.col("value").alias("_v"), *(F.col(x).alias(f"_s_{x}") for x in of))
+    both = parents.join(c, (F.col("_small") == F.col("_of")) & (F.col("feature") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")), "left")
     less = both.select(F.coalesce("_big", s.node).alias(s.node), "feature", "value", *((F.col(x) - F.coalesce(F.col(f"_s_{x}"), F.lit(0))).alias(x) for x in of), "upper")
     return less.where(F.col("r") > 0 if s.weight else F.col("n") > 1e-9)
 
@@ -116,7 +123,7 @@ def siblings(parents: DataFrame, smaller: DataFrame, s: Search) -> DataFrame:
 def candidates(rows: DataFrame, s: Search, made: DataFrame | None = None) -> DataFrame:
     """node, feature, threshold and the sums on either side, for every threshold the finder looks at. made: sums by bin, where they are known."""
     name, param = registry.finder(s.finder)
-    if name in ("histogram_ew", "histogram_eq", "adaptive_ew"):
+    if name in ("histogram_ew", "histogram_eq", "adaptive_ew") or s.ranked:
         return cumulative(sums(rows, s, True) if made is None else made, s).where("nxt is not null").withColumn("threshold", F.col("upper"))
     if s.many_values is None:
         s = replace(s, many_values=rows.count() * len(s.features) > MANY_VALUES)
@@ -169,7 +176,7 @@ def best_splits(rows: DataFrame, s: Search, made: DataFrame | None = None, sides
     kept = scored.where(F.col("gain") > F.lit(s.gamma if s.newton else 0.0))
     # Largest gain, then least feature, then least threshold: one aggregate that is summed up where the rows are.
     rank = F.struct(F.col("gain"), -F.col("feature"), -F.col("threshold"))
-    more = [f"{x}{c}" for c in measures(s) for x in "lt"] if sides else []
+    more = [*(f"{x}{c}" for c in measures(s) for x in "lt"), *(["nxt"] if s.ranked else [])] if sides else []
     best = kept.groupBy(s.node).agg(F.max_by(F.struct("feature", "threshold", "gain", *dict.fromkeys(["ln", "tn", *more])), rank).alias("_x")).select(s.node, "_x.*")
     return best.select(s.node, "feature", "threshold", "gain", *((x if s.weight else x.cast("bigint")).alias(c) for c, x in (("n_left", F.col("ln")), ("n_right", F.col("tn") - F.col("ln")))), *more)
 
@@ -184,6 +191,26 @@ def by_criterion(rows: DataFrame, found: DataFrame, s: Search) -> DataFrame:
     return found.join(both, [s.node, "feature", "threshold"]).join(parent, s.node).withColumn("gain", F.col("_parent") - F.col("_children") / F.col("_n"))
 
 
+def ranked_values(rows: DataFrame, s: Search, most: int = RANKED_VALUES) -> Search:
+    """The search by ranks of the values that occur, sorted once a fit, where an exhaustive search has at most so many; else the search as it is."""
+    if registry.finder(s.finder)[0] != "exhaustive" or not additive(s) or s.allowed is not None:
+        return s
+    values = binning.long_rows(rows, s.features, []).where("value is not null and not isnan(value)")
+    counts = values.groupBy("feature").agg(F.approx_count_distinct("value").alias("n")).collect()  # a row a feature
+    if sum(r["n"] for r in counts) > 0.9 * most:
+        return s
+    edges: dict[int, list[float]] = {k: [] for k in range(len(s.features))}
+    got = values.distinct().toArrow()  # about most numbers
+    for k, v in zip(got["feature"].to_pylist(), got["value"].to_pylist(), strict=True):
+        edges[k].append(v)
+    return replace(s, edges={k: apart_values(sorted(v)) for k, v in edges.items()}, ranked=True)
+
+
+def apart_values(values: list[float]) -> list[float]:
+    """Sorted values without those that a search cannot part from the next one, whose rank they take."""
+    return [v for v, after in zip(values, [*values[1:], None], strict=True) if after is None or after > v + GAP]
+
+
 def with_edges(rows: DataFrame, s: Search) -> Search:
     """The search with bin edges from all rows, if its finder bins; done once a fit."""
     name, param = registry.finder(s.finder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,13 +51,15 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     growth = grow.Growth(config.max_depth, config.min_leaf, config.prune_param if config.pruner == "mingain" else 0.0, config.local)
     n = int(rows.count() * config.ratio)
     if config.local and n <= TREE_ROWS and config.finder in ("exhaustive", "exact") and config.criterion == "mse":
-        trees = side_by_side(bag, features, label, growth)
+        trees, took = side_by_side(bag, features, label, growth)
     else:
         weight = "w"
         if config.criterion != "mse":  # other criteria look at single rows: a row drawn twice is there twice
             bag, weight = bag.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("_again"), None
         s = with_edges(ranked, Search(features=features, label=label, weight=weight, finder=config.finder, criterion=config.criterion, seed=config.seed))
+        began = time.perf_counter()
         trees = dict(enumerate(grow.forest(bag.withColumnRenamed("tree_id", s.node), s, growth, config.trees)))
+        took = dict.fromkeys(trees, (time.perf_counter() - began) / config.trees)
     if config.pruner == "cost_complexity":
         for t in trees.values():
             pruners.cost_complexity(t, config.prune_param)
@@ -67,9 +70,19 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     out = Ensemble(features, average=True)
     for k in range(config.trees):
         out.add(trees.get(k, {0: Node(0, 0)}))
+        out.history.append({"tree": k, "draws": n, "seconds": took.get(k, 0.0)})
     return out, ranked
 
 
+def worker_report(model: Ensemble, workers: int) -> list[dict]:
+    """worker, trees, first, draws and seconds of the trees that assignment() deals to it. Trees grown side by side are timed in their tasks, trees grown together share their time."""
+    out = []
+    for w, (count, first) in enumerate(assignment(len(model.trees), workers)):
+        mine = model.history[first : first + count]
+        out.append({"worker": w, "trees": count, "first": first, "draws": sum(h["draws"] for h in mine), "seconds": sum(h["seconds"] for h in mine)})
+    return out
+
+
 def out_of_bag_sums(trees: dict[int, dict[int, Node]], ranked: DataFrame, features: list[str], label: str, config: BaggingConfig) -> dict[int, dict[int, tuple[float, float, float]]]:
     """For each tree, n, sum and sum of squares of the labels that reach each of its nodes, over the rows it did not draw: one job for all trees."""
     packed = [(k, np.array(sorted(trees[k])), arrays(trees[k])) for k in sorted(trees)]
@@ -107,20 +120,24 @@ def grouped_importance(model: Ensemble, spark: SparkSession, workers: int, by: s
     return every.join(F.broadcast(total), "feature", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
-def side_by_side(bag: DataFrame, features: list[str], label: str, growth: grow.Growth) -> dict[int, dict[int, Node]]:
-    """Each tree in one task; a bag is its distinct rows and how often they were drawn."""
+def side_by_side(bag: DataFrame, features: list[str], label: str, growth: grow.Growth) -> tuple[dict[int, dict[int, Node]], dict[int, float]]:
+    """(trees, seconds): each tree in one task; a bag is its distinct rows and how often they were drawn."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        began = time.perf_counter()
         made = grow.local_tree(pdf[features].to_numpy(float), pdf[label].to_numpy(float), pdf["w"].to_numpy(float), growth)
         out = pd.DataFrame([vars(n) for n in made.values()])
         out["tree_id"] = int(pdf["tree_id"].iloc[0])
-        return out[[c.split()[0] for c in NODES.split(", ")]]
+        return out[[c.split()[0] for c in NODES.split(", ")]].assign(seconds=time.perf_counter() - began)
 
-    got = bag.select("tree_id", "w", label, *features).groupBy("tree_id").applyInPandas(one, NODES).collect()
+    got = bag.select("tree_id", "w", label, *features).groupBy("tree_id").applyInPandas(one, NODES + ", seconds double").collect()
     trees: dict[int, dict[int, Node]] = {}
+    took: dict[int, float] = {}
     for r in got:
-        trees.setdefault(r["tree_id"], {})[r["node_id"]] = Node(**r.asDict())
-    return trees
+        d = r.asDict()
+        took[d["tree_id"]] = d.pop("seconds")
+        trees.setdefault(d["tree_id"], {})[d["node_id"]] = Node(**d)
+    return trees, took
 
 
 def oob(model: Ensemble, ranked: DataFrame, row_id: str, label: str, config: BaggingConfig) -> DataFrame:
@@ -128,15 +145,21 @@ def oob(model: Ensemble, ranked: DataFrame, row_id: str, label: str, config: Bag
     seen = bootstrap(ranked, row_id, config.trees, config.ratio, config.seed).groupBy("rn").agg(F.collect_list("tree_id").alias("_seen"))
     packed = [arrays(t) for t in model.trees]
 
-    @F.pandas_udf("array<double>")
-    def each(*cols: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<total:double,n_trees:int>")
+    def free(drawn: pd.Series, *cols: pd.Series) -> pd.DataFrame:
+        """Sum and number of the votes of trees that did not draw the row."""
         x = np.column_stack([c.to_numpy(float) for c in cols])
-        return pd.Series(list(np.column_stack([a[4][walk(a, x)] for a in packed])))
-
-    scored = ranked.join(seen, "rn", "left").withColumn("_p", each(*(F.col(c).cast("double") for c in model.features)))
-    out = F.filter(F.transform("_p", lambda p, k: F.when(F.array_contains(F.coalesce(F.col("_seen"), F.array().cast("array<int>")), k), None).otherwise(p)), lambda p: p.isNotNull())
-    kept = scored.withColumn("_out", out).where(F.size("_out") > 0)
-    return kept.select(row_id, label, (F.aggregate("_out", F.lit(0.0), lambda a, p: a + p) / F.size("_out")).alias("prediction"), F.size("_out").alias("n_trees"))
+        counts = np.array([0 if d is None else len(d) for d in drawn])
+        votes = np.ones((len(x), len(packed)))
+        if counts.sum():
+            votes[np.repeat(np.arange(len(x)), counts), np.concatenate([d for d in drawn if d is not None]).astype(int)] = 0
+        total = np.zeros(len(x))
+        for k, a in enumerate(packed):
+            total += votes[:, k] * a[4][walk(a, x)]
+        return pd.DataFrame({"total": total, "n_trees": votes.sum(1).astype("int32")})
+
+    scored = ranked.join(seen, "rn", "left").withColumn("_f", free("_seen", *(F.col(c).cast("double") for c in model.features)))
+    return scored.where("_f.n_trees > 0").select(row_id, label, (F.col("_f.total") / F.col("_f.n_trees")).alias("prediction"), F.col("_f.n_trees").alias("n_trees"))
 
 
 def oob_error(model: Ensemble, ranked: DataFrame, row_id: str, label: str, config: BaggingConfig) -> DataFrame:

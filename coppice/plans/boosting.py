@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.binning import binned
 from ..operators.sampling import subsample
-from ..operators.splits import Search, additive, with_edges
+from ..operators.splits import Search, additive, ranked_values, with_edges
 from . import grow, local_boost, registry
 from .model import Ensemble, score_trees
 from .store import Rolling, scope
@@ -116,10 +116,10 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     model = Ensemble(features, base=base)
     growth = grow.Growth(config.max_depth, config.min_leaf, finish_locally=config.local)
     source = rows.select(row_id, label, *(c for c in features if c not in (row_id, label))).persist()
-    search = with_edges(source, Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed))
+    search = ranked_values(source, with_edges(source, Search(features=features, label=RESIDUAL, finder=config.finder, criterion=config.criterion, seed=config.seed)))
     first = source
     if search.edges and additive(search):
-        first, search = binned(source, features, search.edges, source.columns), replace(search, binned=True)
+        first, search = binned(source, features, search.edges, source.columns, search.ranked), replace(search, binned=True)
     # Each tree's leaf value of a row is held beside it where trees are left out, so that leaving out is arithmetic.
     parts = F.array().cast("array<double>") if config.dart else None
     table = Rolling(first.withColumn(PREDICTION, F.lit(base)) if parts is None else first.withColumns({PREDICTION: F.lit(base), PARTS: parts}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -57,7 +57,8 @@ def totals(rows: DataFrame, s: Search) -> dict[int, tuple[int, float, float]]:
 def compared(n: Node, s: Search) -> tuple[Column, float]:
     """What a split compares: a column and the bound up to which rows go left (the bin's number where bins are made)."""
     if s.binned:
-        return F.col(f"b{n.feature}"), bisect_left(s.edges[n.feature], n.threshold)
+        edges = s.edges[n.feature]
+        return F.col(f"b{n.feature}"), bisect_right(edges, n.threshold) - 1 if s.ranked else bisect_left(edges, n.threshold)
     return F.col(s.features[n.feature]).cast("double"), n.threshold
 
 
@@ -123,13 +124,13 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
     seen = sum(n.samples for n in tree.values())
     centre = sum(n.samples * n.node_mean for n in tree.values()) / seen if seen and additive(s) and not s.newton else 0.0
     if s.edges and additive(s) and not s.binned:
-        rows, s = binned(rows, s.features, s.edges, [*rows.columns]), replace(s, binned=True)
+        rows, s = binned(rows, s.features, s.edges, [*rows.columns], s.ranked), replace(s, binned=True)
     if not s.newton:
         rows, s = rows.withColumn(CENTRED, F.col(s.label).cast("double") - centre), replace(s, label=CENTRED)
     held = [f"b{k}" for k in range(len(s.features))] if s.binned else [*dict.fromkeys(s.features)]
     now = rows.select(*held, *(c for c in dict.fromkeys([*(s.newton or (s.label,)), *([s.weight] if s.weight else [])]) if c not in held), F.col(s.node).cast("int").alias(s.node))
     now = now.persist()
-    s = replace(s, many_values=not s.edges and seen * len(s.features) > searching.MANY_VALUES)
+    s = replace(s, many_values=(not s.edges or s.ranked) and seen * len(s.features) > searching.MANY_VALUES)
     open_nodes, depth, next_id, hist, old = list(range(roots)), 0, roots, None, []
     while open_nodes and depth < growth.max_depth:
         grow = [k for k in open_nodes if tree[k].samples >= max(2, 2 * growth.min_leaf)]
@@ -220,11 +221,16 @@ def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int,
     """Grows the subtrees of small nodes in one job, each in the task that has its rows. centre: what labels lack."""
     features, node, label, weight, newton = s.features, s.node, s.label, s.weight, s.newton
     depth_of = {k: tree[k].depth for k in tree}
+    names, values = features, []
+    if s.binned:  # ranks stand for values
+        names, values = [f"b{k}" for k in range(len(features))], [np.array(s.edges[k] or [np.nan], float) for k in range(len(features))]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf[node].iloc[0])
         w = pdf[weight].to_numpy(float) if weight else np.ones(len(pdf))
-        x = pdf[features].to_numpy(float)
+        x = pdf[names].to_numpy(float)
+        if values:
+            x = np.column_stack([np.where(np.isnan(c), np.nan, v[np.nan_to_num(c).astype(int)]) for c, v in zip(x.T, values, strict=True)])
         if newton:
             made = local_tree(x, pdf[newton[0]].to_numpy(float), w, growth, depth_of[k], (pdf[newton[1]].to_numpy(float), s.lam, s.gamma, s.min_child_weight))
         else:
@@ -233,7 +239,7 @@ def finish(rows: DataFrame, s: Search, growth: Growth, tree: Tree, next_id: int,
         out["tree_id"] = k
         return out[[c.split()[0] for c in NODES.split(", ")]]
 
-    keep = [node, *features, *([weight] if weight else []), *(newton or (label,))]
+    keep = [node, *names, *([weight] if weight else []), *(newton or (label,))]
     got = rows.select(*dict.fromkeys(keep)).groupBy(node).applyInPandas(one, NODES).collect()  # nodes, fewer than rows of small nodes
     by: dict[int, list] = {}
     for r in got:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.binning import binned
 from ..operators.sampling import columns_of, subsample
-from ..operators.splits import Search, with_edges
+from ..operators.splits import Search, ranked_values, with_edges
 from . import grow, local_boost, registry
 from .boosting import CUT_EVERY, PREDICTION, mean_loss, should_stop
 from .model import Ensemble, score_trees
@@ -55,16 +56,19 @@ def train(rows: DataFrame, features: list[str], label: str, row_id: str, config:
     model = Ensemble(features, base=base)
     source = rows.select(row_id, label, *(c for c in features if c not in (row_id, label))).persist()
     finder = f"histogram_ew:{config.max_bins}" if config.approximate else "exhaustive"
-    edges = with_edges(source, Search(features=features, finder=finder)).edges
-    table, losses = Rolling(source.withColumn(PREDICTION, F.lit(base))), []
+    search = ranked_values(source, with_edges(source, Search(features=features, finder=finder, newton=("_g", "_h"))))
+    first = binned(source, features, search.edges, source.columns, search.ranked) if search.edges else source
+    table, losses = Rolling(first.withColumn(PREDICTION, F.lit(base))), []
     for i in range(config.rounds):
         train_loss = mean_loss(table.now, loss, label, PREDICTION)
         table.settled()
         y, p = F.col(label), F.col(PREDICTION)
         chosen = columns_of(features, config.colsample, config.seed + i)
-        s = Search(features=[features[k] for k in chosen], label=label, newton=("_g", "_h"), lam=config.lam, gamma=config.gamma, min_child_weight=config.min_child_weight, finder=finder, edges={i: edges[k] for i, k in enumerate(chosen)} if edges else {})
+        s = Search(features=[features[k] for k in chosen], label=label, newton=("_g", "_h"), lam=config.lam, gamma=config.gamma, min_child_weight=config.min_child_weight, finder=finder, edges={j: search.edges[k] for j, k in enumerate(chosen)} if search.edges else {}, binned=bool(search.edges), ranked=search.ranked)
         with scope():
             with_g = subsample(table.now.withColumns({"_g": loss.gradient(y, p), "_h": loss.hessian(y, p)}), row_id, config.subsample, config.seed + i)
+            if search.edges:
+                with_g = with_g.select("_g", "_h", *(F.col(f"b{k}").alias(f"b{j}") for j, k in enumerate(chosen)))
             tree = grow.level_wise(with_g, s, grow.Growth(config.max_depth, 1, finish_locally=config.local))
         for n in tree.values():
             n.feature = chosen[n.feature] if not n.is_leaf else -1

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
-from ..operators.prep import zscore_filter
+from ..operators.prep import within
 from ..plans.ranking import numbered
 
 
@@ -85,14 +87,41 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def header_of(spark: SparkSession, fs, path) -> str:
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def clean_directory(spark: SparkSession, folder: str, out: str, z: float = 3.0) -> list[str]:
-    """Every CSV of a folder without rows whose last column lies beyond z; written to out/cleaned_<name>."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.getPath().getName().endswith(".csv"))
+    """Every CSV of a folder without rows whose last column lies beyond z; written to out/cleaned_<name>.
+
+    All files of one header are one scan and one write, however many they are: statistics are grouped by file. A cell that
+    is no number fails the read. Files without rows give no output.
+    """
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(Path(folder)) if s.getPath().getName().endswith(".csv"))
+    by_header: dict[str, list[str]] = {}
     for name in names:
-        rows = scan_strict(spark, f"{folder}/{name}")
-        write_csv(zscore_filter(rows, rows.columns[-1], z), f"{out}/cleaned_{name}")
+        by_header.setdefault(header_of(spark, fs, Path(f"{folder}/{name}")), []).append(name)
+    scratch, target = f"{out}/.cleaning-{uuid.uuid4().hex}", Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    for group, files in enumerate(by_header.values()):
+        columns = scan_strict(spark, f"{folder}/{files[0]}").columns
+        rows = spark.read.csv([f"{folder}/{name}" for name in files], header=True, schema=", ".join(f"`{c}` double" for c in columns), mode="FAILFAST")
+        # The name stands in a URI there, so blanks and the like are escaped.
+        numbers = spark.createDataFrame([(k, x) for k, name in enumerate(files) for x in {name, quote(name)}], "_f int, _name string")
+        read = rows.select("*", F.col("_metadata.file_name").alias("_name")).join(F.broadcast(numbers), "_name")
+        stats = read.groupBy("_f").agg(F.avg(columns[-1]).alias("_mean"), F.stddev_pop(columns[-1]).alias("_std"))  # a row a file
+        kept = read.join(stats, "_f").where(within(F.col(columns[-1]), F.col("_mean"), F.col("_std"), z))
+        kept.select(*columns, "_f").write.partitionBy("_f").csv(f"{scratch}/{group}", header=True)
+        for k, name in enumerate(files):
+            if target.exists(Path(f"{scratch}/{group}/_f={k}")):
+                target.delete(Path(f"{out}/cleaned_{name}"), True)
+                target.rename(Path(f"{scratch}/{group}/_f={k}"), Path(f"{out}/cleaned_{name}"))
+    target.delete(Path(scratch), True)
     return names
 
 

@@ -192,3 +192,53 @@ def test_ensembles_of_one_search_share_bins(rows):
     a = grow.level_wise(ready, dataclasses.replace(s, binned=True), grow.Growth(3, 5))
     b = grow.level_wise(rows, s, grow.Growth(3, 5))
     assert nodes(a) == nodes(b) and model.leaves(a) > 2
+
+
+@pytest.mark.parametrize("kind", ["boosting", "newton"])
+def test_ranks_made_once_grow_the_trees_of_values(spark, kind, monkeypatch):
+    """With gaps in the features: an exhaustive search on ranks finds the same thresholds."""
+    gaps = spark.createDataFrame([(k, None if k % 7 == 0 else a, math.nan if k % 11 == 0 else b, y) for k, a, b, y in data()], SCHEMA)
+    by_rank = [nodes(t) for t in trained(kind, gaps, False)]
+    wanted = [nodes(t) for t in trained(kind, gaps, True)]
+    module = boosting if kind == "boosting" else newton
+    monkeypatch.setattr(module, "ranked_values", lambda rows, s: s)
+    assert by_rank == wanted == [nodes(t) for t in trained(kind, gaps, False)]
+
+
+def test_conflicts_of_many_sparse_features(spark):
+    from coppice.operators import bundling
+
+    r = random.Random(5)
+    names = [f"x{k}" for k in range(40)]
+    table = [[int(r.random() < (0.6 if k == 0 else 0.05)) for k in range(40)] for _ in range(300)]
+    df = spark.createDataFrame([tuple(x) for x in table], ", ".join(f"{n} int" for n in names))
+    got = {(x["a"], x["b"]): (x["both"], x["either"]) for x in bundling.conflicts(df, names).collect()}
+    want = {(a, b): (sum(x[a] and x[b] for x in table), sum(x[a] or x[b] for x in table)) for a in range(40) for b in range(a + 1, 40)}
+    assert got == want
+    found = bundling.bundles(df, names, 0.0, 255)
+    assert sorted(f for b in found for f in b.features) == list(range(40)) and (0,) in [b.features for b in found]
+    assert all(want[min(p, q), max(p, q)][0] == 0 for b in found for p in b.features for q in b.features if p != q)
+    assert bundling.conflicts(df.select("x0"), ["x0"]).count() == 0
+
+
+def test_a_directory_is_cleaned_in_one_write_a_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(6):
+        head = "a,b" if k < 5 else "a,b,c"
+        rows = [",".join(["1.0"] * (head.count(",")) + [str(100.0 * k if i else 1e6)]) for i in range(40)]
+        (folder / f"m {k}.csv").write_text("\n".join([head, *rows]) + "\n")
+    (folder / "empty.csv").write_text("a,b\n")
+    names = matrix_csv.clean_directory(spark, str(folder), str(tmp_path / "out"), 3.0)
+    assert names == ["empty.csv", *(f"m {k}.csv" for k in range(6))]
+    for k in range(6):
+        got = spark.read.csv(str(tmp_path / "out" / f"cleaned_m {k}.csv"), header=True)
+        assert got.columns == ["a", "b", "c"][: 2 if k < 5 else 3] and {float(r[-1]) for r in got.collect()} == {100.0 * k} and got.count() == 39
+    assert not [x for x in os.listdir(tmp_path / "out") if x.startswith(".cleaning")]
+
+
+def test_workers_of_a_bag(rows):
+    made, _ = bagging.train(rows, FEATURES, "label", "row_id", bagging.BaggingConfig(trees=5, max_depth=3))
+    report = bagging.worker_report(made, 2)
+    assert [(r["worker"], r["trees"], r["first"], r["draws"]) for r in report] == [(0, 3, 0, 1200), (1, 2, 3, 800)]
+    assert all(r["seconds"] > 0 for r in report)
