@@ -239,7 +239,7 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 def encode_documents(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, ids, n_tokens, n_units and round_trip (whether decoding gives the text back) of every row."""
+    """keep, ids, n_tokens and round_trip (whether decoding gives the text back) of every row."""
 
     def run(batches):
         v = vocabulary(model)

@@ -11,7 +11,7 @@ the queries and is never collected. Blocks are worked through in waves of WAVE,
 every executor at a time.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part; vectors of unequal length are filled up
-with zeros. A query's own row, and any row with its vec_id, is no candidate; equal queries are one. Fewer candidates
+with zeros. A query's own row, and any row with its vec_id, is no candidate; of query rows with one vec_id one is used, whichever comes first where their vectors differ. Fewer candidates
 than k give all of them. A score that a long cannot hold is returned as the nearest long, but ranked as it is. Extra
 columns are not read.
 """
