@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.ranking import running
 
 LEAST_BINS, MOST_BINS = 8, 128
-#: Edges that are no equal widths and still written as conditions.
+#: Edges of a feature that are still written as conditions.
 NESTED = 64
 
 
@@ -96,18 +96,11 @@ def literal(numbers: list[float]) -> str:
 def bin_of(value: Column, edges: list[float]) -> Column:
     """Number of the bin whose upper edge is the first at or above the value; the last one without a value or beyond all.
 
-    Equal widths are arithmetic, put right by a look at the edges; few others a binary search in nested conditions, which
-    would be too much code for many: these are searched in batches.
+    A binary search in nested conditions, which would be too much code for many edges: these are searched in batches.
     """
     n = len(edges)
     if n < 2:
         return F.lit(0)
-    width = (edges[-1] - edges[0]) / (n - 1)
-    if n > 8 and width > 0 and math.isfinite(width) and all(abs(e - edges[0] - k * width) < 0.01 * width for k, e in enumerate(edges)):
-        near = (F.floor(F.least(F.greatest((value - edges[0]) / width, F.lit(-1.0)), F.lit(n - 2.0))) + 1).cast("int")
-        held = F.expr(literal(edges))
-        below, above = (near > 0) & (value <= F.get(held, near - 1)), (near < n - 1) & (value > F.get(held, near))
-        return F.when(value.isNull(), n - 1).otherwise(near - F.when(below, 1).otherwise(0) + F.when(above, 1).otherwise(0)).cast("int")
     if n > NESTED:
         @F.pandas_udf("int")
         def searched(x: pd.Series) -> pd.Series:
@@ -127,9 +120,9 @@ def bin_of(value: Column, edges: list[float]) -> Column:
 
 def binned(rows: DataFrame, features: list[str], edges: dict[int, list[float]], keep: list[str], gaps: bool = False) -> DataFrame:
     """keep and a small integer column b0, b1, ... for each feature: made once, used at every level. Rows without a value lie in the last bin, or (gaps) in none."""
-    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
-    bins = [bin_of(x, edges[k]) for k, x in enumerate(known)]
-    return rows.select(*keep, *((F.when(x.isNotNull(), b) if gaps else b).alias(f"b{k}") for k, (x, b) in enumerate(zip(known, bins, strict=True))))
+    values = [F.col(c).cast("double") for c in features]
+    bins = [bin_of(x, edges[k]) for k, x in enumerate(values)]  # neither null nor NaN is at or below an edge
+    return rows.select(*keep, *((F.when(x.isNotNull() & ~F.isnan(x), b) if gaps else b).alias(f"b{k}") for k, (x, b) in enumerate(zip(values, bins, strict=True))))
 
 
 def histogram(rows: DataFrame, features: list[str], edges: dict[int, list[float]], label: str, node: str | None = None) -> DataFrame:

@@ -163,6 +163,8 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
             sizes[k] = (r["n_left"], r["n_right"])
         if not split:
             break
+        if depth >= growth.max_depth and additive(s):
+            break
         open_nodes = [c for k in split for c in (tree[k].left, tree[k].right)]
         moved = routed(now, tree, split, s)
         moved = moved.checkpoint(False) if depth % CHECKPOINT_EVERY == 0 and has_checkpoint(rows.sparkSession) else moved
@@ -172,10 +174,10 @@ def forest(rows: DataFrame, s: Search, growth: Growth, roots: int) -> list[Tree]
         old = [now]
         if hist is not None:
             counted, children = child_sums(hist, moved, s, tree, sizes)
-            old += [hist, counted]
+            old = [counted, hist, now]
             hist = children.persist()
         now = moved
-    for x in (now, hist, *old):
+    for x in (hist, *old[:-1], now, *old[-1:]):  # what reads another one goes before it: else it would be planned anew
         if x is not None:
             x.unpersist()
     return [below(tree, k) for k in range(roots)]
